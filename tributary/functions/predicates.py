@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 import functools
 import operator as op_
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +101,8 @@ def condition(
     if op in NEGATED:
         if op == "not_in_variable" and _has_null(value):
             return c.isNotNull() & ~test
+        if _reads_as_other_kind(k, value, cond.get("dataType")):
+            return ~F.coalesce(test, F.lit(False))
         return c.isNull() | ~test
     if op == "in_variable" and _has_null(value):
         return c.isNull() | test
@@ -145,6 +147,13 @@ def _is_numeric(k: str, value: Any, data_type: str | None) -> bool:
     return data_type == "number" or (isinstance(value, (int, float)) and not isinstance(value, bool))
 
 
+def _reads_as_other_kind(k: str, value: Any, data_type: str | None) -> bool:
+    """Whether cells are cast for the test, so that one that has a value may still give null."""
+    if data_type in ("date", "timestamp"):
+        return k not in ("date", "timestamp")
+    return (isinstance(value, bool) or _is_numeric(k, value, data_type)) and k not in ("number", "boolean")
+
+
 def _number(value: Any) -> int | float:
     number = V.as_number(value)
     if number is None:
@@ -226,6 +235,17 @@ def _has_key(c: Column, dtype: T.DataType, key: str) -> Column:
     return F.array_contains(F.json_object_keys(c), key)
 
 
+def filled(schema: T.StructType, names: Iterable[str]) -> Column:
+    """All named cells have a value; NaN counts as none. Written so that scans can use it."""
+
+    def test(name: str) -> Column:
+        c = col(name)
+        floating = isinstance(V.field_type(schema, name), (T.FloatType, T.DoubleType))
+        return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
+
+    return all_of(test(n) for n in names)
+
+
 def any_of(tests) -> Column:
     return functools.reduce(op_.or_, tests, F.lit(False))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tributary.functions.links import MAIN, SUB, Link, term_column
 from tributary.functions.names import col
 from tributary.functions.predicates import all_of
+from tributary.operators import skew
 from tributary.operators.exists import link_terms
 
 ROWS_PER_PART = 10_000
@@ -81,16 +82,11 @@ def nested_detail(
     sizes = copies.groupBy(*keys).agg(
         F.sum("copies").alias("match_count"), F.ceil(F.count(F.lit(1)) / rows_per_part).alias("parts")
     )
-    same = all_of(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys)
-    dealt = (
-        copies.alias("a")
-        .join(sizes.alias("b"), same)
-        .select(
-            *[F.col(f"a.{k}").alias(k) for k in keys],
-            "match_count",
-            F.pmod(F.xxhash64("a.detail"), F.col("b.parts")).alias("part"),
-            F.struct("a.detail.*", "a.copies").alias("detail"),
-        )
+    dealt = skew.lookup(copies, sizes, keys, "match_count", null_safe=True).select(
+        *keys,
+        "match_count",
+        F.pmod(F.xxhash64("detail"), F.col("parts")).alias("part"),
+        F.struct("detail.*", "copies").alias("detail"),
     )
     nested = dealt.groupBy(*keys, "match_count", "part").agg(F.array_sort(F.collect_list("detail")).alias("details"))
     same = all_of(col(m, MAIN).eqNullSafe(F.col(f"n.{k}")) for m, k in zip(main_key, keys))

@@ -31,7 +31,7 @@ from tributary.functions.links import (
     term_column,
 )
 from tributary.functions.names import col, unique
-from tributary.functions.predicates import all_of, any_of
+from tributary.functions.predicates import all_of, any_of, filled
 from tributary.functions.sizing import fits_broadcast
 from tributary.operators.text_match import text_matches
 
@@ -59,7 +59,7 @@ def exists(
     for i, (own, links) in enumerate(branches):
         fields = unique(link.field for link in links)
         if fields:
-            values = sub.select(*[col(f) for f in fields]).dropna().distinct()
+            values = sub.select(*[col(f) for f in fields]).where(filled(sub.schema, fields)).distinct()
             found = _keep(values, main, links)
         else:
             found = _some_row(main)
@@ -185,7 +185,7 @@ def _keep(sub: DataFrame, main: DataFrame, links: Sequence[Link]) -> DataFrame:
     test = all_of(k.column(sub.schema, main.schema) for k in links)
     if fits_broadcast(needed):
         return sub.alias(SUB).join(F.broadcast(needed.alias(MAIN)), test, "left_semi")
-    values = sub.select(*[col(f) for f in fields]).dropna().distinct()
+    values = sub.select(*[col(f) for f in fields]).where(filled(sub.schema, fields)).distinct()
     pairs = values.alias(SUB).join(needed.alias(MAIN), test, "inner")
     found = pairs.select(*[col(f, SUB) for f in fields]).distinct()
     return sub.alias(SUB).join(found.alias("f"), all_of(col(f, SUB) == col(f, "f") for f in fields), "left_semi")

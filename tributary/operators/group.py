@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tributary.functions import values as V
 from tributary.functions.names import col, known_fields
-from tributary.functions.predicates import all_of, condition, resolve
+from tributary.functions.predicates import all_of, condition, filled, resolve
+from tributary.operators import skew
 from tributary.operators.view import Sort, sort_columns
 
 # Rank error of the first pass is n / ACCURACY; the second pass looks at twice that on both sides.
@@ -81,18 +82,20 @@ def group(
         return df
     present = set(known_fields(df, [f for f, _, _ in wanted if f], on_missing, "group"))
     wanted = [w for w in wanted if w[0] is None or w[0] in present]
-    rows = df if keep_null_groups or not keys else df.dropna(subset=list(keys))
+    rows = df if keep_null_groups or not keys else df.where(filled(df.schema, keys))
     if not wanted:
         out = rows.select(*[col(k) for k in keys]).distinct()
     else:
-        out = _aggregate(rows, keys, wanted, order_by)
+        out = _aggregate(rows, keys, wanted, order_by, keep_null_groups)
     out = _having(out, having, variables or {}, on_missing)
     if sort_keys and keys:
         out = out.orderBy(*[col(k).asc_nulls_last() for k in keys])
     return out
 
 
-def _aggregate(rows: DataFrame, keys: Sequence[str], wanted: Sequence[tuple], order_by: Sequence[Sort]) -> DataFrame:
+def _aggregate(
+    rows: DataFrame, keys: Sequence[str], wanted: Sequence[tuple], order_by: Sequence[Sort], null_keys: bool
+) -> DataFrame:
     plain, medians = [], []
     for field, func, alias in wanted:
         if field is None:
@@ -109,14 +112,14 @@ def _aggregate(rows: DataFrame, keys: Sequence[str], wanted: Sequence[tuple], or
     if not plain and not keys:
         out = rows.sparkSession.range(1).select()
     for field, alias in medians:
-        out = _with(out, median(rows, keys, field, alias), keys, alias)
+        out = _with(out, median(rows, keys, field, alias, null_keys), keys, alias, null_keys)
     return out.select(*[col(k) for k in keys], *[col(alias) for _, _, alias in wanted])
 
 
-def _with(out: DataFrame, more: DataFrame, keys: Sequence[str], alias: str) -> DataFrame:
+def _with(out: DataFrame, more: DataFrame, keys: Sequence[str], alias: str, null_keys: bool) -> DataFrame:
     if not keys:
         return out.crossJoin(F.broadcast(more))  # one row each
-    test = all_of(col(k, "a").eqNullSafe(col(k, "b")) for k in keys)
+    test = skew.key_test([(k, k) for k in keys], "a", "b", null_keys)
     joined = out.alias("a").join(more.alias("b"), test, "left")
     return joined.select(*[col(c, "a") for c in out.columns], col(alias, "b"))
 
@@ -134,7 +137,9 @@ def _edge(rows: DataFrame, field: str, func: str, order_by: Sequence[Sort]) -> C
     return pick(col(field), F.when(col(field).isNotNull(), rank))
 
 
-def median(rows: DataFrame, keys: Sequence[str], field: str, alias: str, accuracy: int = ACCURACY) -> DataFrame:
+def median(
+    rows: DataFrame, keys: Sequence[str], field: str, alias: str, null_keys: bool = False, accuracy: int = ACCURACY
+) -> DataFrame:
     """Exact median per key, one row per key, without gathering a key's values.
 
     A mergeable quantile sketch gives a value surely below and one surely above the median. Then
@@ -150,9 +155,7 @@ def median(rows: DataFrame, keys: Sequence[str], field: str, alias: str, accurac
         F.percentile_approx(x, [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
     )
     if names:
-        same = all_of(F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names)
-        near = data.alias("a").join(bounds.alias("b"), same)
-        near = near.select(*[F.col(f"a.{n}").alias(n) for n in names], x, "__n", "__b")
+        near = skew.lookup(data, bounds, names, "__n", null_keys)
     else:
         near = data.crossJoin(F.broadcast(bounds))  # one row
     slot = F.when(x >= F.col("__b")[0], x).alias("__v")

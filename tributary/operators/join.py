@@ -32,6 +32,7 @@ def join(
     variables: Mapping[str, Any] | None = None,
     left_names: Sequence[str] = (),
     right_names: Sequence[str] = (),
+    spread: bool | None = None,
 ) -> DataFrame:
     """Join two tables.
 
@@ -40,7 +41,9 @@ def join(
     ``t2``. Nothing, or ``1=1``, means a cross join. A key of the same name on both sides comes out
     once; any other name on both sides keeps its left column and gets ``suffix`` on the right.
     ``null_safe`` lets null keys match each other. ``left_names`` / ``right_names`` are the table
-    names and aliases that may prefix columns in the text.
+    names and aliases that may prefix columns in the text. ``spread`` says whether an outer join
+    guards against hot keys on the side it pads (see ``skew``): by default when that side is too
+    large to broadcast. ``False`` saves a count of that side's keys when they are known to be unique.
     """
     how = JOIN_TYPES.get((how or "left").lower(), "left")
     names = {LEFT: LEFT, RIGHT: RIGHT, **{n: LEFT for n in left_names}, **{n: RIGHT for n in right_names}}
@@ -60,14 +63,15 @@ def join(
     keys = [(a, b) for a, op, b in terms if op == "="]
     shared = [a for a, b in keys if a == b]
     plain = len(keys) == len(terms) and not any(_needs_cast(left, right, k) for k in keys)
-    padded = {"left": right, "right": left}.get(how)
-    if plain and how == "left" and not fits_broadcast(padded):
+    padded = {"left": [right], "right": [left], "full": [left, right]}.get(how, [])
+    guard = plain and padded and (spread if spread is not None else not all(map(fits_broadcast, padded)))
+    if guard and how == "left":
         joined = skew.left_outer(left, right, keys, null_safe)
-    elif plain and how == "right" and not fits_broadcast(padded):
+    elif guard and how == "right":
         # The mirror image; only the aliases differ.
         mirrored = skew.left_outer(right, left, [(b, a) for a, b in keys], null_safe)
         return mirrored.select(*_output(left, right, shared, how, suffix, sides=(RIGHT, LEFT)))
-    elif plain and how == "full" and not (fits_broadcast(left) and fits_broadcast(right)):
+    elif guard:
         return _full(left, right, keys, shared, suffix, null_safe)
     else:
         test = all_of(_test(left, right, t, null_safe) for t in terms)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tributary.functions.names import col
 
+BITS = 60
 REPORT = "branch_a string, branch_b string, shared_rows long"
 
 
@@ -42,15 +43,20 @@ def overlap(spark: SparkSession, branches: Sequence[tuple[str, DataFrame]]) -> D
 def _shared(branches: Sequence[tuple[str, DataFrame]], members: Sequence[int]) -> DataFrame:
     width = len(branches[members[0]][1].columns)
     fields = [f"c{i}" for i in range(width)]
+    # Which branches have a row is kept as bits, so that the large aggregation stays a hash aggregation.
+    words = [f"w{i}" for i in range(max(members) // BITS + 1)]
     tagged = None
     for i in members:
         df = branches[i][1]
         cells = [_comparable(col(f.name), f.dataType).alias(n) for f, n in zip(df.schema, fields)]
-        part = df.select(F.lit(i).alias("branch"), *cells)
+        marks = [F.lit(1 << i % BITS if w == i // BITS else 0).cast("long").alias(n) for w, n in enumerate(words)]
+        part = df.select(*cells, *marks)
         tagged = part if tagged is None else tagged.union(part)
-    rows = tagged.groupBy(*fields).agg(F.sort_array(F.collect_set("branch")).alias("owners"))
-    sets = rows.where(F.size("owners") > 1).groupBy("owners").agg(F.count(F.lit(1)).alias("n"))
-    unfolded = sets.select("n", "owners", F.explode("owners").alias("a")).select("n", "a", F.explode("owners").alias("b"))
+    sets = tagged.groupBy(*fields).agg(*[F.bit_or(w).alias(w) for w in words])
+    sets = sets.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
+    owns = [F.when(F.getbit(words[i // BITS], F.lit(i % BITS)) == 1, F.lit(i)) for i in members]
+    owners = sets.select("n", F.array_compact(F.array(*owns)).alias("owners"))
+    unfolded = owners.select("n", "owners", F.explode("owners").alias("a")).select("n", "a", F.explode("owners").alias("b"))
     return unfolded.where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.sum("n").alias("shared_rows"))
 
 

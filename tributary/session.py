@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when that costs another shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Otherwise "SELECT * FROM t WHERE" is a query whose table is aliased WHERE.
+    "spark.sql.ansi.enforceReservedKeywords": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
