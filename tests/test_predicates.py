@@ -146,9 +146,10 @@ def test_pass_on_missing(frame):
         {"field": "units", "operator": "resembles", "value": 1},
         {"field": "units", "operator": "in_variable", "value": "gone"},
         {"field": "units", "operator": "not_in_variable", "value": "gone"},
+        {"field": "units", "operator": "!=", "value": "", "dataType": "number"},
     ]
     tests = [F.count_if(condition(frame.schema, c, on_missing="pass")) for c in cases]
-    assert list(frame.agg(*tests).first()) == [72, 72, 0, 72]
+    assert list(frame.agg(*tests).first()) == [72, 72, 0, 72, 72]
 
 
 def test_dates(spark):

@@ -13,7 +13,7 @@ from tributary.operators.transform import UserFunction, transform
 from tributary.operators.view import distinct_values, page, preview, sort, view
 from tributary.plans.run import Plan, StepError
 from tributary.plans.tree import read_tree, read_tree_file, set_enabled
-from tributary.session import configure
+from tributary.session import configure, tune
 from tributary.sources.readers import read_csv, read_parquet, read_table, write_csv
 from tributary.sources.workspace import Workspace
 
@@ -22,5 +22,5 @@ __all__ = [
     "condition_group", "configure", "detail_rows", "distinct_values", "exists", "group", "join",
     "match_counts", "median", "nested_detail", "overlap", "page", "preview", "read_csv",
     "read_parquet", "read_table", "read_tree", "read_tree_file", "search", "set_enabled", "sort",
-    "transform", "view", "where", "write_csv",
+    "transform", "tune", "view", "where", "write_csv",
 ]

@@ -95,7 +95,7 @@ def transform_arith(spark, folder):
            CASE WHEN l_linenumber = 1 THEN NULL ELSE l_quantity / (l_linenumber - 1) END AS ratio,
            CASE WHEN l_linenumber = 2 THEN NULL ELSE l_partkey % (l_linenumber - 2) + CASE
                 WHEN l_linenumber = 1 AND l_partkey % (l_linenumber - 2) <> 0 THEN l_linenumber - 2 ELSE 0 END END AS rest,
-           CAST(NULL AS BIGINT) AS too_large
+           CASE WHEN l_orderkey % 1000 <> 0 THEN 9223372036854775807 END AS too_large
     FROM lineitem
     """,
 )
@@ -103,7 +103,7 @@ def transform_errors_null(spark, folder):
     added = {
         "ratio": "l_quantity / (l_linenumber - 1)",
         "rest": "l_partkey % (l_linenumber - 2)",
-        "too_large": "(l_partkey + 9000000000000000000) * 9000000000000000000",
+        "too_large": "9223372036854775807 + (1 if l_orderkey % 1000 == 0 else 0)",
     }
     lines = transform(table(spark, folder, "lineitem"), [{"outputField": n, "expression": e} for n, e in added.items()])
     return view(lines, ["l_orderkey", "l_linenumber", *added])

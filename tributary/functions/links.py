@@ -92,6 +92,8 @@ def link_tree(tree: Mapping[str, Any] | None, subs: T.StructType, mains: T.Struc
     """Link-condition record to a tree. Conditions that name no field say nothing and are left out."""
     items = []
     for item in (tree or {}).get("conditions") or []:
+        if not isinstance(item, Mapping):
+            continue
         term = link_tree(item, subs, mains) if is_group(item) else _term(item, subs, mains)
         if term is not None and not (isinstance(term, Node) and not term.items):
             items.append(term)

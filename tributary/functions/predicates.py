@@ -53,8 +53,9 @@ def condition(
     regex: bool = False,
     captured: Captured | None = None,
 ) -> Column:
-    """One leaf condition. ``on_missing='pass'`` makes a condition on an absent column, with an
-    unknown operator or on an unknown variable true (for ``in_variable``: an empty list)."""
+    """One leaf condition. ``on_missing='pass'`` makes a condition true when it names an absent
+    column or an unknown operator, or has a value that does not fit; an unknown variable is an
+    empty list then."""
     variables = variables or {}
     name, op = cond.get("field"), cond.get("operator")
     if op in ("always_true", "always_false"):
@@ -92,8 +93,12 @@ def condition(
             raise ValueError(f"'{op}' on '{name}': a captured column needs a join; use operators.where")
         return captured(op, name, value)
 
-    positive = NEGATED.get(op, op)
-    test = _positive(c, text, dtype, k, positive, value, cond.get("dataType"), regex)
+    try:
+        test = _positive(c, text, dtype, k, NEGATED.get(op, op), value, cond.get("dataType"), regex)
+    except ValueError:
+        if on_missing == "error":
+            raise
+        return F.lit(True)
     if test is None:
         if on_missing == "error":
             raise ValueError(f"unknown operator '{op}' on column '{name}'")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,14 +21,20 @@ def row_function(fn: Callable[[dict], Any], return_type: str | T.DataType, field
     data_type = T.DataType.fromDDL(return_type) if isinstance(return_type, str) else return_type
     coerce = _COERCE.get(type(data_type), lambda v: v)
 
-    def guarded(row):
+    names = list(fields)
+
+    def guarded(*cells):
         try:
-            value = fn(row.asDict(recursive=True))
+            value = fn(dict(zip(names, map(_plain, cells))))
             return None if value is None else coerce(value)
         except Exception:
             return None
 
-    return F.udf(guarded, data_type, useArrow=True)(F.struct(*[col(f) for f in fields]))
+    return F.udf(guarded, data_type, useArrow=True)(*[col(f) for f in names])
+
+
+def _plain(cell: Any) -> Any:
+    return cell.asDict(recursive=True) if isinstance(cell, Row) else cell
 
 
 def batch_function(

@@ -179,14 +179,15 @@ class Plan:
             if state.df is None or not state.reusable or state.source != table:
                 self._load(state, table)
         if command.type == "source":
-            if c.get("mainTable"):
-                self._load(state, c["mainTable"])
+            name = c.get("mainTable")
+            if name and (name in self.workspace or self.on_missing == "error"):
+                self._load(state, name)
             return
         if command.type == "define_variable":
             if c.get("variableName"):
                 state.variables[c["variableName"]] = c.get("variableValue")
             return
-        if state.df is None and c.get("mainTable") and command.type in ("filter", "sort", "transform", "save"):
+        if state.df is None and c.get("mainTable") and command.type in ("filter", "sort", "transform", "save", "aggregate"):
             self._load(state, c["mainTable"])
         if state.df is None:
             return

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-SETTINGS = {
+TUNING = {
     "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when that costs another shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+SETTINGS = {
+    **TUNING,
     # Otherwise "SELECT * FROM t WHERE" is a query whose table is aliased WHERE.
     "spark.sql.ansi.enforceReservedKeywords": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +25,10 @@ def configure(builder: SparkSession.Builder | None = None) -> SparkSession.Build
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Switch the adaptive handling of hot keys on in a session built elsewhere."""
+    for key, value in TUNING.items():
+        spark.conf.set(key, value)
+    return spark
