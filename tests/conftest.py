@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,7 +16,5 @@ def spark():
     builder = builder.config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
     session = configure(builder).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tributary-checkpoint-"))
     yield session
     session.stop()

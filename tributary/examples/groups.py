@@ -40,7 +40,7 @@ def group_multi(spark, folder):
 @query(
     "group_null_keys",
     """
-    SELECT k, coalesce(sum(v), 0) AS total, count(v) AS filled FROM (
+    SELECT k, CAST(coalesce(sum(v), 0) AS BIGINT) AS total, count(v) AS filled FROM (
       SELECT NULLIF(o_orderpriority, '5-LOW') AS k, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '2-HIGH' THEN o_custkey END AS v
       FROM orders) WHERE k IS NOT NULL GROUP BY k
     """,

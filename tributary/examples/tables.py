@@ -64,12 +64,15 @@ def read_csv_roundtrip(spark, folder):
 )
 def cast_formats(spark, folder):
     orders = table(spark, folder, "orders")
+    at = F.col("o_orderdate")
+    # The stored timestamps have no zone; the epoch is counted from their own calendar fields.
+    seconds = F.unix_date(at.cast("date")).cast("long") * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
     texts = orders.select(
         "o_orderkey",
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso_day"),
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("slash_day"),
         F.when(F.col("o_orderkey") % 3 != 0, F.date_format("o_orderdate", "yyyy/MM/dd HH:mm:ss")).otherwise("not a date").alias("stamp"),
-        F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string").alias("seconds"),
+        (seconds * 1000).cast("string").alias("seconds"),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice").cast("string")).otherwise("n/k").alias("price"),
         F.when(F.col("o_orderstatus") == "F", "True").otherwise("False").alias("done"),
     )

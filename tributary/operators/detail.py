@@ -88,7 +88,7 @@ def nested_detail(
         F.pmod(F.xxhash64("detail"), F.col("parts")).alias("part"),
         F.struct("detail.*", "copies").alias("detail"),
     )
-    nested = dealt.groupBy(*keys, "match_count", "part").agg(F.array_sort(F.collect_list("detail")).alias("details"))
+    nested = dealt.groupBy(*keys, "match_count", "part").agg(F.sort_array(F.collect_list("detail")).alias("details"))
     same = all_of(col(m, MAIN).eqNullSafe(F.col(f"n.{k}")) for m, k in zip(main_key, keys))
     empty = F.array().cast(nested.schema["details"].dataType)
     return (

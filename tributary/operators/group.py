@@ -20,7 +20,7 @@ from tributary.operators import skew
 from tributary.operators.view import Sort, sort_columns
 
 # Rank error of the first pass is n / ACCURACY; the second pass looks at twice that on both sides.
-ACCURACY = 100_000
+ACCURACY = 20_000
 MEDIANS = ("median", "quantile")
 ORDERED = ("first", "last")
 

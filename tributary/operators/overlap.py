@@ -61,4 +61,4 @@ def _shared(branches: Sequence[tuple[str, DataFrame]], members: Sequence[int]) -
 
 
 def _comparable(c: Column, data_type: T.DataType) -> Column:
-    return F.array_sort(F.map_entries(c)) if isinstance(data_type, T.MapType) else c
+    return F.sort_array(F.map_entries(c)) if isinstance(data_type, T.MapType) else c

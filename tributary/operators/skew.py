@@ -34,8 +34,9 @@ def left_outer(
 
     Hot keys are the at most 1024 most frequent right keys with more than ``rows_per_shard`` rows,
     counted with map-side aggregation over the key columns alone; that bound makes their
-    broadcast safe. Any other key holds less than a thousandth of the rows and needs no help. The
-    result is the same whichever keys are treated as hot.
+    broadcast safe. Any other key holds less than a thousandth of the rows and needs no help. Both
+    sides must see the same hot keys, so ties are settled by the key itself; which keys are hot
+    does not change the result.
     """
     rows_per_shard = rows_per_shard or ROWS_PER_SHARD
     right_keys = [b for _, b in keys]
@@ -43,7 +44,7 @@ def left_outer(
         right.groupBy(*[col(b).alias(f"__k{i}") for i, b in enumerate(right_keys)])
         .agg(F.count(F.lit(1)).alias("__n"))
         .where(F.col("__n") > rows_per_shard)
-        .orderBy(F.desc("__n"))
+        .orderBy(F.desc("__n"), *[f"__k{i}" for i in range(len(keys))])
         .limit(HOT_KEYS)
         .withColumn("__shards", F.ceil(F.col("__n") / rows_per_shard).cast("int"))
         .drop("__n")
@@ -92,7 +93,7 @@ def lookup(
 
     if fits_broadcast(table):
         return joined(data, table)
-    hot = table.where(col(weight) > ROWS_PER_SHARD).orderBy(F.desc(weight)).limit(HOT_KEYS)
+    hot = table.where(col(weight) > ROWS_PER_SHARD).orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
     marks = F.broadcast(hot.select(*keys).alias("b"))
     cold = data.alias("a").join(marks, key_test(pairs, "a", "b", null_safe), "left_anti")
     return joined(data, F.broadcast(hot)).unionAll(joined(cold, table))
