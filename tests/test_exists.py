@@ -134,7 +134,9 @@ def test_detail(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert {r.x: r.match_count for r in rows} == counts
         assert len({(r.x, r.part) for r in rows}) == len(rows) and len([r for r in rows if r.x == 1]) > 1
-        inside = sorted((r.x, d.id, d.copies) for r in rows for d in r.details)
-        assert inside == sorted({(s[1], s[0], 3 if s[0] == 99 else 1) for s in subs})
+        assert sorted((r.x, d.id) for r in rows for d in r.details) == sorted((s[1], s[0]) for s in subs)
+        assert [(r.part, r.m, r.details) for r in rows if r.x == 3] == [(0, "three", [])]
     with pytest.raises(ValueError):
         match_counts(mdf, sdf, "main.x > sub.a")
+    above = nested_detail(mdf, sdf, ["x"], "main.x > sub.a AND main.x != 3").collect()
+    assert sorted((r.x, r.match_count, len(r.details)) for r in above) == [(1, 0, 0), (2, 23, 23), (3, 0, 0)]

@@ -82,18 +82,6 @@ def test_hot_rows_land_on_many_shards(spark, monkeypatch):
     assert salts == 16 and joined.count() == 4001
 
 
-def test_lookup_splits_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "ROWS_PER_SHARD", 50)
-    data = spark.range(1000).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id") % 30).alias("k"), "id")
-    table = data.groupBy("k").agg(F.count("*").alias("n"), F.sum("id").alias("s"))
-    want = multiset(data.join(table, "k").select("k", "id", "n", "s").collect())
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert multiset(skew.lookup(data, table, ["k"], "n").collect()) == want
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_compound_theta_and_variables(sides):
     left, right = sides
     rights = right.select(F.col("k").alias("rk"), F.col("v").alias("w"))

@@ -8,9 +8,11 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tributary.functions import values as V
 from tributary.functions.links import MAIN, SUB, Link, term_column
 from tributary.functions.names import col
 from tributary.functions.predicates import all_of
+from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
 from tributary.operators.exists import link_terms
 
@@ -70,34 +72,44 @@ def nested_detail(
     """Main rows with their detail rows nested: ``main.*, match_count, part, details``.
 
     ``main_key`` identifies a main row. A main row has one output row, part 0, unless it has more
-    than ``rows_per_part`` different detail rows; then those are dealt out by hash over as many parts
-    as needed, so that no task builds an unbounded array. Equal detail rows are one array element
-    with a ``copies`` field. Main rows without detail have ``match_count`` 0 and an empty array.
+    than ``rows_per_part`` detail rows; then those are dealt out over as many parts as needed, so that
+    no task builds an unbounded array. Equal detail rows are dealt by the map task that read them.
+    Main rows without detail have ``match_count`` 0 and an empty array. With links other than
+    equalities the pairs are formed twice, once to count them.
     """
-    keys = [f"__m{i}" for i in range(len(main_key))]
-    pairs = detail_rows(main, sub, on, tree, sub_names, main_names).select(
-        *[col(m).alias(k) for m, k in zip(main_key, keys)], "detail"
-    )
-    copies = pairs.groupBy(*keys, "detail").agg(F.count(F.lit(1)).alias("copies"))
-    sizes = copies.groupBy(*keys).agg(
-        F.sum("copies").alias("match_count"), F.ceil(F.count(F.lit(1)) / rows_per_part).alias("parts")
+    terms = _terms(main, sub, on, tree, sub_names, main_names)
+    equal = bool(terms) and all(isinstance(t, Link) and t.op == "=" for t in terms)
+    if equal:
+        counted = match_counts(main, sub, on, tree, sub_names, main_names)
+    else:
+        sizes = detail_rows(main, sub, on, tree, sub_names, main_names).groupBy(*[col(k) for k in main_key])
+        sizes = sizes.agg(F.count(F.lit(1)).alias("match_count"))
+        same = all_of(col(k, "a").eqNullSafe(col(k, "b")) for k in main_key)
+        counted = main.alias("a").join(sizes.alias("b"), same, "left")
+        counted = counted.select(*[col(c, "a") for c in main.columns], F.coalesce("match_count", F.lit(0)).alias("match_count"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("match_count") / rows_per_part)).alias("__parts")
+    numbered = counted.select("*", parts)
+    located = sub.select("*", F.lit(True).alias("__match"), F.spark_partition_id().alias("__at"))
+    keys = [(t.main_field, t.field) for t in terms] if equal else []
+    if equal and not fits_broadcast(sub) and _same_kinds(main, sub, keys):
+        left, right, pairs = "t1", "t2", skew.left_outer(numbered, located, keys)
+    else:
+        test = all_of(term_column(t, sub.schema, main.schema) for t in terms)
+        left, right, pairs = MAIN, SUB, numbered.alias(MAIN).join(located.alias(SUB), test, "left")
+    detail = F.struct(*[col(c, right).alias(c) for c in sub.columns])
+    dealt = pairs.select(
+        *[col(c, left) for c in counted.columns],
+        F.coalesce(F.pmod(F.xxhash64(detail, F.col("__at")), F.col("__parts")), F.lit(0)).alias("part"),
+        F.when(F.col("__match"), detail).alias("__detail"),
     )
-    dealt = skew.lookup(copies, sizes, keys, "match_count", null_safe=True).select(
-        *keys,
-        "match_count",
-        F.pmod(F.xxhash64("detail"), F.col("parts")).alias("part"),
-        F.struct("detail.*", "copies").alias("detail"),
+    others = [F.first(col(c)).alias(c) for c in counted.columns if c not in main_key]
+    nested = dealt.groupBy(*[col(k) for k in main_key], "part").agg(
+        *others, F.sort_array(F.collect_list("__detail")).alias("details")
     )
-    nested = dealt.groupBy(*keys, "match_count", "part").agg(F.sort_array(F.collect_list("detail")).alias("details"))
-    same = all_of(col(m, MAIN).eqNullSafe(F.col(f"n.{k}")) for m, k in zip(main_key, keys))
-    empty = F.array().cast(nested.schema["details"].dataType)
-    return (
-        main.alias(MAIN)
-        .join(nested.alias("n"), same, "left")
-        .select(
-            *[col(c, MAIN) for c in main.columns],
-            F.coalesce("n.match_count", F.lit(0)).alias("match_count"),
-            F.coalesce("n.part", F.lit(0)).alias("part"),
-            F.coalesce("n.details", empty).alias("details"),
-        )
+    return nested.select(*[col(c) for c in main.columns], "match_count", "part", "details")
+
+
+def _same_kinds(main: DataFrame, sub: DataFrame, keys: skew.Keys) -> bool:
+    return all(
+        V.kind(V.field_type(main.schema, m)) == V.kind(V.field_type(sub.schema, s)) for m, s in keys
     )

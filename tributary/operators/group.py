@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tributary.functions import values as V
 from tributary.functions.names import col, known_fields
 from tributary.functions.predicates import all_of, condition, filled, resolve
+from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
 from tributary.operators.view import Sort, sort_columns
 
@@ -155,7 +156,12 @@ def median(
         F.percentile_approx(x, [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
     )
     if names:
-        near = skew.lookup(data, bounds, names, "__n", null_keys)
+        pairs = [(n, n) for n in names]
+        if fits_broadcast(data):
+            met = bounds.alias("t1").join(data.alias("t2"), skew.key_test(pairs, "t1", "t2", null_keys))
+        else:
+            met = skew.left_outer(bounds, data, pairs, null_keys)  # every key has rows
+        near = met.select(*[F.col(f"t1.{n}").alias(n) for n in names], "t2.__x", "t1.__n", "t1.__b")
     else:
         near = data.crossJoin(F.broadcast(bounds))  # one row
     slot = F.when(x >= F.col("__b")[0], x).alias("__v")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tributary.functions.names import col
 from tributary.functions.predicates import all_of
-from tributary.functions.sizing import fits_broadcast
 
 ROWS_PER_SHARD = 1_000_000
 HOT_KEYS = 1024
@@ -72,28 +71,3 @@ def left_outer(
     joined = copied.alias("t1").join(spread.alias("t2"), test, "left")
     # A hot key has matches, so a copy without one only met an empty shard.
     return joined.where(~(F.col("t1.__hot") & F.col("t2.__here").isNull()))
-
-
-def lookup(
-    data: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, null_safe: bool = False
-) -> DataFrame:
-    """Rows of ``data`` with the columns of ``table``, which has one row per key and in ``weight`` the
-    number of data rows of that key.
-
-    When the table is too large to broadcast, its at most 1024 heaviest rows above the shard size
-    are, so that hot keys never enter the shuffle; the other keys are joined by shuffle. Both parts
-    lose the key's partitioning, which lets a following aggregation combine before it shuffles.
-    """
-    pairs = [(k, k) for k in keys]
-    added = [c for c in table.columns if c not in keys]
-
-    def joined(rows: DataFrame, small: DataFrame) -> DataFrame:
-        both = rows.alias("a").join(small.alias("b"), key_test(pairs, "a", "b", null_safe))
-        return both.select(*[col(c, "a") for c in rows.columns], *[col(c, "b") for c in added])
-
-    if fits_broadcast(table):
-        return joined(data, table)
-    hot = table.where(col(weight) > ROWS_PER_SHARD).orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
-    marks = F.broadcast(hot.select(*keys).alias("b"))
-    cold = data.alias("a").join(marks, key_test(pairs, "a", "b", null_safe), "left_anti")
-    return joined(data, F.broadcast(hot)).unionAll(joined(cold, table))
