@@ -62,7 +62,7 @@ TEXT = [
     for f, op, v in itertools.product(
         ["good", "state", "note"],
         ["=", "!=", "contains", "not_contains", "starts_with", "ends_with"],
-        ["tea", "T", "Soap", "o", "on hold", "s,h", "zzz", "!", "%", "_", ""],
+        ["tea", "T", "Soap", "o", "on hold", "s,h", "zzz", "q, EA,so,zz,x", "1,2,3,4", "!", "%", "_", ""],
     )
 ]
 LISTS = [

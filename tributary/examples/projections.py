@@ -2,8 +2,8 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tributary import UserFunction, Workspace, distinct_values, page, sort, transform, view
-from tributary.examples.registry import query, table
+from tributary import UserFunction, Workspace, distinct_values, page, sort, transform, view, where
+from tributary.examples.registry import leaf, query, table
 
 
 @query("view_select_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
@@ -62,6 +62,18 @@ def page_3(spark, folder):
     return page(view(table(spark, folder, "orders"), ["o_orderkey", "o_totalprice"]), 3, 50, ["o_orderkey"])
 
 
+@query(
+    "page_with_total",
+    """
+    SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS total_count
+    FROM customer WHERE c_acctbal > 0 ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 20
+    """,
+)
+def page_with_total(spark, folder):
+    customers = where(table(spark, folder, "customer"), leaf("c_acctbal", ">", 0))
+    return page(view(customers, ["c_custkey", "c_acctbal"]), 2, 20, [("c_acctbal", False), "c_custkey"], "total_count")
+
+
 @query(
     "transform_arith",
     """

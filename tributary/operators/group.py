@@ -2,7 +2,7 @@
 
 Every metric here is merged from partial results before and after the shuffle, so a key holding a
 third of the rows is no heavier than another. The exact median is computed in two passes for the same
-reason instead of collecting a group's values.
+reason, instead of collecting a group's values, unless the input is proven small.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import values as V
-from tributary.functions.names import col, known_fields
+from tributary.functions.names import col, known_fields, unique
 from tributary.functions.predicates import all_of, condition, filled, resolve
 from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
@@ -112,17 +112,26 @@ def _aggregate(
     out = rows.groupBy(*[col(k) for k in keys]).agg(*plain) if plain else rows.select(*[col(k) for k in keys]).distinct()
     if not plain and not keys:
         out = rows.sparkSession.range(1).select()
-    for field, alias in medians:
-        out = _with(out, median(rows, keys, field, alias, null_keys), keys, alias, null_keys)
+    if medians and _small(rows, keys, [f for f, _ in medians]):
+        direct = rows.groupBy(*[col(k) for k in keys]).agg(*[F.median(col(f)).alias(a) for f, a in medians])
+        out = _with(out, direct, keys, [a for _, a in medians], null_keys)
+    else:
+        for field, alias in medians:
+            out = _with(out, median(rows, keys, field, alias, null_keys), keys, [alias], null_keys)
     return out.select(*[col(k) for k in keys], *[col(alias) for _, _, alias in wanted])
 
 
-def _with(out: DataFrame, more: DataFrame, keys: Sequence[str], alias: str, null_keys: bool) -> DataFrame:
+def _with(out: DataFrame, more: DataFrame, keys: Sequence[str], aliases: Sequence[str], null_keys: bool) -> DataFrame:
     if not keys:
         return out.crossJoin(F.broadcast(more))  # one row each
     test = skew.key_test([(k, k) for k in keys], "a", "b", null_keys)
     joined = out.alias("a").join(more.alias("b"), test, "left")
-    return joined.select(*[col(c, "a") for c in out.columns], col(alias, "b"))
+    return joined.select(*[col(c, "a") for c in out.columns], *[col(a, "b") for a in aliases])
+
+
+def _small(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> bool:
+    """Within the broadcast bound a group's values fit any task, and Spark's own median will do."""
+    return fits_broadcast(rows.select(*[col(c) for c in unique([*keys, *fields])]))
 
 
 def _edge(rows: DataFrame, field: str, func: str, order_by: Sequence[Sort]) -> Column:

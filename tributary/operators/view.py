@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tributary.functions.names import col, known_fields
 
@@ -69,13 +70,19 @@ def distinct_values(df: DataFrame, field: str, distinct: bool = True) -> DataFra
     return out.distinct() if distinct else out
 
 
-def page(df: DataFrame, number: int, size: int, order_by: Sequence[Sort]) -> DataFrame:
-    """Rows of page ``number`` (from 1). ``order_by`` must end in a unique key, or pages may overlap."""
+def page(
+    df: DataFrame, number: int, size: int, order_by: Sequence[Sort], total: str | None = None
+) -> DataFrame:
+    """Rows of page ``number`` (from 1). ``order_by`` must end in a unique key, or pages may overlap.
+    ``total`` names a column for the row count of the whole result, which is counted on its own."""
     if number < 1 or size < 0:
         raise ValueError("pages count from 1 and sizes are not negative")
     order = sort_columns(order_by)
     known_fields(df, [n for n, _ in order], "error", "page")
-    return df.orderBy(*ordering(order)).offset((number - 1) * size).limit(size)
+    rows = df.orderBy(*ordering(order)).offset((number - 1) * size).limit(size)
+    if total is None:
+        return rows
+    return rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(total))))  # one row
 
 
 def preview(df: DataFrame, rows: int = 50) -> DataFrame:
