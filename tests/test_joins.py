@@ -97,6 +97,31 @@ def test_compound_theta_and_variables(sides):
     )
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_join_with_a_comparison(spark, both_ways, how):
+    rng = random.Random(8)
+    some = lambda: rng.choice([None, 1, 1, 1, 2, 3])
+    left, right = [(some(), i % 7) for i in range(30)], [(some(), i % 9) for i in range(25)]
+    for null_safe in (False, True):
+        got = join(
+            spark.createDataFrame(left, "k long, v long"),
+            spark.createDataFrame(right, "k long, w long"),
+            [("k", "k"), ("v", ">", "w")],
+            how,
+            null_safe=null_safe,
+        )
+
+        def match(a, b):
+            return a[0] == b[0] and (null_safe or a[0] is not None) and a[1] > b[1]
+
+        want = [(a[0], a[1], b[1]) for a in left for b in right if match(a, b)]
+        if how in ("left", "full"):
+            want += [(*a, None) for a in left if not any(match(a, b) for b in right)]
+        if how in ("right", "full"):
+            want += [(b[0], None, b[1]) for b in right if not any(match(a, b) for a in left)]
+        assert got.columns == ["k", "v", "w"] and multiset(got.collect()) == multiset(want)
+
+
 def test_text_keys_meet_number_keys(spark):
     left = spark.createDataFrame([("1",), ("x",), (None,)], "t string")
     right = spark.createDataFrame([(1,), (2,)], "n long")

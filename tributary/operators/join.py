@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tributary.functions import values as V
 from tributary.functions.expressions import Bindings
 from tributary.functions.links import FLIPPED, plain_comparisons, requalify
-from tributary.functions.names import col
+from tributary.functions.names import col, unique
 from tributary.functions.predicates import ORDERING, all_of
 from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
@@ -64,7 +64,9 @@ def join(
     shared = [a for a, b in keys if a == b]
     plain = len(keys) == len(terms) and not any(_needs_cast(left, right, k) for k in keys)
     padded = {"left": [right], "right": [left], "full": [left, right]}.get(how, [])
-    guard = plain and padded and (spread if spread is not None else not all(map(fits_broadcast, padded)))
+    guard = keys and padded and (spread if spread is not None else not all(map(fits_broadcast, padded)))
+    if guard and not plain:
+        return _in_parts(left, right, terms, shared, how, suffix, null_safe)
     if guard and how == "left":
         joined = skew.left_outer(left, right, keys, null_safe)
     elif guard and how == "right":
@@ -158,14 +160,44 @@ def _full(
     """A full join is the left join plus the right rows whose key the left never has. Spark can
     split a hot key in both halves, but not in its own full join."""
     half = skew.left_outer(left, right, keys, null_safe).select(*_output(left, right, shared, "full", suffix))
-    seen = left.select(*[col(a) for a, _ in keys]).distinct()
-    test = skew.key_test(keys, LEFT, RIGHT, null_safe)
-    rest = right.alias(RIGHT).join(seen.alias(LEFT), test, "left_anti")
+    terms = [(a, "=", b) for a, b in keys]
+    return half.unionByName(_right_only(left, right, terms, shared, suffix, null_safe))
+
+
+def _in_parts(
+    left: DataFrame, right: DataFrame, terms, shared: Sequence[str], how: str, suffix: str, null_safe: bool
+) -> DataFrame:
+    """An outer join on more than equal keys as its inner join plus the rows without a partner.
+    Adaptive execution can split a hot key in each part."""
+    test = all_of(_test(left, right, t, null_safe) for t in terms)
+    inner = left.alias(LEFT).join(right.alias(RIGHT), test, "inner")
+    out = inner.select(*_output(left, right, shared, how, suffix))
+    if how in ("left", "full"):
+        out = out.unionByName(_left_only(left, right, terms, shared, suffix, null_safe))
+    if how in ("right", "full"):
+        out = out.unionByName(_right_only(left, right, terms, shared, suffix, null_safe))
+    return out
+
+
+def _left_only(left: DataFrame, right: DataFrame, terms, shared: Sequence[str], suffix: str, null_safe: bool):
+    test = all_of(_test(left, right, t, null_safe) for t in terms)
+    others = right.select(*[col(n) for n in unique(b for _, _, b in terms)]).distinct()
+    rest = left.alias(LEFT).join(others.alias(RIGHT), test, "left_anti")
+    pads = [
+        F.lit(None).cast(f.dataType).alias(f.name + suffix if f.name in left.columns else f.name)
+        for f in right.schema
+        if f.name not in shared
+    ]
+    return rest.select(*[col(c) for c in left.columns], *pads)
+
+
+def _right_only(left: DataFrame, right: DataFrame, terms, shared: Sequence[str], suffix: str, null_safe: bool):
+    test = all_of(_test(left, right, t, null_safe) for t in terms)
+    others = left.select(*[col(n) for n in unique(a for a, _, _ in terms)]).distinct()
+    rest = right.alias(RIGHT).join(others.alias(LEFT), test, "left_anti")
     pads = [
         col(f.name).alias(f.name) if f.name in shared else F.lit(None).cast(f.dataType).alias(f.name)
         for f in left.schema
     ]
-    rights = [
-        col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c not in shared
-    ]
-    return half.unionByName(rest.select(*pads, *rights))
+    kept = [col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c not in shared]
+    return rest.select(*pads, *kept)
