@@ -1,6 +1,8 @@
 """Expression text against Python's own evaluation."""
 
 import math
+import subprocess
+import sys
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -147,3 +149,20 @@ def test_user_functions(frame):
     assert got[3] == (None, None, 0.0) and got[4] == (10 / 12, "a", 6.0)
     with pytest.raises(ValueError):
         transform(frame, [{"outputField": "z", "expression": "def transform(row): return 1", "mode": "python"}])
+
+
+def test_functions_run_where_the_package_is_not_installed(tmp_path):
+    """Workers of a session started elsewhere cannot import the package."""
+    root = __file__.rsplit("/tests/", 1)[0]
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from tributary.examples import QUERIES
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("udf_row", "udf_vector"):
+    QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+print("done")
+"""
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "done" in out.stdout, out.stderr[-2000:]

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Sequence
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tributary.functions.names import col
 
+# Executors need not have this package installed: what it sends them travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 _COERCE = {T.LongType: int, T.IntegerType: int, T.DoubleType: float, T.StringType: str, T.BooleanType: bool}
 
 
