@@ -35,6 +35,12 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op9_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.packing import pack
 
@@ -43,5 +49,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_mix_sources, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_mix_sources, op9_simhash_duplicates, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}
