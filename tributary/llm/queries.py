@@ -21,6 +21,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_perplexity_bands(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.quality import quality
+
+    return quality(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.token_counts import count_tokens, new_cache
 
@@ -35,6 +41,12 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op8_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.suffix_tree import score
+
+    return score(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 def op9_simhash_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.simhash import near_duplicates
 
@@ -49,5 +61,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_token_counts, op5_mix_sources, op9_simhash_duplicates, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op4_token_counts, op5_mix_sources, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}

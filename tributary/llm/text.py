@@ -126,3 +126,46 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def rows_of(bounds: np.ndarray) -> np.ndarray:
     """The row of each value."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+#: Of a polynomial hash over randomly coded bytes, modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+BYTE_CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64, endpoint=False) * np.uint64(2) + np.uint64(1)
+
+
+def powers(base: int, count: int) -> np.ndarray:
+    """``base ** 0 .. count - 1``."""
+    held = memo("powers")
+    if len(held.get(base, ())) < count:
+        steps = np.full(max(count, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        held[base] = np.cumprod(steps, dtype=np.uint64)
+    return held[base][:count]
+
+
+class HashedWords(NamedTuple):
+    """A 64-bit hash and the last byte of each word; row r has the words ``bounds[r]:bounds[r + 1]``."""
+
+    hashes: np.ndarray
+    last: np.ndarray
+    bounds: np.ndarray
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each ``data[start:end]`` that depends on its bytes only."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODES[data] * powers(BASE, len(data)), out=total[1:])
+    inverse = pow(BASE, -1, 1 << 64)
+    found = (total[ends] - total[starts]) * powers(inverse, len(data) + 1)[starts]
+    return mixed(found ^ (ends - starts).astype(np.uint64))
+
+
+def hashed_words(offsets: np.ndarray, data: np.ndarray, lower: bool = False) -> HashedWords:
+    starts = word_starts(offsets, data)
+    keep = ~IS_SPACE[data]
+    packed = LOWER[data[keep]] if lower else data[keep]
+    if not len(starts):
+        return HashedWords(np.zeros(0, np.uint64), packed, np.zeros(len(offsets), np.int64))
+    begins = np.cumsum(keep, dtype=np.int64)[starts] - 1
+    ends = np.append(begins[1:], len(packed))
+    return HashedWords(range_hashes(packed, begins, ends), packed[ends - 1], np.searchsorted(starts, offsets))
