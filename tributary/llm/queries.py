@@ -41,6 +41,12 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op6_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.toxicity import classify
+
+    return classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op8_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.suffix_tree import score
 
@@ -61,5 +67,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op4_token_counts, op5_mix_sources, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}
