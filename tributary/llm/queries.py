@@ -47,6 +47,12 @@ def op6_compression_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return classify(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.pii import find_personal_data
+
+    return find_personal_data(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 def op8_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.suffix_tree import score
 
@@ -67,5 +73,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}
