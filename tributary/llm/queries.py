@@ -27,6 +27,12 @@ def op1_perplexity_bands(spark: SparkSession, folder: str) -> DataFrame:
     return quality(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op2_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.repeats import remove_repeats
+
+    return remove_repeats(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 def op3_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.graph_index import search
 
@@ -80,5 +86,5 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op3_graph_neighbours, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op2_repeated_passages, op3_graph_neighbours, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}
