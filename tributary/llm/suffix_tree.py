@@ -40,16 +40,16 @@ class Tree(NamedTuple):
     distinct: int
 
 
-def tested(entries: DataFrame, totals: DataFrame, least: float) -> DataFrame:
+def tested(entries: DataFrame, totals: DataFrame, least: float, tokens: int) -> DataFrame:
     """(context, total) of the contexts seen ``least`` times or more whose next symbols diverge from those of the next shorter context.
 
     ``entries`` (context, n, shorter): how often a symbol follows, and its probability after the shorter context. The test compares the gain in
-    log likelihood with half the logarithm of the context's count for each of its symbols.
+    log likelihood with half the logarithm of the number of tokens for each of its symbols.
     """
     rows = entries.join(totals.where(F.col("total") >= least), "context")
     gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("shorter")))
     found = rows.groupBy("context").agg(F.first("total").alias("total"), gain.alias("gain"), F.count("*").alias("symbols"))
-    return found.where(F.col("gain") > F.col("symbols") * F.log(F.col("total")) / 2).select("context", "total")
+    return found.where(F.col("gain") > F.col("symbols") * math.log(max(2, tokens)) / 2).select("context", "total")
 
 
 def distributions(counts: DataFrame, states: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,9 +98,9 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame, str]:
     after_one = two.select(context, F.col("key").bitwiseAND(ONE).alias("symbol"), "n").join(roots, "symbol").select("context", "n", "shorter")
     parents = two.withColumn("context", F.shiftright("key", BITS)).join(total_one, "context").select(F.col("key").alias("pair"), (F.col("n") / F.col("total")).alias("shorter"))
     after_two = three.select(context, F.col("key").bitwiseAND(TWO).alias("pair"), "n").join(parents, "pair").select("context", "n", "shorter")
-    states_two = cut(tested(after_two, total_two, least))
+    states_two = cut(tested(after_two, total_two, least, tokens))
     # A state's shorter contexts are states as well.
-    wanted = tested(after_one, total_one, least).select("context").unionAll(states_two.select(F.col("context").bitwiseAND(ONE).alias("context"))).distinct()
+    wanted = tested(after_one, total_one, least, tokens).select("context").unionAll(states_two.select(F.col("context").bitwiseAND(ONE).alias("context"))).distinct()
     states_one = cut(total_one.join(wanted, "context"))
 
     keys3, p3, contexts2, weight2 = distributions(three, states_two, entry)
