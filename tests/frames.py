@@ -1,21 +1,27 @@
-"""Small literal frames shared by tests."""
+"""Small frames shared by tests, drawn at random with a fixed seed."""
+
+import random
 
 GOODS = ["tea", "rice", "salt", "Soap"]
 STATES = ["open", "sent", "done", "on hold"]
+DEALS_SCHEMA = "id long, units long, price double, good string, state string, note string, paid boolean"
 
 
-def deals():
-    """72 rows: whole and broken numbers, four texts each, notes with '' and null."""
-    rows = []
-    for i in range(1, 73):
-        note = f"{GOODS[i % 4]}-{i}" + ("!" if i % 5 == 0 else "")
-        note = "" if i % 7 == 0 else note
-        note = None if i % 11 == 0 else note
-        rows.append((i, (i * 13) % 97, None if i % 10 == 0 else (i % 16) / 2, GOODS[i % 4], STATES[i % 4], note, i % 2 == 0 if i % 9 else None))
-    return rows
+def random_deals(count=90, seed=77):
+    """Each cell is drawn by itself: amounts from uneven ranges, texts built of random syllables and marks, some empty, some null."""
+    rng = random.Random(seed)
 
+    def maybe(value, share):
+        return None if rng.random() < share else value
 
-DEALS_SCHEMA = "id long, units long, price double, good string, state string, note string, paid boolean"
+    def note():
+        words = ["".join(rng.choice(["te", "Ri", "so", "al", "ap", "!"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 3))]
+        return " ".join(words)
+
+    return [
+        (n, rng.choice([rng.randint(-3, 9), rng.randint(10, 99)]), maybe(rng.randint(0, 31) / 4, 0.15), rng.choice(GOODS), rng.choice(STATES), maybe(note(), 0.2), maybe(rng.random() < 0.5, 0.2))
+        for n in rng.sample(range(1, count + 1), count)
+    ]
 
 
 def as_dicts(rows, schema):
