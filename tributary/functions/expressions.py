@@ -121,6 +121,8 @@ class _Reader:
                 whole = F.try_subtract(a, _modulo(a, b))
                 return F.call_function("div", whole, F.nullif(b, F.lit(0).cast("long"))), INT
             return F.try_divide(F.try_subtract(a, _modulo(a, b)), b), FLOAT
+        if op is ast.Pow and out == INT and isinstance(node.right, ast.Constant) and 0 <= int(node.right.value) <= 64:
+            return _whole_power(a, int(node.right.value)), INT
         if op is ast.Pow:
             power = F.pow(a.cast("double"), b.cast("double"))
             finite = F.when(~F.isnan(power) & (F.abs(power) < F.lit(float("inf"))), power)
@@ -239,6 +241,18 @@ class _Reader:
         return F.coalesce(test, F.lit(False))
 
 
+def _whole_power(a: Column, exponent: int) -> Column:
+    """Exact, null beyond a long."""
+    out, factor = F.lit(1).cast("long"), a.cast("long")
+    while exponent:
+        if exponent % 2:
+            out = F.try_multiply(out, factor)
+        exponent //= 2
+        if exponent:
+            factor = F.try_multiply(factor, factor)
+    return F.when(a.isNotNull(), out)
+
+
 def _modulo(a: Column, b: Column) -> Column:
     """Remainder with the divisor's sign; null for a zero divisor."""
     r = F.try_mod(a, b)

@@ -123,8 +123,9 @@ def _term(item: Mapping[str, Any], subs: T.StructType, mains: T.StructType):
     if not main_name:
         return None
     _require(main_name, mains, "main")
-    known = op in FLIPPED or op in TEXT_LINKS or op == "not_contains"
-    return Link(name, op if known else "=", main_name)
+    if not (op in FLIPPED or op in TEXT_LINKS or op == "not_contains"):
+        raise ValueError(f"unknown link operator '{op}' on '{name}'")
+    return Link(name, op, main_name)
 
 
 def _require(name: str, schema: T.StructType, side: str) -> None:

@@ -67,15 +67,16 @@ def condition(
 
     c, dtype = col(name), V.field_type(schema, name)
     k, text = V.kind(dtype), V.text_of(col(name), dtype)
+    missing = c.isNull() | F.isnan(c) if V.is_floating(dtype) else c.isNull()  # NaN is no value
     match op:
         case "is_null":
-            return c.isNull()
+            return missing
         case "is_not_null":
-            return c.isNotNull()
+            return ~missing if V.is_floating(dtype) else c.isNotNull()
         case "is_empty":
-            return c.isNull() | (text == "")
+            return missing | (text == "")
         case "is_not_empty":
-            return c.isNotNull() & (text != "")
+            return ~missing & (text != "") if V.is_floating(dtype) else c.isNotNull() & (text != "")
         case "is_true" | "is_false":
             flag = c if k == "boolean" else text.try_cast("boolean")
             return flag.eqNullSafe(op == "is_true")
@@ -223,7 +224,11 @@ def _ordered(
         cell, cell_type = _moments(c, dtype, k)
         return compare(cell, V.moment_literal(V.as_moment(value)[0], cell_type))
     if k == "number" or _is_numeric(k, value, data_type):
-        return compare(_numbers(c, k), F.lit(_number(value)))
+        cell = _numbers(c, k)
+        test = compare(cell, F.lit(_number(value)))
+        # Spark orders NaN above all numbers; the comparison itself still reaches the scan.
+        above = compare in (op_.gt, op_.ge) and (V.is_floating(dtype) or k not in ("number", "boolean"))
+        return test & ~F.isnan(cell) if above else test
     return compare(c, F.lit(str(value)).try_cast(dtype))
 
 
@@ -253,8 +258,7 @@ def filled(schema: T.StructType, names: Iterable[str]) -> Column:
 
     def test(name: str) -> Column:
         c = col(name)
-        floating = isinstance(V.field_type(schema, name), (T.FloatType, T.DoubleType))
-        return c.isNotNull() & ~F.isnan(c) if floating else c.isNotNull()
+        return c.isNotNull() & ~F.isnan(c) if V.is_floating(V.field_type(schema, name)) else c.isNotNull()
 
     return all_of(test(n) for n in names)
 

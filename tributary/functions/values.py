@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tributary.functions.names import col
 
+WHOLE_TEXT = r"^\s*([+-]?\d+)(?:\.0*)?\s*$"
 INT64 = (-(2**63), 2**63 - 1)
 
 
@@ -32,6 +33,10 @@ def kind(data_type: T.DataType) -> str:
     return "other"
 
 
+def is_floating(data_type: T.DataType) -> bool:
+    return isinstance(data_type, (T.FloatType, T.DoubleType))
+
+
 def text_of(column: Column, data_type: T.DataType) -> Column:
     """Text form of a cell; nested cells become JSON."""
     return F.to_json(column) if kind(data_type) == "nested" else column.cast("string")
@@ -100,20 +105,22 @@ def aligned(left: Column, left_type: T.DataType, right: Column, right_type: T.Da
     if lk == rk:
         return left, right
     if lk == "text":
-        return left.try_cast(_wide(right_type)), right
+        return _read_as(left, right_type), right
     if rk == "text":
-        return left, right.try_cast(_wide(left_type))
+        return left, _read_as(right, left_type)
     if {lk, rk} == {"number", "boolean"}:
         return left.cast("double"), right.cast("double")
     return left, right
 
 
-def _wide(data_type: T.DataType) -> T.DataType:
+def _read_as(text: Column, data_type: T.DataType) -> Column:
+    """A text as the kind it is compared with. Beside whole numbers it must be one itself: nothing is rounded to meet a key."""
     if isinstance(data_type, T.IntegralType):
-        return T.DecimalType(38, 10)
-    if isinstance(data_type, T.NumericType) and not isinstance(data_type, T.DecimalType):
-        return T.DoubleType()
-    return data_type
+        whole = F.regexp_extract(text, WHOLE_TEXT, 1)
+        return F.when(whole != "", whole).try_cast(T.DecimalType(38, 0))
+    if is_floating(data_type):
+        return text.try_cast(T.DoubleType())
+    return text.try_cast(data_type)
 
 
 def field_type(schema: T.StructType, name: str) -> T.DataType:

@@ -2,7 +2,7 @@
 
 Every metric here is merged from partial results before and after the shuffle, so a key holding a
 third of the rows is no heavier than another. The exact median is computed in two passes for the same
-reason, instead of collecting a group's values, unless the input is proven small.
+reason, instead of collecting a group's values; the way is the same for every size of input. NaN counts as no value.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions import values as V
-from tributary.functions.names import col, known_fields, unique
+from tributary.functions.names import col, known_fields
 from tributary.functions.predicates import all_of, condition, filled, resolve
 from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
@@ -100,24 +101,24 @@ def _aggregate(
     plain, medians = [], []
     for field, func, alias in wanted:
         if field is None:
+            if func not in ("count", "size"):
+                raise ValueError(f"'{func}' needs a field; only rows can be counted without one")
             plain.append(F.count(F.lit(1)).alias(alias))
         elif func in MEDIANS:
+            if V.kind(V.field_type(rows.schema, field)) != "number":
+                raise ValueError(f"'{func}' needs numbers; '{field}' is {V.field_type(rows.schema, field).simpleString()}")
             medians.append((field, alias))
         elif func in ORDERED:
             plain.append(_edge(rows, field, func, order_by).alias(alias))
         elif func in METRICS:
-            plain.append(METRICS[func](col(field)).alias(alias))
+            plain.append(METRICS[func](_value(rows, field)).alias(alias))
         else:
             raise ValueError(f"unknown aggregate function '{func}'")
     out = rows.groupBy(*[col(k) for k in keys]).agg(*plain) if plain else rows.select(*[col(k) for k in keys]).distinct()
     if not plain and not keys:
         out = rows.sparkSession.range(1).select()
-    if medians and _small(rows, keys, [f for f, _ in medians]):
-        direct = rows.groupBy(*[col(k) for k in keys]).agg(*[F.median(col(f)).alias(a) for f, a in medians])
-        out = _with(out, direct, keys, [a for _, a in medians], null_keys)
-    else:
-        for field, alias in medians:
-            out = _with(out, median(rows, keys, field, alias, null_keys), keys, [alias], null_keys)
+    for field, alias in medians:
+        out = _with(out, median(rows, keys, field, alias, null_keys), keys, [alias], null_keys)
     return out.select(*[col(k) for k in keys], *[col(alias) for _, _, alias in wanted])
 
 
@@ -129,9 +130,10 @@ def _with(out: DataFrame, more: DataFrame, keys: Sequence[str], aliases: Sequenc
     return joined.select(*[col(c, "a") for c in out.columns], *[col(a, "b") for a in aliases])
 
 
-def _small(rows: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> bool:
-    """Within the broadcast bound a group's values fit any task, and Spark's own median will do."""
-    return fits_broadcast(rows.select(*[col(c) for c in unique([*keys, *fields])]))
+def _value(rows: DataFrame, field: str) -> Column:
+    """A cell whose NaN is null."""
+    c = col(field)
+    return F.when(~F.isnan(c), c) if V.is_floating(V.field_type(rows.schema, field)) else c
 
 
 def _edge(rows: DataFrame, field: str, func: str, order_by: Sequence[Sort]) -> Column:
@@ -142,9 +144,10 @@ def _edge(rows: DataFrame, field: str, func: str, order_by: Sequence[Sort]) -> C
     if len({asc for _, asc in order}) > 1:
         raise ValueError(f"'{func}' needs one direction for all order_by fields")
     # Ties in the order are settled by the value, so that the answer is the same on every run.
-    rank = F.struct(*[col(n) for n, _ in order], col(field))
+    cell = _value(rows, field)
+    rank = F.struct(*[col(n) for n, _ in order], cell.alias("value"))
     pick = F.min_by if (func == "first") == order[0][1] else F.max_by
-    return pick(col(field), F.when(col(field).isNotNull(), rank))
+    return pick(cell, F.when(cell.isNotNull(), rank))
 
 
 def median(
@@ -158,7 +161,7 @@ def median(
     """
     names = [f"__k{i}" for i in range(len(keys))]
     x = F.col("__x")
-    data = rows.select(*[col(k).alias(n) for k, n in zip(keys, names)], col(field).alias("__x")).where(x.isNotNull())
+    data = rows.select(*[col(k).alias(n) for k, n in zip(keys, names)], _value(rows, field).alias("__x")).where(x.isNotNull())
     margin = 2.0 / accuracy
     bounds = data.groupBy(*names).agg(
         F.count(F.lit(1)).alias("__n"),
@@ -184,7 +187,10 @@ def median(
         return (F.col("__r") >= rank) & (F.col("__r") - F.col("__c") < rank)
 
     middle = ranked.where(holds(low) | holds(high)).groupBy(*names)
-    value = ((F.min("__v") + F.max("__v")) / 2).cast("double")
+    if isinstance(V.field_type(rows.schema, field), T.DecimalType):
+        value = ((F.min("__v") + F.max("__v")) / 2).cast("double")
+    else:  # halves first: the sum of two large values may overflow
+        value = F.min("__v").cast("double") / 2 + F.max("__v").cast("double") / 2
     return middle.agg(value.alias(alias)).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], col(alias))
 
 

@@ -10,11 +10,13 @@ TUNING = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot key even when that costs another shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Otherwise "SELECT * FROM t WHERE" is a query whose table is aliased WHERE.
+    "spark.sql.ansi.enforceReservedKeywords": "true",
+    # "name" is a column or table, 'text' a text.
+    "spark.sql.ansi.doubleQuotedIdentifiers": "true",
 }
 SETTINGS = {
     **TUNING,
-    # Otherwise "SELECT * FROM t WHERE" is a query whose table is aliased WHERE.
-    "spark.sql.ansi.enforceReservedKeywords": "true",
     # Call sites for error messages cost about half of the time a plan takes to build.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.dataFrameQueryContext.enabled": "false",
@@ -31,7 +33,7 @@ def configure(builder: SparkSession.Builder | None = None) -> SparkSession.Build
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch the adaptive handling of hot keys on in a session built elsewhere."""
+    """Switch the adaptive handling of hot keys, and the rules SQL text is read by, on in a session built elsewhere."""
     for key, value in TUNING.items():
         spark.conf.set(key, value)
     return spark

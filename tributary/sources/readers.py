@@ -18,7 +18,7 @@ NULL_TOKENS = (
 )
 # What a number and a whole number look like in a CSV cell.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
 
 
 def read_csv(
@@ -54,9 +54,16 @@ def _read_as(c: Column, data_type: T.DataType) -> Column:
 
 
 def _infer(text: DataFrame) -> dict[str, T.DataType]:
-    """Narrowest type every non-null cell of a column fits, found in one aggregation."""
+    """Narrowest type every non-null cell of a column fits, found in one aggregation. Whole numbers too long for a long become
+    decimals, and beyond these stay text: never doubles, which would lose digits."""
+
+    def whole(c: Column, data_type: T.DataType) -> Column:
+        return c.rlike(WHOLE) & F.trim(c).try_cast(data_type).isNotNull()
+
     types = (
-        (T.LongType(), lambda c: c.rlike(WHOLE)),
+        (T.LongType(), lambda c: whole(c, T.LongType())),
+        (T.DecimalType(38, 0), lambda c: whole(c, T.DecimalType(38, 0))),
+        (T.StringType(), lambda c: c.rlike(WHOLE)),
         (T.DoubleType(), lambda c: c.rlike(NUMBER)),
         (T.BooleanType(), lambda c: F.lower(c).isin("true", "false")),
     )
