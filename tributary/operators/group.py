@@ -163,9 +163,10 @@ def median(
     x = F.col("__x")
     data = rows.select(*[col(k).alias(n) for k, n in zip(keys, names)], _value(rows, field).alias("__x")).where(x.isNotNull())
     margin = 2.0 / accuracy
+    near_x = x.cast("double")  # keeps the order, which is all that the bounds need; the sketch itself works on doubles
     bounds = data.groupBy(*names).agg(
         F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(x, [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
+        F.percentile_approx(near_x, [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
     )
     if names:
         pairs = [(n, n) for n in names]
@@ -176,8 +177,8 @@ def median(
         near = met.select(*[F.col(f"t1.{n}").alias(n) for n in names], "t2.__x", "t1.__n", "t1.__b")
     else:
         near = data.crossJoin(F.broadcast(bounds))  # one row
-    slot = F.when(x >= F.col("__b")[0], x).alias("__v")
-    counted = near.where(x <= F.col("__b")[1]).groupBy(*names, "__n", slot).agg(F.count(F.lit(1)).alias("__c"))
+    slot = F.when(near_x >= F.col("__b")[0], x).alias("__v")
+    counted = near.where(near_x <= F.col("__b")[1]).groupBy(*names, "__n", slot).agg(F.count(F.lit(1)).alias("__c"))
     upto = Window.partitionBy(*names).orderBy(F.col("__v").asc_nulls_first())
     upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counted.withColumn("__r", F.sum("__c").over(upto))
