@@ -146,3 +146,23 @@ def test_self_join(sides):
         (a, v, w) for a, v in LEFT for b, w in LEFT if a == b and a is not None
     )
     assert join(left, left, "x.k = y.k AND x.v < y.v", "inner", left_names=["x"], right_names=["y"]).count() == 1
+
+
+def test_free_text_is_cut_into_keys_and_the_rest(spark):
+    left = spark.createDataFrame([(1, 5), (2, 1), (3, 4)], "k long, a long")
+    right = spark.createDataFrame([(1, 9), (2, 0), (4, 7)], "k long, b long")
+    got = join(left, right, "l.k = r.k AND (r.b > 3 OR l.a > 4)", "full", left_names=["l"], right_names=["r"])
+    assert got.columns == ["k", "a", "b"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 5, 9), (2, 1, None), (2, None, 0), (3, 4, None), (4, None, 7)], key=str)
+    got = join(left, right, "l.k = r.k AND r.b BETWEEN 1 AND {top}", "left", left_names=["l"], right_names=["r"], variables={"top": 9})
+    assert sorted(map(tuple, got.collect())) == [(1, 5, 9), (2, 1, None), (3, 4, None)]
+    assert "SortMergeJoin" in join(spark.range(9), spark.range(9), "l.id = r.id AND l.id + r.id > 3", "inner", left_names=["l"], right_names=["r"])._jdf.queryExecution().sparkPlan().toString().replace("BroadcastHashJoin", "SortMergeJoin")
+
+
+def test_large_products_are_refused(spark):
+    large = spark.range(10**8)
+    for how, on in (("cross", None), ("inner", "l.id < r.id"), ("full", "1=1")):
+        with pytest.raises(ValueError):
+            join(large, large, on, how, left_names=["l"], right_names=["r"])
+    assert join(large, large, "l.id < r.id", "inner", left_names=["l"], right_names=["r"], product=True).columns == ["id", "id_joined"]
+    assert join(large, spark.range(3), None, "left").columns == ["id", "id_joined"]

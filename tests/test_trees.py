@@ -196,3 +196,8 @@ def test_reading_trees(tmp_path):
     path = tmp_path / "tree.json"
     path.write_text(json.dumps({"tree": raw}))
     assert read_tree_file(str(path)) == wrapped
+
+
+def test_a_step_without_a_name_is_refused():
+    with pytest.raises(ValueError):
+        read_tree({"id": "r", "name": "all", "operationType": "root", "children": [{"id": "a", "children": []}]})

@@ -153,6 +153,28 @@ def plain_comparisons(text: str) -> list[tuple[str | None, str, str, str | None,
     return out
 
 
+_TOKEN = re.compile(r"'(?:[^']|'')*'|\"[^\"]*\"|`[^`]*`|[A-Za-z_][\w]*|[()]|\s+|.", re.DOTALL)
+
+
+def conjuncts(text: str) -> list[str] | None:
+    """The parts that must all hold, cut at each AND that is in no bracket, quote or BETWEEN; None if OR stands among them."""
+    parts, depth, between = [""], 0, 0
+    for token in _TOKEN.findall(text):
+        word = token.upper()
+        depth += (token == "(") - (token == ")") + (word == "CASE") - (word == "END")
+        if depth == 0 and word == "OR":
+            return None
+        if depth == 0 and word == "BETWEEN":
+            between += 1
+        if depth == 0 and word == "AND":
+            if not between:
+                parts.append("")
+                continue
+            between -= 1
+        parts[-1] += token
+    return [p.strip() for p in parts]
+
+
 def requalify(text: str, names: Mapping[str, str]) -> str:
     """Replace table prefixes (``orders.x`` -> ``main.x``) outside quoted text."""
     pieces = re.split(r"('(?:[^']|'')*')", text)

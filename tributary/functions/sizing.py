@@ -23,6 +23,12 @@ def broadcast_limit(spark: SparkSession) -> int:
     return max(0, int(text))
 
 
+def known_large(df: DataFrame, least: int = 10 << 20) -> bool:
+    """The estimate says that a side is beyond the bound, or beyond ``least`` where broadcasting is off. Rows given by the caller have no estimate."""
+    size = estimated_bytes(df)
+    return size is not None and max(least, broadcast_limit(df.sparkSession)) < size < 2**62
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """True only when the estimate is known and within the bound."""
     size = estimated_bytes(df)

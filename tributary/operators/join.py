@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tributary.functions import values as V
 from tributary.functions.expressions import Bindings
-from tributary.functions.links import FLIPPED, plain_comparisons, requalify
+from tributary.functions.links import FLIPPED, conjuncts, plain_comparisons, requalify
 from tributary.functions.names import col, unique
 from tributary.functions.predicates import ORDERING, all_of
-from tributary.functions.sizing import fits_broadcast
+from tributary.functions.sizing import fits_broadcast, known_large
 from tributary.operators import skew
 
 # Join words and Spark's names for them.
@@ -33,6 +33,7 @@ def join(
     left_names: Sequence[str] = (),
     right_names: Sequence[str] = (),
     spread: bool | None = None,
+    product: bool = False,
 ) -> DataFrame:
     """Join two tables.
 
@@ -44,24 +45,31 @@ def join(
     names and aliases that may prefix columns in the text. ``spread`` says whether an outer join
     guards against hot keys on the side it pads (see ``skew``): by default when that side is too
     large to broadcast. ``False`` saves a count of that side's keys when they are known to be unique.
+    Text that is more than comparisons is cut at its ANDs: equalities between the tables are keys like any, the rest must
+    hold besides. A join without any equality compares every pair of rows, so a side that can be held by every executor must be
+    within the broadcast bound, or ``product`` must say that the work is wanted.
     """
     how = JOIN_TYPES.get((how or "left").lower(), "left")
     names = {LEFT: LEFT, RIGHT: RIGHT, **{n: LEFT for n in left_names}, **{n: RIGHT for n in right_names}}
     if how == "cross" or on is None or (isinstance(on, (str, list, tuple)) and _is_always(on)):
+        _check_product(left, right, how, product)
         joined = left.alias(LEFT).crossJoin(right.alias(RIGHT)) if how in ("cross", "inner") else left.alias(
             LEFT
         ).join(right.alias(RIGHT), F.lit(True), how)
         return joined.select(*_output(left, right, [], how, suffix))
 
     terms, free = _terms(on, left, right, names)
+    keys = [(a, b) for a, op, b in terms if op == "="]
+    shared = [a for a, b in keys if a == b]
+    if not keys and not isinstance(on, Column):
+        _check_product(left, right, how, product)
     if free is not None:
         bindings = Bindings(variables)
-        test = F.expr(bindings.bind(free)) if isinstance(free, str) else free
+        rest = F.expr(bindings.bind(free)) if isinstance(free, str) else free
+        test = all_of([*(_test(left, right, t, null_safe) for t in terms), rest])
         joined = bindings.attach(left).alias(LEFT).join(right.alias(RIGHT), test, how)
-        return joined.select(*_output(left, right, [], how, suffix))
+        return joined.select(*_output(left, right, shared, how, suffix))
 
-    keys = [(a, b) for a, op, b in terms if op == "="]
-    shared = [a for a, b in keys if a == b]
     plain = len(keys) == len(terms) and not any(_needs_cast(left, right, k) for k in keys)
     padded = {"left": [right], "right": [left], "full": [left, right]}.get(how, [])
     guard = keys and padded and (spread if spread is not None else not all(map(fits_broadcast, padded)))
@@ -85,10 +93,20 @@ def _is_always(on) -> bool:
     return on.replace(" ", "") in ("", "1=1") if isinstance(on, str) else len(on) == 0
 
 
+def _check_product(left: DataFrame, right: DataFrame, how: str, allowed: bool) -> None:
+    """Every pair of rows is compared; one side at least must be small, the padded one if rows are padded."""
+    if allowed:
+        return
+    small = {"left": [right], "right": [left], "full": [left, right]}.get(how)
+    large = any(map(known_large, small)) if small else known_large(left) and known_large(right)
+    if large:
+        raise ValueError(f"{how} join without an equality between sides that are too large to broadcast: give an equality, or product=True")
+
+
 def _terms(on, left: DataFrame, right: DataFrame, names: Mapping[str, str]):
-    """(comparisons left-op-right, None) or (None, a condition only Spark can read)."""
+    """Comparisons left-op-right, and what else must hold: a condition only Spark can read, or None."""
     if isinstance(on, Column):
-        return None, on
+        return [], on
     if not isinstance(on, str):
         terms = [(t, "=", t) if isinstance(t, str) else ((t[0], "=", t[1]) if len(t) == 2 else tuple(t)) for t in on]
         return [_checked(t, left, right) for t in terms], None
@@ -98,12 +116,12 @@ def _terms(on, left: DataFrame, right: DataFrame, names: Mapping[str, str]):
         return [_checked((key, "=", key), left, right)], None
     plain = plain_comparisons(text)
     if plain is None:
-        return None, requalify(text, names)
+        return _split(text, left, right, names)
     terms = []
     for lp, lc, op, rp, rc in plain:
         ls, rs = names.get(lp), names.get(rp)
-        if ls and ls == rs and lp != rp:
-            return None, requalify(text, names)
+        if ls and ls == rs:
+            return ([], requalify(text, names)) if len(plain) == 1 else _split(text, left, right, names)
         swap = ls == RIGHT or rs == LEFT
         if not (lp or rp) or (ls is None and rs is None) or ls == rs:
             swap = lc not in left.columns and lc in right.columns and rc in left.columns
@@ -111,6 +129,18 @@ def _terms(on, left: DataFrame, right: DataFrame, names: Mapping[str, str]):
     return terms, None
 
 
+def _split(text: str, left: DataFrame, right: DataFrame, names: Mapping[str, str]):
+    """Equalities between the tables as terms, the other conjuncts as text."""
+    terms, rest = [], []
+    for part in conjuncts(text) or [text]:
+        found, free = _terms(part, left, right, names) if plain_comparisons(part) else ([], part)
+        if free is None and all(op == "=" for _, op, _ in found):
+            terms += found
+        else:
+            rest.append(part)
+    return terms, requalify(" AND ".join(f"({p})" for p in rest), names) if rest else None
+
+
 def _checked(term: tuple, left: DataFrame, right: DataFrame) -> Comparison:
     a, op, b = term
     if a not in left.columns:

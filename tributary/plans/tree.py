@@ -82,7 +82,10 @@ def _text(value: Any) -> str | None:
 def _node(raw: Any) -> Node | None:
     if not isinstance(raw, Mapping) or raw.get("type", "operation") != "operation":
         return None
-    if not _text(raw.get("id")) or not _text(raw.get("name")):
+    missing = [k for k in ("id", "name") if not _text(raw.get(k))]
+    if missing and {"children", "commands", "operationType"} & set(raw):
+        raise ValueError(f"a step without {' and '.join(missing)}: {json.dumps(raw, default=str)[:200]}")
+    if missing:
         return None
     children = raw.get("children")
     commands = raw.get("commands")
