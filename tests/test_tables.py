@@ -198,3 +198,17 @@ def test_views(spark):
 def test_topk_is_one_operator(spark):
     plan = view(spark.range(100), sorts=[("id", False)], limit=5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+
+
+def test_a_workspace_lasts(spark, tmp_path):
+    root = f"file://{tmp_path}/tables"
+    first = Workspace(spark, root)
+    for n in range(4):
+        first.save("numbers", spark.range(n))
+    first.save("gone", spark.range(9))
+    assert first.drop("gone") and not first.drop("gone")
+    again = Workspace(spark, root)
+    assert again.names() == ["numbers"] and again.table("numbers").count() == 3
+    assert again.sql("SELECT * FROM numbers").count() == 3
+    assert len(list((tmp_path / "tables" / "numbers").iterdir())) == 2 and not (tmp_path / "tables" / "gone").exists()
+    assert Workspace(spark, f"file://{tmp_path}/other").names() == []

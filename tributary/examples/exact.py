@@ -150,3 +150,13 @@ def join_left_spread(spark, folder):
     """The way for sides too large to broadcast, with hot keys spread."""
     joined = join(table(spark, folder, "customer"), table(spark, folder, "orders"), [("c_custkey", "o_custkey")], "left", spread=True)
     return view(joined, ["c_custkey", "o_orderkey", "o_totalprice"])
+
+
+@query("workspace_reopened", "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus")
+def workspace_reopened(spark, folder):
+    """A table that one workspace saves and replaces, read by another one opened on the same root."""
+    root = shared_folder(spark, "lasting")
+    first = Workspace(spark, root)
+    first.save("orders-kept", table(spark, folder, "orders").limit(1))
+    first.save("orders-kept", where(table(spark, folder, "orders"), leaf("o_totalprice", ">", 100000)))
+    return group(Workspace(spark, root).table("orders-kept"), ["o_orderstatus"], [("count", "*", "orders")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Mapping
 from functools import reduce
@@ -15,16 +16,61 @@ from tributary.operators.view import Sort, page, preview
 from tributary.sources.folders import shared_folder
 from tributary.sources.readers import read_table
 
+#: What a root knows: the folder each name stands for, null once it is dropped; the last row of a name counts.
+MANIFEST_SCHEMA = "name string, path string, version long"
 LOG_SCHEMA = "loaded_at timestamp, file_name string, dataset_name string, table_name string, rows long"
 
 
 class Workspace:
-    """The tables of one user, each a Parquet folder or a DataFrame, each also a temporary view."""
+    """The tables of one user, each a Parquet folder or a DataFrame, each also a temporary view.
+
+    Below a ``root`` that the caller names, saved tables last: a workspace opened there later has them again. Without
+    one, a folder is taken when the first table is written.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or shared_folder(spark, "tables")).rstrip("/")
+        self._root = root.rstrip("/") if root else None
+        self._lasting = root is not None
         self._tables: dict[str, DataFrame] = {}
+        for row in self._versions():
+            if row["path"]:
+                self.attach(row["name"], spark.read.parquet(row["path"]))
+
+    @property
+    def root(self) -> str:
+        if self._root is None:
+            self._root = shared_folder(self.spark, "tables").rstrip("/")
+        return self._root
+
+    @property
+    def _manifest(self) -> str:
+        return f"{self.root}/_tables"
+
+    def _files(self, path: str):
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def _delete(self, path: str) -> None:
+        system, found = self._files(path)
+        system.delete(found, True)
+
+    def _versions(self, name: str | None = None) -> list:
+        """The last row of each name, or all rows of one, newest first."""
+        if not self._lasting:
+            return []
+        system, found = self._files(self._manifest)
+        if not system.exists(found):
+            return []
+        rows = self.spark.read.schema(MANIFEST_SCHEMA).parquet(self._manifest)
+        if name is not None:
+            return rows.where(F.col("name") == name).orderBy(F.desc("version")).collect()
+        return rows.groupBy("name").agg(F.max_by("path", "version").alias("path")).collect()
+
+    def _note(self, name: str, path: str | None) -> None:
+        if self._lasting:
+            row = self.spark.createDataFrame([(name, path, time.time_ns())], MANIFEST_SCHEMA)
+            row.coalesce(1).write.mode("append").parquet(self._manifest)
 
     def attach(self, name: str, df: DataFrame) -> str:
         """Make a DataFrame known under a name without writing it."""
@@ -35,12 +81,17 @@ class Workspace:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """Write a result as Parquet and (re)define the table. Each save goes to a folder of its own,
-        so a table may be replaced by something computed from it, and readers of the old one finish."""
+        so a table may be replaced by something computed from it, and readers of the old one finish. Below a lasting root the
+        version before stays, older ones are deleted."""
         name = table_name(name)
         path = f"{self.root}/{name}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         saved = self.spark.read.parquet(path)
         self.attach(name, saved)
+        self._note(name, path)
+        for old in self._versions(name)[2:]:
+            if old["path"]:
+                self._delete(old["path"])
         return saved
 
     def ingest(self, path: str, name: str | None = None, **read_options) -> str:
@@ -81,9 +132,14 @@ class Workspace:
         return preview(self.table(name), rows)
 
     def drop(self, name: str) -> bool:
-        """Forget a table; files already written stay."""
+        """Forget a table, and delete what was written for it."""
+        name = table_name(name)
         self.spark.catalog.dropTempView(name)
-        return self._tables.pop(name, None) is not None
+        known = self._tables.pop(name, None) is not None
+        if known and self._root is not None:
+            self._note(name, None)
+            self._delete(f"{self.root}/{name}")
+        return known
 
     def inventory(self) -> DataFrame:
         """``(table_name, row_count, column_count)`` for each table."""
