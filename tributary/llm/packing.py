@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.text import IS_SPACE, LOWER, binary, coded, cut, memo, raw, slices
+from tributary.llm.text import IS_SPACE, LOWER, binary, coded, cut, memo, raw, slices, small_batches
 from tributary.llm.token_counts import CLOSING, LETTER, REMEMBERED, load
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -190,6 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) ->
     partitions before its own, and those before it in its own. So a length that most pieces share is ranked in parts. Rows that repeat an
     id or all of another row are documents of their own. Other columns are not read; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     pieces = cut(encode_pieces(docs, tokenizer, capacity, end)).withColumn("part", F.spark_partition_id())
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = cut(counts)

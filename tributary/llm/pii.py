@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import crf
 from tributary.llm.crf import KINDS, MARKS, PLAIN, SPOKEN
-from tributary.llm.text import IS_SPACE, LOWER, memo, range_hashes, raw, slices, word_starts
+from tributary.llm.text import IS_SPACE, LOWER, memo, range_hashes, raw, slices, small_batches, word_starts
 
 Span = tuple[int, int]
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -173,6 +173,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Each row is looked at by itself, so repeated rows and ids have equal results. Null and empty texts have no spans. Other columns are not
     read; an empty table gives none. The field is trained on a small table made by rule, in a few seconds on the driver.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(crf.train(crf.labelled_table())))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +193,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with each piece of personal data replaced by its kind in brackets, and n_chars, if there, counted anew. Null texts stay null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tuple(crf.train(crf.labelled_table())))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

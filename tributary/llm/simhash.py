@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.components import components
-from tributary.llm.text import IS_SPACE, LOWER, cut, raw, slices, word_starts
+from tributary.llm.text import IS_SPACE, LOWER, cut, raw, slices, small_batches, word_starts
 
 SEED, SHINGLE, HALF = 42, 3, 32
 LOW = (1 << HALF) - 1
@@ -108,6 +108,7 @@ def near_duplicates(docs: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFr
     fewer link; component_id is the smallest doc_id in the fingerprints reachable, null if all of them have null ids. Rows
     that repeat an id or a text keep their rows. Other columns are not read; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     hashed = cut(fingerprints(docs))
     distinct = cut(hashed.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(distinct.select("fp"), large_bucket))

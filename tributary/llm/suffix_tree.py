@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tributary.llm.grams import (
     BITS, FIRST_WORD, ONE, TWO, Backoff, HashArray, classes, drop_folder, find, frequent, signed, trigram_counts, trigrams, word_counts,
 )
-from tributary.llm.text import cut, hashed_words, mixed, raw, rows_of, slices, sums
+from tributary.llm.text import cut, hashed_words, mixed, raw, rows_of, slices, small_batches, sums
 from tributary.sources.folders import shared_folder
 
 #: A word is a class of its own if it is this share of all; the others are classed by their last byte.
@@ -127,6 +127,7 @@ def score(docs: DataFrame) -> DataFrame:
     gives none.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out())
     tree, words, folder = fit(texts.where(~F.col("held_out")))
     shared = spark.sparkContext.broadcast(tuple(tuple(x) if isinstance(x, Backoff) else x for x in tree))

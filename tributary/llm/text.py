@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tributary.sources.folders import shared_folder
 
@@ -23,7 +24,7 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text that is worked on at once, unless one document is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 class Words(NamedTuple):
@@ -42,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows that go to Python at once: texts are long, and a batch is held on both sides."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        have = spark.conf.get(key, None)
+        if have is not None and (not have.isdigit() or int(have) > most):
+            spark.conf.set(key, str(most))
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that stays doesn't keep the most it ever used."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def memo(name: str) -> dict:
     """A dictionary that stays with this Python worker from task to task."""
     holder = sys.modules.setdefault("_tributary_llm_memo", types.ModuleType("_tributary_llm_memo"))
@@ -60,6 +77,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(size, done + limit, "right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

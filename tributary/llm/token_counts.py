@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.text import binary, coded, memo, raw, slices, sums
+from tributary.llm.text import binary, coded, memo, raw, slices, small_batches, sums
 from tributary.sources.folders import shared_folder
 
 CACHE = "tokenizer string, content string, n_tokens long"
 #: Pieces of text whose counts one Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Characters that never share a token with a letter before them, nor with a special token's text.
 CLOSING = np.zeros(256, bool)
 CLOSING[list(b".,;:!?%$&*#")] = True
@@ -123,6 +123,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
     a failure writes the same counts, so the lookup takes one row a digest.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     definition, version, plain = load(tokenizer)
     content = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select("doc_id", content.alias("text")).withColumn("content", F.sha2("text", 256))

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.text import memo, slices, words_of
+from tributary.llm.text import memo, slices, small_batches, words_of
 
 #: The classifier learns from this many bytes of labelled texts of each class at most, and this many texts.
 TRAIN_BYTES, TRAIN_TEXTS = 3 << 20, 3000
@@ -24,7 +24,7 @@ DICTIONARY_BYTES, LEVEL = 8192, 13
 LEFT, RIGHT = bytes(range(128, 144)), bytes(range(144, 160))
 MARKS = b".,;:!?\"'()"
 #: Windows whose distance one Python worker remembers, and the distance from which a window counts.
-REMEMBERED, COUNTS_FROM = 300_000, 3
+REMEMBERED, COUNTS_FROM = 150_000, 3
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5) -> Column:
@@ -162,6 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     windows; without labels of both classes all scores are near 0. A null id is an empty text when it is divided. Repeated rows each keep
     theirs; other columns are not read; an empty table gives none.
     """
+    small_batches(docs.sparkSession)
     own = tuple(train(docs, labels))
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
