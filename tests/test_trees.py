@@ -144,7 +144,7 @@ def test_sub_views(tables):
     assert plan(tables, n).result("n", view_id="teams_of").columns == ["team", "colour"]
 
 
-def test_counts_and_overlap(tables):
+def test_counts_and_overlap(spark, tables):
     a = node("a", cmd("f", "filter", field="pay", operator=">", value=10))
     b = node("b", cmd("f", "filter", field="team", operator="=", value=10))
     c = node("c", cmd("f", "filter", field="id", operator="=", value=4))
@@ -153,6 +153,10 @@ def test_counts_and_overlap(tables):
     assert [tuple(r) for r in p.step_counts("a").orderBy("step").collect()] == [(1, "root", 4), (2, "base", 4), (3, "a", 3)]
     for persist in (False, True):
         assert rows(p.overlap("base", persist)) == [("a", "b", 2), ("a", "c", 0), ("b", "c", 0)]
+    with p:
+        before = spark.sparkContext._jsc.getPersistentRDDs().size()
+        assert before
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() < before
     assert p.overlap("a").collect() == []
 
 

@@ -61,6 +61,7 @@ class Plan:
 
     def __post_init__(self):
         self.sources = Sources.of(self.tree)
+        self._kept: list[DataFrame] = []
 
     # -- results ---------------------------------------------------------------------------------
 
@@ -131,7 +132,7 @@ class Plan:
 
     def branches(self, parent_id: str, persist: bool = False) -> list[tuple[str, DataFrame]]:
         """Results of a node's enabled children. They share the parent's result; ``persist`` keeps it on
-        the executors, which pays when the shared steps are costly and the result is small."""
+        the executors, which pays when the shared steps are costly and the result is small; ``release`` lets it go."""
         path = self._path(parent_id)
         shared = State()
         for node in path:
@@ -139,6 +140,7 @@ class Plan:
                 self._node(shared, node, None, ())
         if persist and shared.df is not None:
             shared.df = shared.df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(shared.df)
         out = []
         for child in path[-1].children:
             if child.enabled:
@@ -147,6 +149,17 @@ class Plan:
                 out.append((child.name, self._table(state)))
         return out
 
+    def release(self) -> None:
+        """Let go of what ``persist`` kept. A plan used in a ``with`` statement does so at its end."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Plan:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
     def overlap(self, parent_id: str, persist: bool = False) -> DataFrame:
         """Shared distinct rows of each pair of enabled children."""
         return overlap(self.workspace.spark, self.branches(parent_id, persist))
