@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.grams import signed
-from tributary.llm.text import BASE, BYTE_CODES, binary, cut, mixed, powers, range_hashes, raw
+from tributary.llm.text import BASE, BYTE_CODES, binary, cut, give_back, mixed, powers, range_hashes, raw, small_batches
 
 WINDOW, GRAM = 100, 32
-#: Groups of texts for each bucket; a group is worked on at once.
-UNITS = 8
+#: Text in a group, about; a group is worked on at once.
+UNIT_BYTES = 1 << 20
 #: A trigger with more occurrences sends windows instead of phrases, each to where its own copies go.
 HOT = 5000
 PHRASES, WINDOWS, SETTLED = 0, 1, 2
@@ -68,6 +68,7 @@ def triggers(texts: pa.Table) -> pa.Table:
     """(g, unit, n): how often each trigger occurs in a group."""
     _, offsets, data = ordered(texts)
     g, n = np.unique(signed(parse(offsets, data)[0]), return_counts=True)
+    give_back()
     unit = texts.column("unit")[0].as_py()
     return pa.table({"g": pa.array(g), "unit": pa.array(np.full(len(g), unit), pa.int64()), "n": pa.array(n, pa.int64())})
 
@@ -133,6 +134,7 @@ def phrases(texts: pa.Table, known: pa.Table) -> pa.Table:
     index = np.repeat(a - bounds[:-1], size) + np.arange(bounds[-1])
     columns = [pa.array(kind, pa.int32()), pa.array(signed(key)), *[pa.array(texts.column(x).to_numpy()[row], pa.int64()) for x in ("first_id", "uid", "crc")]]
     columns += [pa.array(a - offsets[row]), pa.array(b - a + 1), binary(bounds, data[index]), pa.array(texts.column("unit").to_numpy()[row], pa.int64())]
+    give_back()
     return pa.Table.from_arrays(columns, schema=schema)
 
 
@@ -215,11 +217,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     is one row for each group. Other columns are not read; an empty table gives none.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     content = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"))
     rows = rows.withColumn("uid", F.xxhash64("text")).withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    rows = rows.withColumn("unit", F.pmod("uid", F.lit(buckets * UNITS)))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    units = -(-size // UNIT_BYTES) or 1
+    buckets = min(units, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("unit", F.pmod("uid", F.lit(units)))
     texts = rows.groupBy("unit", "uid", "crc").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first_id"), F.first("text").alias("text"))
     name = f"tributary_texts_{uuid.uuid4().hex}"
     texts.write.bucketBy(buckets, "unit").option("compression", "zstd").saveAsTable(name)
