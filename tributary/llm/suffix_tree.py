@@ -1,9 +1,10 @@
-"""A probabilistic suffix tree over word classes, and log10 probabilities of texts."""
+"""A probabilistic suffix tree over words, with contexts of any length, and log10 probabilities of texts."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -12,59 +13,122 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.grams import (
-    BITS, FIRST_WORD, ONE, TWO, Backoff, HashArray, classes, drop_folder, find, frequent, signed, trigram_counts, trigrams, word_counts,
-)
-from tributary.llm.text import cut, hashed_words, mixed, raw, rows_of, slices, small_batches, sums
+from tributary.llm.grams import FIRST_WORD, drop_folder, find, frequent, signed, word_counts
+from tributary.llm.text import HashedWords, cut, hashed_words, mixed, raw, rows_of, slices, small_batches, sums
 from tributary.sources.folders import shared_folder
 
-#: A word is a class of its own if it is this share of all; the others are classed by their last byte.
-CLASS_SHARE = 1e-4
-#: Counts of words of this share are sent to every executor, 1 / LOOKUP_SHARE at most; rarer words are joined.
+#: Counts and probabilities of words, contexts and entries of this share are sent to every executor, 1 / LOOKUP_SHARE of each at most; rarer
+#: ones are joined. The results are the same with any share.
 LOOKUP_SHARE = 1e-6
-#: A context may be a state if it is this share of all, and so may an entry of its distribution.
-CONTEXT_SHARE, ENTRY_SHARE = 1e-5, 1e-6
+#: A context may be a state if it occurs so often, whatever the size of the corpus.
+LEAST = 2
 DISCOUNT = 0.75
+#: Stand for a text's end as a symbol, and for what is before it in a context.
+END, BEFORE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Marks are 2 ** MARK_BITS numbers of 64 bits.
+MARK_BITS = 21
 ROW = "id long, key long, doc struct<doc_id: long, held_out: boolean, tokens: long, known: long, base: double, score: double>"
 
 
+class States(NamedTuple):
+    """What is sent to every executor of the states: the keys, sorted, and values of frequent ones and their entries, marks of all others, and
+    the longest context's length. ``weight_one``: what a frequent word, from FIRST_WORD on, as a context leaves for the root; 1 if it is no state."""
+
+    keys: np.ndarray
+    values: np.ndarray
+    marks: np.ndarray
+    depth: int
+    weight_one: np.ndarray
+
+
 class Tree(NamedTuple):
-    """States are contexts of no, one or two classes; ``states`` has the longest suffix that is one for any text so far."""
+    """``values`` (key, v) has every state and entry. A word's log10 probability after a text is the root's, and the values of all states that the
+    text ends with and of their entries for the word: so a text's rows can be joined and summed in any order."""
 
-    states: Backoff
+    states: States
+    values: DataFrame
     lookup: np.ndarray
     counts: np.ndarray
-    tail_size: np.ndarray
     texts: int
     tokens: int
     distinct: int
 
 
-def tested(entries: DataFrame, totals: DataFrame, least: float, tokens: int) -> DataFrame:
-    """(context, total) of the contexts seen ``least`` times or more whose next symbols diverge from those of the next shorter context.
+def symbols(low: HashedWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words and each text's end, their places in the text, and the texts' bounds."""
+    current = np.insert(low.hashes, low.bounds[1:], END)
+    bounds = low.bounds + np.arange(len(low.bounds))
+    return current, np.arange(len(current)) - np.repeat(bounds[:-1], np.diff(bounds)), bounds
 
-    ``entries`` (context, n, shorter): how often a symbol follows, and its probability after the shorter context. The test compares the gain in
-    log likelihood with half the logarithm of the number of tokens for each of its symbols.
-    """
-    rows = entries.join(totals.where(F.col("total") >= least), "context")
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("shorter")))
-    found = rows.groupBy("context").agg(F.first("total").alias("total"), gain.alias("gain"), F.count("*").alias("symbols"))
-    return found.where(F.col("gain") > F.col("symbols") * math.log(max(2, tokens)) / 2).select("context", "total")
+
+def longer(current: np.ndarray, places: np.ndarray, at: np.ndarray, context: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the symbols ``at``, those with a context of ``depth``, that context, and the next shorter one. What stands before a text is its first symbol."""
+    there = places[at] >= depth - 1
+    at, context = at[there], context[there]
+    before = np.where(places[at] >= depth, current[np.maximum(at - depth, 0)], BEFORE)
+    return at, mixed(context * STEP + before), context
+
+
+def marks_of(keys: DataFrame) -> np.ndarray:
+    """A bit set for each of ``keys`` (key), and by chance for others: more of them the more keys there are, but never a key without."""
+    bits = keys.select(F.shiftrightunsigned("key", 64 - MARK_BITS).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << MARK_BITS, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (marks[(keys >> np.uint64(64 - MARK_BITS)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+
+
+def context_counts(train: DataFrame, depth: int, marks: np.ndarray | None) -> DataFrame:
+    """(context, parent, symbol, n): how often each symbol follows each context of ``depth`` whose next shorter one, the parent, is marked."""
+    shared = train.sparkSession.sparkContext.broadcast(marks)
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=4 << 20):
+                current, places, _ = symbols(hashed_words(*raw(part.column("text")), lower=True))
+                at, context = np.arange(len(current)), np.zeros(len(current), np.uint64)
+                for k in range(1, depth + 1):
+                    if k == depth and shared.value is not None:
+                        ours = marked(shared.value, context)
+                        at, context = at[ours], context[ours]
+                    at, context, parent = longer(current, places, at, context, k)
+                _, first, n = np.unique(context ^ current[at], return_index=True, return_counts=True)
+                columns = [pa.array(signed(x[first])) for x in (context, parent, current[at])]
+                yield pa.record_batch([*columns, pa.array(n.astype(np.int64))], ["context", "parent", "symbol", "n"])
+
+    counts = train.select("text").mapInArrow(work, "context long, parent long, symbol long, n long")
+    return counts.groupBy("context", "parent", "symbol").agg(F.sum("n").alias("n"))
 
 
-def distributions(counts: DataFrame, states: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each state's frequent symbols key and discounted share, and each state's key and what is left for the shorter one."""
-    context = F.shiftright("key", BITS)
-    entries = counts.where(F.col("n") >= least).withColumn("context", context).join(states, "context")
-    entries = entries.select("context", "key", ((F.col("n") - DISCOUNT) / F.col("total")).alias("p")).toArrow()
-    keys, p = entries.column("key").to_numpy(), entries.column("p").to_numpy()
-    contexts = np.sort(states.select("context").toArrow().column("context").to_numpy())
-    kept = np.bincount(np.searchsorted(contexts, keys >> BITS), p, len(contexts)) if len(contexts) else np.zeros(0)
-    return keys, p, contexts, 1 - kept
+def tested(counts: DataFrame, shorter: DataFrame, tokens: int) -> DataFrame:
+    """(context, parent, total, symbols, state, expand) of contexts that are states or may have longer ones.
+
+    ``shorter`` (parent, symbol, p): probabilities after the next shorter contexts. A context is a state if it occurs LEAST times and the gain in
+    log likelihood over the shorter one is more than half the logarithm of the number of tokens for each of its symbols. A longer context's gain
+    can exceed that for a symbol only if n * log(total / n) does here, since neither n nor total - n is larger there; ``expand`` is a bound of that by
+    the largest n, so that no context is missed.
+    """
+    cost = math.log(max(2, tokens)) / 2
+    n, total, most = F.col("n"), F.col("total"), F.col("most")
+    sums_of = counts.join(shorter, ["parent", "symbol"]).groupBy("context", "parent").agg(
+        F.sum("n").alias("total"), F.count("*").alias("symbols"), F.max("n").alias("most"), F.sum(n * F.log(n / F.col("p"))).alias("logs"),
+    ).where(total >= LEAST)
+    other = F.least(total - most, total / math.e)
+    bound = F.greatest(most * F.log(total / most), F.when(other > 0, other * F.log(total / other)).otherwise(0.0))
+    found = sums_of.select("context", "parent", "total", "symbols", (F.col("logs") - total * F.log(total) > F.col("symbols") * cost).alias("state"), (bound > cost).alias("expand"))
+    return found.where(F.col("state") | F.col("expand"))
 
 
 def fit(train: DataFrame) -> tuple[Tree, DataFrame, str]:
-    """The tree learnt from all of ``train`` (text), the table (key, last, n) of its words' counts, and the folder that holds it."""
+    """The tree learnt from all of ``train`` (text), the table (key, last, n) of its words' counts, and the folder that holds both.
+
+    Contexts are counted length by length, as long as some may be states, and up to half the natural logarithm of the number of tokens.
+    """
     spark = train.sparkSession
     folder = shared_folder(spark, "suffix-tree")
 
@@ -75,40 +139,50 @@ def fit(train: DataFrame) -> tuple[Tree, DataFrame, str]:
     words = stored(word_counts(train), "words")
     texts = train.count()
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, distinct = tokens + texts, distinct + (texts > 0)
-    vocabulary, _ = frequent(words, max(1, CLASS_SHARE * tokens))
-    lookup, counts = frequent(words, max(1, LOOKUP_SHARE * tokens))
-    tail_size = np.zeros(256)
-    for r in words.where(F.col("n") < max(1, CLASS_SHARE * tokens)).groupBy("last").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        tail_size[r["last"]] = r["n"] + r["v"]
-
-    three = stored(trigram_counts(train, vocabulary), "three")
-    two = stored(three.groupBy(F.col("key").bitwiseAND(TWO).alias("key")).agg(F.sum("n").alias("n")), "two")
-    one = two.groupBy(F.col("key").bitwiseAND(ONE).alias("key")).agg(F.sum("n").alias("n"))
-    arrays = one.toArrow()
-    own = np.full(FIRST_WORD + len(vocabulary), 0.5)
-    own[arrays.column("key").to_numpy()] += arrays.column("n").to_numpy()
-    own /= own.sum()
-
-    least, entry = max(2, CONTEXT_SHARE * tokens), max(2, ENTRY_SHARE * tokens)
-    context = F.shiftright("key", BITS).alias("context")
-    total_one = two.groupBy(context).agg(F.sum("n").alias("total"))
-    total_two = three.groupBy(context).agg(F.sum("n").alias("total"))
-    roots = one.select(F.col("key").alias("symbol"), (F.col("n") / max(1, tokens)).alias("shorter"))
-    after_one = two.select(context, F.col("key").bitwiseAND(ONE).alias("symbol"), "n").join(roots, "symbol").select("context", "n", "shorter")
-    parents = two.withColumn("context", F.shiftright("key", BITS)).join(total_one, "context").select(F.col("key").alias("pair"), (F.col("n") / F.col("total")).alias("shorter"))
-    after_two = three.select(context, F.col("key").bitwiseAND(TWO).alias("pair"), "n").join(parents, "pair").select("context", "n", "shorter")
-    states_two = cut(tested(after_two, total_two, least, tokens))
-    # A state's shorter contexts are states as well.
-    wanted = tested(after_one, total_one, least, tokens).select("context").unionAll(states_two.select(F.col("context").bitwiseAND(ONE).alias("context"))).distinct()
-    states_one = cut(total_one.join(wanted, "context"))
+    tokens, distinct = int(tokens + texts), int(distinct + (texts > 0))
+    often = max(1, LOOKUP_SHARE * tokens)
+    lookup, counts = frequent(words, often)
+
+    end = spark.range(1).select(F.lit(int(signed(np.array([END]))[0])).alias("symbol"), F.lit(texts).cast("long").alias("n"))
+    single = words.groupBy(F.col("key").alias("symbol")).agg(F.sum("n").alias("n")).unionAll(end.where("n > 0"))
+    root = single.select(F.lit(0).cast("long").alias("parent"), "symbol", "n")
+    shorter = root.select("parent", "symbol", (F.col("n") / max(1, tokens)).alias("p"))
+    levels, marks = [], None
+    for depth in range(1, max(2, int(math.log(max(1, tokens)) / 2)) + 1):
+        pairs = stored(context_counts(train, depth, marks), f"pairs-{depth}")
+        found = stored(tested(pairs, shorter, tokens), f"contexts-{depth}")
+        levels.append((pairs, found))
+        grown = found.where("expand")
+        if grown.isEmpty():
+            break
+        marks = marks_of(grown.select(F.col("context").alias("key")))
+        shorter = pairs.join(grown.select("context", "total"), "context").select(F.col("context").alias("parent"), "symbol", (F.col("n") / F.col("total")).alias("p"))
 
-    keys3, p3, contexts2, weight2 = distributions(three, states_two, entry)
-    keys2, p2, contexts1, weight1 = distributions(two, states_one, entry)
-    weights = np.ones(len(own))
-    weights[contexts1] = weight1
-    states = Backoff(vocabulary, HashArray(keys3, p3), HashArray(contexts2, weight2), HashArray(keys2, p2), weights, own)
-    return Tree(states, lookup, counts, tail_size, texts, int(tokens), int(distinct)), words, folder
+    # A state's shorter contexts are states as well.
+    chosen, states = None, []
+    for level, (_, found) in reversed([*enumerate(levels, 1)]):
+        own = found.where("state") if chosen is None else found.join(chosen, "context", "left").where(F.col("state") | F.col("under"))
+        own = stored(own.select("context", "parent", "total", (DISCOUNT * F.col("symbols") / F.col("total")).alias("left")), f"states-{level}")
+        chosen = own.select(F.col("parent").alias("context"), F.lit(True).alias("under")).distinct()
+        states.insert(0, own)
+    above, values = root.select("parent", "symbol", ((F.col("n") + 1) / (tokens + distinct + 1)).alias("q")), []
+    for level, ((pairs, _), own) in enumerate(zip(levels, states), 1):
+        both = pairs.join(own.drop("parent"), "context").join(above, ["parent", "symbol"])
+        p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q")
+        entries = stored(both.select("context", "symbol", "n", p.alias("p"), (F.log10(p / F.col("q")) - F.log10("left")).alias("v")), f"entries-{level}")
+        above = entries.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("q"))
+        values += [own.select(F.col("context").alias("key"), F.col("total").alias("n"), F.log10("left").alias("v"))]
+        values += [entries.select(F.col("context").bitwiseXOR(F.col("symbol")).alias("key"), "n", "v")]
+    every = reduce(DataFrame.unionAll, values)
+    held = every.where(F.col("n") >= often * len(levels)).select("key", "v").toArrow()
+    keys = held.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, own = keys[order], held.column("v").to_numpy()[order]
+    rest = every.where(F.col("n") < often * len(levels)).select("key", "v")
+    at, there = find(keys, mixed(lookup))
+    weights = np.where(there, 10 ** own[at], 1.0) if len(keys) else np.ones(len(lookup))
+    sent = States(keys, own, marks_of(rest), len(levels), np.concatenate((np.ones(FIRST_WORD), weights)))
+    return Tree(sent, rest, lookup, counts, texts, tokens, distinct), words, folder
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2):
@@ -119,62 +193,75 @@ def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2):
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs`` (doc_id, text).
 
-    Tokens are the lower-cased words and one end; null texts are empty. Learnt from the rows that are not held out. A token's
-    probability is that of its class after the longest suffix of the text so far that is a state, mixed with the shorter
-    states', times that of the word in its class: 1 for a frequent word, (c + 1) / (n + v + 1) among the n rare words and v
-    distinct ones with the same last byte. Words are counted by 64-bit hashes; the executors hold frequent words' counts, and the
-    rare words of a text are joined to theirs. Rows that repeat an id or a text keep their rows; other columns are not read; an empty table
-    gives none.
+    Tokens are the lower-cased words and one end; null texts are empty. Learnt from the rows that are not held out. The root gives a token
+    (count + 1) / (tokens + distinct tokens + 1), which base_score sums. score takes the longest suffix of the text so far that is a state; each state
+    has its discounted shares, and leaves the rest to the next shorter one. Words and contexts are known by 64-bit hashes; the executors hold what is
+    frequent, and the rest of a text's words, states and entries are joined to theirs. Rows that repeat an id or a text keep their rows; other columns
+    are not read; an empty table gives none.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out())
     tree, words, folder = fit(texts.where(~F.col("held_out")))
-    shared = spark.sparkContext.broadcast(tuple(tuple(x) if isinstance(x, Backoff) else x for x in tree))
+    shared = spark.sparkContext.broadcast((*tree.states[:4], tree.lookup, tree.counts))
+    size = tree.tokens + tree.distinct + 1
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tree(Backoff(*shared.value[0]), *shared.value[1:])
+        held, values, marks, depth, lookup, counts = shared.value
         # Numbers that a retried task gives again, as its rows are the same.
         number = TaskContext.get().partitionId() << 40
-        size = own.tokens + own.distinct + 1
         for batch in batches:
             for part in slices(batch):
                 low = hashed_words(*raw(part.column("text")), lower=True)
-                ids = classes(low, own.states.vocabulary)
-                keys, bounds = trigrams(ids, low.bounds)
-                total = sums(own.states.log10(keys), bounds)
-                at, there = find(own.lookup, low.hashes)
-                n = np.where(there, own.counts[at] if len(own.counts) else 0, 0)
-                tail = ids < FIRST_WORD
-                base = np.where(there, np.log10(n + 1), 0.0)
-                inside = np.where(tail, base - np.log10(own.tail_size[low.last] + 1), 0.0)
+                current, places, bounds = symbols(low)
+                row, gain, missing = rows_of(bounds), np.zeros(len(part)), []
+
+                def look(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+                    # Adds what is held and notes what may have to be joined; whether it is either.
+                    place, there = find(held, keys)
+                    if len(held):
+                        gain[:] += np.bincount(row[at[there]], values[place[there]], len(part))
+                    maybe = ~there & marked(marks, keys)
+                    missing.append((row[at[maybe]], keys[maybe]))
+                    return there | maybe
+
+                at, context = np.arange(len(current)), np.zeros(len(current), np.uint64)
+                for k in range(1, depth + 1):
+                    at, context, _ = longer(current, places, at, context, k)
+                    ours = look(at, context)
+                    at, context = at[ours], context[ours]
+                    look(at, context ^ current[at])
+                place, there = find(lookup, low.hashes)
+                base = np.where(there, np.log10((counts[place] if len(counts) else 0) + 1), 0.0)
                 lengths = np.diff(low.bounds)
-                known = sums(there.astype(np.int64), low.bounds)
-                yield emit(part, number, low, ~there, lengths, known, sums(base, low.bounds) - lengths * math.log10(size), total + sums(inside, low.bounds))
+                missing.append((rows_of(low.bounds)[~there], low.hashes[~there]))
+                yield emit(part, number, missing, lengths, sums(there.astype(np.int64), low.bounds), sums(base, low.bounds) - lengths * math.log10(size), gain)
                 number += len(part)
 
-    def emit(part, number, low, rare, lengths, known, base, total) -> pa.RecordBatch:
-        # A row for each text, and one for each of its words whose count isn't here.
+    def emit(part, number, missing, lengths, known, base, gain) -> pa.RecordBatch:
+        # A row for each text, and one for each of its words, states and entries that aren't here.
         id_of = number + np.arange(len(part))
-        row = rows_of(low.bounds)[rare]
+        row = np.concatenate([x for x, _ in missing])
         ids = np.concatenate((id_of, id_of[row]))
-        keys = np.concatenate((signed(mixed(id_of)), signed(low.hashes[rare])))
-        own = [part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(total)]
+        keys = np.concatenate((signed(mixed(id_of)), *[signed(x) for _, x in missing]))
+        own = [part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(base + gain)]
         doc = pa.StructArray.from_arrays([pa.concat_arrays([x, pa.nulls(len(row), x.type)]) for x in own], ["doc_id", "held_out", "tokens", "known", "base", "score"])
         return pa.record_batch([pa.array(ids), pa.array(keys), doc], ["id", "key", "doc"])
 
     rows = texts.mapInArrow(work, ROW)
-    rare = words.select("key", F.col("n").alias("c"))
+    rare = words.where(F.col("n") < max(1, LOOKUP_SHARE * tree.tokens)).select("key", F.col("n").alias("c"), F.lit(None).cast("double").alias("v"))
+    rare = rare.unionAll(tree.values.select("key", F.lit(None).cast("long").alias("c"), "v"))
     joined = rows.join(rare, "key", "left").withColumn("own", F.col("doc.tokens").isNotNull())
-    c = F.when(F.col("own"), F.lit(None)).otherwise(F.col("c"))
+    c, v = F.when(~F.col("own"), F.col("c")), F.when(~F.col("own"), F.col("v"))
     summed = joined.groupBy("id").agg(
         *[F.max(f"doc.{x}").alias(x) for x in ("doc_id", "held_out", "tokens", "known", "base", "score")],
-        F.count(c).alias("more"), F.coalesce(F.sum(F.log10(c + 1)), F.lit(0.0)).alias("logs"),
+        F.count(c).alias("more"), F.coalesce(F.sum(F.log10(c + 1)), F.lit(0.0)).alias("logs"), F.coalesce(F.sum(v), F.lit(0.0)).alias("gain"),
     )
-    end_base = math.log10((tree.texts + 1) / (tree.tokens + tree.distinct + 1))
+    end_base = math.log10((tree.texts + 1) / size)
+    base = F.col("base") + F.col("logs") + end_base
     result = cut(summed.select(
         "doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + F.col("more") + int(tree.texts > 0)).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("logs") + end_base).alias("base_score"), (F.col("score") + F.col("logs")).alias("score"),
+        F.lit(tree.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.col("logs") + F.col("gain") + end_base).alias("score"),
     ))
     drop_folder(spark, folder)
     return result
