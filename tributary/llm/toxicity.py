@@ -1,4 +1,4 @@
-"""Toxicity by compression distance: which of two zstandard dictionaries shortens a text's windows more."""
+"""Toxicity by compression distance: which of two zstandard dictionaries, lists of words that mark each class, shortens a text's windows more."""
 
 from __future__ import annotations
 
