@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.llm.text import hashed_words, mixed, raw, slices
+from tributary.llm.text import HashedWords, hashed_words, mixed, raw, rows_of, slices
 
 #: Class 0 stands before a text, class 1 at its end, 2 to 257 for rare words by their last byte, then the frequent words.
 BEFORE, END, FIRST_TAIL, FIRST_WORD = 0, 1, 2, 258
 BITS = 20
+#: Copies share the smallest of each of so many hashes of their windows of so many words.
+SLOTS, SHARED_WORDS = 3, 8
 ONE, TWO = (1 << BITS) - 1, (1 << 2 * BITS) - 1
 
 
@@ -27,17 +29,49 @@ def counted(keys: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(key, last, n): how often each lower-cased word's hash occurs in ``docs`` (text), and the word's last byte."""
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passages(words: HashedWords) -> np.ndarray:
+    """A number for each text that copies share, and most near copies: of the smallest hashes of its windows of SHARED_WORDS words; 0 without a window."""
+    h, row = words.hashes, rows_of(words.bounds)
+    out = np.zeros(len(words.bounds) - 1, np.uint64)
+    n = len(h) - SHARED_WORDS + 1
+    if n > 0:
+        window = np.zeros(n, np.uint64)
+        for i in range(SHARED_WORDS):
+            window = window * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+        inside = row[SHARED_WORDS - 1 :] == row[:n]
+        window, row = window[inside], row[:n][inside]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for slot in range(SLOTS if len(first) else 0):
+            window = mixed(window + np.uint64(slot))
+            out[row[first]] = mixed(out[row[first]] ^ np.minimum.reduceat(window, first))
+    return out.view(np.int64)
+
+
+def without(words: HashedWords, shared: np.ndarray | None) -> HashedWords:
+    """``words`` without the texts whose passage is in ``shared``."""
+    if shared is None or not len(shared):
+        return words
+    kept = ~np.isin(passages(words), shared)
+    inside = np.repeat(kept, np.diff(words.bounds))
+    return HashedWords(words.hashes[inside], words.last[inside], np.append(0, np.cumsum(np.diff(words.bounds)[kept])))
+
+
+def word_counts(docs: DataFrame, shared: np.ndarray | None = None, one: DataFrame | None = None) -> DataFrame:
+    """(key, last, n): how often each lower-cased word's hash occurs in ``docs`` (text), and the word's last byte. Texts whose passages are
+    ``shared`` are left out; ``one`` (text) stands for them."""
+
+    def work(batches: Iterable[pa.RecordBatch], shared: np.ndarray | None = shared) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=4 << 20):
-                words = hashed_words(*raw(part.column("text")), lower=True)
+                words = without(hashed_words(*raw(part.column("text")), lower=True), shared)
                 keys, first, n = np.unique(signed(words.hashes), return_index=True, return_counts=True)
                 yield pa.record_batch([pa.array(keys), pa.array(words.last[first], pa.int16()), pa.array(n, pa.int64())], ["key", "last", "n"])
 
-    return docs.select("text").mapInArrow(work, "key long, last short, n long").groupBy("key", "last").agg(F.sum("n").alias("n"))
+    schema = "key long, last short, n long"
+    counts = docs.select("text").mapInArrow(lambda x: work(x), schema)
+    if one is not None:
+        counts = counts.unionAll(one.mapInArrow(lambda x: work(x, None), schema))
+    return counts.groupBy("key", "last").agg(F.sum("n").alias("n"))
 
 
 def frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,17 +107,21 @@ def trigrams(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (second << 2 * BITS) | (previous << BITS) | current, bounds
 
 
-def trigram_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(key, n) for the classes' trigrams in ``docs`` (text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def trigram_counts(docs: DataFrame, vocabulary: np.ndarray, shared: np.ndarray | None = None, one: DataFrame | None = None) -> DataFrame:
+    """(key, n) for the classes' trigrams in ``docs`` (text), with ``one`` for texts whose passages are ``shared``."""
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, shared))
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterable[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
+        vocabulary, shared = sent.value
         for batch in batches:
             for part in slices(batch, limit=4 << 20):
-                words = hashed_words(*raw(part.column("text")), lower=True)
-                yield counted(trigrams(classes(words, shared.value), words.bounds)[0])
+                words = without(hashed_words(*raw(part.column("text")), lower=True), None if every else shared)
+                yield counted(trigrams(classes(words, vocabulary), words.bounds)[0])
 
-    return docs.select("text").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(lambda x: work(x), "key long, n long")
+    if one is not None:
+        counts = counts.unionAll(one.mapInArrow(lambda x: work(x, True), "key long, n long"))
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 class HashArray:
