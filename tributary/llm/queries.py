@@ -84,7 +84,20 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_mine_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.phrases import mine_phrases
+
+    return mine_phrases(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.periods import collapse_runs, every_tenth_repeats, run_digests
+
+    return run_digests(collapse_runs(spark.read.parquet(f"{folder}/documents.parquet"), every_tenth_repeats))
+
+
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
+from tributary.llm.phrases import PHRASES_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op2_repeated_passages, op3_graph_neighbours, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op2_repeated_passages, op3_graph_neighbours, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing, op11_mine_phrases, op13_periodic_runs)}
+ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL, "op11_mine_phrases": PHRASES_SQL}
