@@ -90,6 +90,12 @@ def op11_mine_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return mine_phrases(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op12_page_differences(spark: SparkSession, folder: str) -> DataFrame:
+    from tributary.llm.pages import extract_articles
+
+    return extract_articles(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     from tributary.llm.periods import collapse_runs, every_tenth_repeats, run_digests
 
@@ -99,5 +105,5 @@ def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 from tributary.llm.mixing import MIX_SQL  # noqa: E402
 from tributary.llm.phrases import PHRASES_SQL  # noqa: E402
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op2_repeated_passages, op3_graph_neighbours, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing, op11_mine_phrases, op13_periodic_runs)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_perplexity_bands, op2_repeated_passages, op3_graph_neighbours, op4_token_counts, op5_mix_sources, op6_compression_toxicity, op7_personal_data, op8_suffix_tree_scores, op9_simhash_duplicates, op10_best_fit_packing, op11_mine_phrases, op12_page_differences, op13_periodic_runs)}
 ORACLES: dict[str, str] = {"op5_mix_sources": MIX_SQL, "op11_mine_phrases": PHRASES_SQL}
