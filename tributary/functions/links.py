@@ -194,6 +194,9 @@ def on_text(text: str | None, subs: T.StructType, mains: T.StructType, names: Ma
     sides = {SUB: SUB, MAIN: MAIN, **names}
     plain = plain_comparisons(text)
     if plain is None:
+        pieces = conjuncts(text) or []
+        if len(pieces) > 1:
+            return Node("AND", tuple(on_text(piece, subs, mains, names) for piece in pieces))
         return Node("AND", (Text(requalify(text, sides)),))
     links = []
     for lp, lc, op, rp, rc in plain:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -13,8 +14,8 @@ from tributary.functions.expressions import Bindings
 from tributary.functions.links import FLIPPED, conjuncts, plain_comparisons, requalify
 from tributary.functions.names import col, unique
 from tributary.functions.predicates import ORDERING, all_of
-from tributary.functions.sizing import fits_broadcast, known_large
-from tributary.operators import skew
+from tributary.functions.sizing import estimated_bytes, fits_broadcast, known_large
+from tributary.operators import band, skew
 
 # Join words and Spark's names for them.
 JOIN_TYPES = {"left": "left", "right": "right", "inner": "inner", "full": "full", "cross": "cross"}
@@ -45,8 +46,9 @@ def join(
     names and aliases that may prefix columns in the text. ``spread`` says whether an outer join
     guards against hot keys on the side it pads (see ``skew``): by default when that side is too
     large to broadcast. ``False`` saves a count of that side's keys when they are known to be unique.
-    Text that is more than comparisons is cut at its ANDs: equalities between the tables are keys like any, the rest must
-    hold besides. A join without any equality compares every pair of rows, so a side that can be held by every executor must be
+    Text that is more than comparisons is cut at its ANDs: comparisons between the tables count like any, the rest must
+    hold besides. Without an equality, a column that the other side's columns bound is cut into cells, and rows meet in the cells they
+    share (see ``band``). A join without that compares every pair of rows, so a side that can be held by every executor must be
     within the broadcast bound, or ``product`` must say that the work is wanted.
     """
     how = JOIN_TYPES.get((how or "left").lower(), "left")
@@ -61,20 +63,25 @@ def join(
     terms, free = _terms(on, left, right, names)
     keys = [(a, b) for a, op, b in terms if op == "="]
     shared = [a for a, b in keys if a == b]
-    if not keys and not isinstance(on, Column):
-        _check_product(left, right, how, product)
+    wide, rest = left, None
     if free is not None:
         bindings = Bindings(variables)
         rest = F.expr(bindings.bind(free)) if isinstance(free, str) else free
-        test = all_of([*(_test(left, right, t, null_safe) for t in terms), rest])
-        joined = bindings.attach(left).alias(LEFT).join(right.alias(RIGHT), test, how)
-        return joined.select(*_output(left, right, shared, how, suffix))
+        wide = bindings.attach(left)
+    if not keys and not isinstance(on, Column):
+        found = band.find_band(left.schema, right.schema, terms, how != "right") if not _tiny(left, right) else None
+        if found:
+            return _banded(left, wide, right, terms, rest, found, how, suffix)
+        _check_product(left, right, how, product)
 
     plain = len(keys) == len(terms) and not any(_needs_cast(left, right, k) for k in keys)
     padded = {"left": [right], "right": [left], "full": [left, right]}.get(how, [])
     guard = keys and padded and (spread if spread is not None else not all(map(fits_broadcast, padded)))
-    if guard and not plain:
-        return _in_parts(left, right, terms, shared, how, suffix, null_safe)
+    if guard and (not plain or rest is not None):
+        return _in_parts(left, wide, right, terms, rest, shared, how, suffix, null_safe)
+    if rest is not None:
+        joined = wide.alias(LEFT).join(right.alias(RIGHT), _all(left, right, terms, rest, null_safe), how)
+        return joined.select(*_output(left, right, shared, how, suffix))
     if guard and how == "left":
         joined = skew.left_outer(left, right, keys, null_safe)
     elif guard and how == "right":
@@ -129,18 +136,38 @@ def _terms(on, left: DataFrame, right: DataFrame, names: Mapping[str, str]):
     return terms, None
 
 
+BETWEEN = re.compile(r"(\S+)\s+BETWEEN\s+(\S+)\s+AND\s+(\S+)", re.I)
+
+
 def _split(text: str, left: DataFrame, right: DataFrame, names: Mapping[str, str]):
-    """Equalities between the tables as terms, the other conjuncts as text."""
+    """Comparisons between the tables as terms, the other conjuncts as text."""
     terms, rest = [], []
     for part in conjuncts(text) or [text]:
-        found, free = _terms(part, left, right, names) if plain_comparisons(part) else ([], part)
-        if free is None and all(op == "=" for _, op, _ in found):
+        within = BETWEEN.fullmatch(part)
+        both = f"{within[1]} >= {within[2]} AND {within[1]} <= {within[3]}" if within else part
+        found, free = _terms(both, left, right, names) if _between_tables(both, left, right, names) else ([], part)
+        if free is None:
             terms += found
         else:
             rest.append(part)
     return terms, requalify(" AND ".join(f"({p})" for p in rest), names) if rest else None
 
 
+def _between_tables(text: str, left: DataFrame, right: DataFrame, names: Mapping[str, str]) -> bool:
+    """Whether a text is equalities, or comparisons of a column of one table with one of the other."""
+    plain = plain_comparisons(text)
+    if plain and all(op == "=" for _, _, op, _, _ in plain):
+        return True
+
+    def side(prefix: str | None, column: str) -> str | None:
+        if prefix:
+            return names.get(prefix)
+        there = (column in left.columns, column in right.columns)
+        return {(True, False): LEFT, (False, True): RIGHT}.get(there)
+
+    return bool(plain) and all({side(lp, lc), side(rp, rc)} == {LEFT, RIGHT} for lp, lc, _, rp, rc in plain)
+
+
 def _checked(term: tuple, left: DataFrame, right: DataFrame) -> Comparison:
     a, op, b = term
     if a not in left.columns:
@@ -171,19 +198,25 @@ def _output(
 ) -> list[Column]:
     lside, rside = sides
     out = {}
+    taken = _folded(left.columns)
     for c in left.columns:
         both = c in shared and how in ("right", "full")
         out[c] = F.coalesce(col(c, lside), col(c, rside)) if both else col(c, lside)
     for c in right.columns:
         if c in shared:
             continue
-        name = c + suffix if c in left.columns else c
-        if name in out:
+        name = c + suffix if c.casefold() in taken else c
+        if name.casefold() in _folded(out):
             raise ValueError(f"two columns would be named '{name}'; choose another suffix")
         out[name] = col(c, rside)
     return [c.alias(n) for n, c in out.items()]
 
 
+def _folded(names) -> set[str]:
+    """Names as Spark compares them."""
+    return {n.casefold() for n in names}
+
+
 def _full(
     left: DataFrame, right: DataFrame, keys: skew.Keys, shared: Sequence[str], suffix: str, null_safe: bool
 ) -> DataFrame:
@@ -194,40 +227,84 @@ def _full(
     return half.unionByName(_right_only(left, right, terms, shared, suffix, null_safe))
 
 
+def _all(left: DataFrame, right: DataFrame, terms, rest: Column | None, null_safe: bool) -> Column:
+    tests = [_test(left, right, t, null_safe) for t in terms]
+    return all_of(tests if rest is None else [*tests, rest])
+
+
 def _in_parts(
-    left: DataFrame, right: DataFrame, terms, shared: Sequence[str], how: str, suffix: str, null_safe: bool
+    left: DataFrame, wide: DataFrame, right: DataFrame, terms, rest: Column | None, shared: Sequence[str], how: str, suffix: str, null_safe: bool
 ) -> DataFrame:
     """An outer join on more than equal keys as its inner join plus the rows without a partner.
-    Adaptive execution can split a hot key in each part."""
-    test = all_of(_test(left, right, t, null_safe) for t in terms)
-    inner = left.alias(LEFT).join(right.alias(RIGHT), test, "inner")
+    Adaptive execution can split a hot key in each part. ``wide`` is ``left`` with what ``rest`` needs besides."""
+    test = _all(left, right, terms, rest, null_safe)
+    inner = wide.alias(LEFT).join(right.alias(RIGHT), test, "inner")
     out = inner.select(*_output(left, right, shared, how, suffix))
     if how in ("left", "full"):
-        out = out.unionByName(_left_only(left, right, terms, shared, suffix, null_safe))
+        others = right if rest is not None else right.select(*[col(n) for n in unique(b for _, _, b in terms)]).distinct()
+        alone = wide.alias(LEFT).join(others.alias(RIGHT), test, "left_anti")
+        out = out.unionByName(_padded_left(alone, left, right, shared, suffix))
     if how in ("right", "full"):
-        out = out.unionByName(_right_only(left, right, terms, shared, suffix, null_safe))
+        others = wide if rest is not None else left.select(*[col(n) for n in unique(a for a, _, _ in terms)]).distinct()
+        alone = right.alias(RIGHT).join(others.alias(LEFT), test, "left_anti")
+        out = out.unionByName(_padded_right(alone, left, right, shared, suffix))
     return out
 
 
-def _left_only(left: DataFrame, right: DataFrame, terms, shared: Sequence[str], suffix: str, null_safe: bool):
-    test = all_of(_test(left, right, t, null_safe) for t in terms)
-    others = right.select(*[col(n) for n in unique(b for _, _, b in terms)]).distinct()
-    rest = left.alias(LEFT).join(others.alias(RIGHT), test, "left_anti")
+def _padded_left(alone: DataFrame, left: DataFrame, right: DataFrame, shared: Sequence[str], suffix: str) -> DataFrame:
+    """Left rows without a partner."""
+    taken = _folded(left.columns)
     pads = [
-        F.lit(None).cast(f.dataType).alias(f.name + suffix if f.name in left.columns else f.name)
+        F.lit(None).cast(f.dataType).alias(f.name + suffix if f.name.casefold() in taken else f.name)
         for f in right.schema
         if f.name not in shared
     ]
-    return rest.select(*[col(c) for c in left.columns], *pads)
+    return alone.select(*[col(c) for c in left.columns], *pads)
 
 
-def _right_only(left: DataFrame, right: DataFrame, terms, shared: Sequence[str], suffix: str, null_safe: bool):
-    test = all_of(_test(left, right, t, null_safe) for t in terms)
-    others = left.select(*[col(n) for n in unique(a for a, _, _ in terms)]).distinct()
-    rest = right.alias(RIGHT).join(others.alias(LEFT), test, "left_anti")
+def _padded_right(alone: DataFrame, left: DataFrame, right: DataFrame, shared: Sequence[str], suffix: str) -> DataFrame:
+    """Right rows without a partner."""
     pads = [
         col(f.name).alias(f.name) if f.name in shared else F.lit(None).cast(f.dataType).alias(f.name)
         for f in left.schema
     ]
-    kept = [col(c).alias(c + suffix if c in left.columns else c) for c in right.columns if c not in shared]
-    return rest.select(*pads, *kept)
+    taken = _folded(left.columns)
+    kept = [col(c).alias(c + suffix if c.casefold() in taken else c) for c in right.columns if c not in shared]
+    return alone.select(*pads, *kept)
+
+
+def _right_only(left: DataFrame, right: DataFrame, terms, shared: Sequence[str], suffix: str, null_safe: bool):
+    others = left.select(*[col(n) for n in unique(a for a, _, _ in terms)]).distinct()
+    alone = right.alias(RIGHT).join(others.alias(LEFT), _all(left, right, terms, None, null_safe), "left_anti")
+    return _padded_right(alone, left, right, shared, suffix)
+
+
+#: A side of so many bytes is compared with every row of the other sooner than an axis is made.
+TINY = 32 << 10
+
+
+def _tiny(left: DataFrame, right: DataFrame) -> bool:
+    sizes = [estimated_bytes(x) for x in (left, right)]
+    return any(x is not None and x <= TINY for x in sizes)
+
+
+def _banded(
+    left: DataFrame, wide: DataFrame, right: DataFrame, terms, rest: Column | None, found: band.Band, how: str, suffix: str
+) -> DataFrame:
+    """A join by ranges. The side that stands in one cell may be padded by the join itself; of the other, the rows without a partner are added."""
+    points, of_points = (LEFT, "left") if found.of_left else (RIGHT, "right")
+    cells = F.col(f"{LEFT}.{band.CELL}") == F.col(f"{RIGHT}.{band.CELL}")
+    test = cells & _all(left, right, terms, rest, False)
+    lcells, rcells = band.in_cells(wide, right, found)
+    kept = of_points if how in (of_points, "full") else "inner"
+    out = lcells.alias(LEFT).join(rcells.alias(RIGHT), test, kept).select(*_output(left, right, [], how, suffix))
+    if how not in ("inner", of_points):
+        # A row of the other side may stand in several cells: it is alone if none of its values has a partner in any.
+        side, data, cut, others = (RIGHT, right, rcells, lcells) if found.of_left else (LEFT, wide, lcells, rcells)
+        names = data.columns if rest is not None else unique(b if found.of_left else a for a, _, b in terms)
+        values = cut.select(*[col(n) for n in names], band.CELL).distinct()
+        met = values.alias(side).join(others.alias(points), test, "left_semi").select(*[col(n) for n in names]).distinct()
+        alone = data.alias("a").join(met.alias("b"), all_of(col(n, "a").eqNullSafe(col(n, "b")) for n in names), "left_anti")
+        pad = _padded_right if found.of_left else _padded_left
+        out = out.unionByName(pad(alone, left, right, [], suffix))
+    return out

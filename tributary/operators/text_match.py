@@ -1,39 +1,124 @@
-"""Which texts contain, start with or end with one of many needles."""
+"""Which texts contain, start with or end with one of many needles, or lack one of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.sizing import fits_broadcast
+from tributary.functions.sizing import broadcast_limit, estimated_bytes
+
+TESTS = {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}
+#: Needles that a text is asked for before all others.
+WITNESSES = 16
+#: Odd numbers by byte, and those that join the halves of a piece.
+CODES = np.random.default_rng(11).integers(1, 1 << 62, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+FIRST, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _folded(column: Column, ignore_case: bool) -> Column:
+    return F.lower(column) if ignore_case else column
+
+
+def _needles(needles: DataFrame, ignore_case: bool) -> DataFrame:
+    return needles.select(_folded(F.col("needle"), ignore_case).alias("needle")).where(F.col("needle").isNotNull()).distinct()
 
 
-def text_matches(texts: DataFrame, needles: DataFrame, op: str, ignore_case: bool = True) -> DataFrame:
+def text_matches(texts: DataFrame, needles: DataFrame, op: str, ignore_case: bool = True, broadcast_bytes: int | None = None) -> DataFrame:
     """Rows of ``texts(value)``, which must be distinct, that match a needle in ``needles(needle)``.
 
-    Needles within the session's broadcast bound are compared directly. Beyond it the pieces of each
-    text that are as long as some needle are hash-joined to the needles, so neither side is
-    replicated; a digest travels with the pieces instead of the text.
+    Needles within ``broadcast_bytes``, by default the session's broadcast bound, are compared directly. Beyond it the pairs that ``matching_pairs`` finds count.
+    """
+    needles = _needles(needles, ignore_case)
+    limit = broadcast_limit(texts.sparkSession) if broadcast_bytes is None else broadcast_bytes
+    size = estimated_bytes(needles)
+    if size is not None and size <= limit:
+        return texts.join(F.broadcast(needles), TESTS[op](_folded(F.col("value"), ignore_case), F.col("needle")), "left_semi")
+    pairs = candidates(texts, needles, op, ignore_case)
+    test = (F.col("t.key") == F.col("p.key")) & TESTS[op](F.col("t.folded"), F.col("p.needle"))
+    return _keyed(texts, ignore_case).alias("t").join(pairs.alias("p"), test, "left_semi").select("value")
+
+
+def lacking(texts: DataFrame, needles: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """Rows of ``texts(value)``, which must be distinct, that don't contain every needle in ``needles(needle)``.
+
+    The WITNESSES longest needles settle nearly all texts: one that lacks any of them is in. Only for texts that contain
+    them all are the needles counted that they contain, and compared with the number there is.
+    """
+    needles = _needles(needles, ignore_case)
+    asked = needles.orderBy(F.length("needle").desc(), "needle").limit(WITNESSES).agg(F.collect_list("needle").alias("witnesses"))
+    asked = asked.crossJoin(needles.agg(F.count(F.lit(1)).alias("all")))  # one row each
+    told = _keyed(texts, ignore_case).crossJoin(F.broadcast(asked))
+    lacks = F.exists("witnesses", lambda w: ~F.contains(F.col("folded"), w))
+    at_once = told.where(lacks).select("value")
+    rest = told.where(~lacks & (F.col("all") > F.size("witnesses"))).select("value", "key", "folded", "all")
+    pairs = candidates(rest, needles, "contains", ignore_case)
+    found = rest.alias("t").join(pairs.alias("p"), (F.col("t.key") == F.col("p.key")) & F.contains("t.folded", "p.needle"), "left")
+    counted = found.groupBy("t.value", "t.all").agg(F.count("p.needle").alias("n"))
+    return at_once.unionAll(counted.where(F.col("n") < F.col("all")).select("value"))
+
+
+def _keyed(texts: DataFrame, ignore_case: bool) -> DataFrame:
+    folded = _folded(F.col("value"), ignore_case)
+    return texts.select("value", F.xxhash64("value").alias("key"), folded.alias("folded"))
+
+
+def candidates(texts: DataFrame, needles: DataFrame, op: str, ignore_case: bool = True) -> DataFrame:
+    """(key, needle): pairs that include all in which the text of hash ``key`` matches the folded needle.
+
+    A needle's anchor is its first bytes, its last for ``ends_with``: as many as the largest power of two within its length. Texts
+    give the hashes of their pieces of such lengths, at most one for each byte and length, and are hash-joined to the anchors. The texts themselves stay where they are. Empty
+    needles are paired with every text.
     """
-    fold = F.lower if ignore_case else (lambda c: c)
-    needles = needles.select(fold(F.col("needle")).alias("needle")).where(F.col("needle").isNotNull()).distinct()
-    if fits_broadcast(needles):
-        test = {"contains": F.contains, "starts_with": F.startswith, "ends_with": F.endswith}[op]
-        return texts.join(needles, test(fold(F.col("value")), F.col("needle")), "left_semi")
-
-    keyed = texts.select("value", F.sha2("value", 256).alias("digest"), fold(F.col("value")).alias("folded"))
-    # One row: the distinct needle lengths, at most as many as the longest needle has characters.
-    lengths = needles.agg(F.collect_set(F.length("needle")).alias("lengths"))
-    sized = keyed.crossJoin(F.broadcast(lengths)).select("digest", "folded", F.explode("lengths").alias("n"))
-    sized = sized.where(F.length("folded") >= F.col("n"))
-    last = F.length("folded") - F.col("n") + 1
-    start = {
-        "contains": F.explode(F.sequence(F.lit(1), last)),
-        "starts_with": F.lit(1),
-        "ends_with": last,
-    }[op]
-    pieces = sized.select("digest", "folded", "n", start.alias("at")).select(
-        "digest", F.substring("folded", F.col("at"), F.col("n")).alias("piece")
-    )
-    hits = pieces.join(needles, F.col("piece") == F.col("needle"), "left_semi").select("digest").distinct()
-    return keyed.join(hits, "digest", "left_semi").select("value")
+    anchored = needles.where("needle <> ''").mapInArrow(_anchors(op), "needle string, bits int, hash long")
+    lengths = anchored.agg(F.collect_set("bits").alias("lengths"))  # one row, some dozens of numbers at most
+    pieces = _keyed(texts, ignore_case).select("key", "folded").crossJoin(F.broadcast(lengths)).mapInArrow(_pieces(op), "key long, bits int, hash long")
+    found = pieces.join(anchored, ["bits", "hash"]).select("key", "needle")
+    empty = _keyed(texts, ignore_case).select("key").crossJoin(F.broadcast(needles.where("needle = ''").limit(1)))
+    return found.unionAll(empty).distinct()
+
+
+def _hashes(data: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For bits 0, 1, ... the hashes of the pieces of 2 ** bits bytes that begin at each byte."""
+    found, bits = CODES[data], 0
+    while bits <= most and len(found):
+        yield bits, found
+        half = 1 << bits
+        found = found[:-half] * FIRST + (found[half:] ^ (found[half:] >> np.uint64(29))) * SECOND
+        bits += 1
+
+
+def _anchors(op: str):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, hashes = [], []
+            for needle in batch.column("needle").to_pylist():
+                raw = needle.encode()
+                size = len(raw).bit_length() - 1
+                piece = raw[-(1 << size) :] if op == "ends_with" else raw[: 1 << size]
+                *_, (_, found) = _hashes(np.frombuffer(piece, np.uint8), size)
+                bits.append(size)
+                hashes.append(found[0])
+            yield pa.record_batch([batch.column("needle"), pa.array(bits, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))], ["needle", "bits", "hash"])
+
+    return work
+
+
+def _pieces(op: str):
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = set(batch.column("lengths")[0].as_py()) if len(batch) else set()
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("folded").to_pylist()):
+                data = np.frombuffer(text.encode(), np.uint8)
+                for bits, found in _hashes(data, max(lengths, default=-1)):
+                    if bits not in lengths:
+                        continue
+                    own = np.unique(found) if op == "contains" else found[:1] if op == "starts_with" else found[-1:]
+                    for a in range(0, len(own), 100_000):
+                        some = own[a : a + 100_000].view(np.int64)
+                        yield pa.record_batch([pa.array(np.full(len(some), key)), pa.array(np.full(len(some), bits, np.int32)), pa.array(some)], ["key", "bits", "hash"])
+
+    return work
