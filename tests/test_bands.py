@@ -12,7 +12,7 @@ from tributary import exists, join
 from tributary.operators import band
 from tributary.operators import join as joins
 
-OPS = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+OPS = ("<", "<=", ">", ">=")
 
 
 @pytest.fixture(autouse=True)
@@ -108,7 +108,7 @@ def test_names_that_differ_in_case(spark):
     assert join(l, r, "id = rid", "inner").columns == ["id", "Value", "rid", "value_joined"]
 
 
-@pytest.mark.parametrize(("op1", "op2"), itertools.product(OPS, OPS))
+@pytest.mark.parametrize(("op1", "op2"), [*itertools.product(OPS, OPS)])
 @pytest.mark.parametrize("keyed", [True, False])
 def test_exists_with_two_bounds(spark, op1, op2, keyed):
     left, right, sub, main = sides(spark, 4)

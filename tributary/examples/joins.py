@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tributary import detail_rows, exists, group, join, match_counts, nested_detail, transform, view, where
 from tributary.examples.registry import both, either, leaf, query, table
+from tributary.operators.text_match import text_matches
 
 
 def _sides(spark, folder):
@@ -162,6 +163,72 @@ def join_cross(spark, folder):
     return join(table(spark, folder, "region"), table(spark, folder, "nation"), "1=1", "inner")
 
 
+@query("join_cross_orders", "SELECT o_orderkey, o_totalprice, r_regionkey FROM orders CROSS JOIN region")
+def join_cross_orders(spark, folder):
+    crossed = join(table(spark, folder, "orders"), table(spark, folder, "region"), None, "cross")
+    return view(crossed, ["o_orderkey", "o_totalprice", "r_regionkey"])
+
+
+def _spans(spark, folder):
+    """An hour around each costly event, and the events of small value."""
+    events = table(spark, folder, "events")
+    spans = events.where("value > 99").select(F.col("event_id").alias("span"), F.col("ts").alias("since"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("until"))
+    return spans, events.where("value < 1").select("event_id", "ts", "user_id")
+
+
+_SPAN_SQL = """
+    WITH spans AS (SELECT event_id AS span, ts AS since, ts + INTERVAL 1 HOUR AS until FROM events WHERE value > 99),
+         small AS (SELECT event_id, ts, user_id FROM events WHERE value < 1)
+    SELECT span, event_id, user_id FROM small {} JOIN spans ON ts >= since AND ts < until {}
+"""
+
+
+@query("join_range_inner", _SPAN_SQL.format("", ""))
+def join_range_inner(spark, folder):
+    spans, small = _spans(spark, folder)
+    return join(small, spans, "ts >= since AND ts < until", "inner").select("span", "event_id", "user_id")
+
+
+@query("join_range_left", _SPAN_SQL.format("LEFT", "AND user_id % 2 = 0"))
+def join_range_left(spark, folder):
+    spans, small = _spans(spark, folder)
+    joined = join(small, spans, "small.ts >= spans.since AND small.ts < spans.until AND small.user_id % 2 = 0", "left", left_names=["small"], right_names=["spans"])
+    return joined.select("span", "event_id", "user_id")
+
+
+@query("join_range_full", _SPAN_SQL.format("FULL", ""))
+def join_range_full(spark, folder):
+    spans, small = _spans(spark, folder)
+    return join(spans, small, [("since", "<=", "ts"), ("until", ">", "ts")], "full").select("span", "event_id", "user_id")
+
+
+@query(
+    "join_range_prices",
+    """
+    SELECT c_custkey, p_partkey FROM (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) c
+    RIGHT JOIN part ON c_acctbal BETWEEN p_retailprice AND p_retailprice + p_size
+    """,
+)
+def join_range_prices(spark, folder):
+    customers = view(where(table(spark, folder, "customer"), leaf("c_acctbal", ">", 0)), ["c_custkey", "c_acctbal"])
+    parts = table(spark, folder, "part").select("p_partkey", "p_retailprice", (F.col("p_retailprice") + F.col("p_size")).alias("upto"))
+    joined = join(customers, parts, "c.c_acctbal BETWEEN p.p_retailprice AND p.upto", "right", left_names=["c"], right_names=["p"])
+    return view(joined, ["c_custkey", "p_partkey"])
+
+
+@query(
+    "join_left_residual",
+    """
+    SELECT o_orderkey, l_linenumber FROM orders LEFT JOIN lineitem
+    ON o_orderkey = l_orderkey AND l_quantity + l_linenumber > 45 AND o_totalprice > l_extendedprice * 2
+    """,
+)
+def join_left_residual(spark, folder):
+    on = "orders.o_orderkey = lineitem.l_orderkey AND lineitem.l_quantity + lineitem.l_linenumber > 45 AND orders.o_totalprice > lineitem.l_extendedprice * 2"
+    joined = join(table(spark, folder, "orders"), table(spark, folder, "lineitem"), on, "left", left_names=["orders"], right_names=["lineitem"], spread=True)
+    return view(joined, ["o_orderkey", "l_linenumber"])
+
+
 @query(
     "exists_basic",
     """
@@ -258,6 +325,89 @@ def exists_text_links(spark, folder):
     )
 
 
+@query(
+    "exists_two_ranges",
+    """
+    WITH steps AS (SELECT c_nationkey, c_acctbal, max(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) AS most FROM customer),
+         found AS (SELECT s_suppkey, s_nationkey, s_acctbal, (SELECT max(most) FROM steps WHERE c_nationkey = s_nationkey AND c_acctbal < s_acctbal) AS most FROM supplier)
+    SELECT s_suppkey FROM found WHERE s_suppkey <= most
+    """,
+)
+def exists_two_ranges(spark, folder):
+    tree = both(_link("s_nationkey", "=", "c_nationkey"), _link("s_acctbal", ">", "c_acctbal"), _link("s_suppkey", "<=", "c_custkey"))
+    return view(exists(table(spark, folder, "supplier"), table(spark, folder, "customer"), tree=tree), ["s_suppkey"])
+
+
+@query(
+    "exists_two_ranges_no_key",
+    """
+    WITH steps AS (SELECT DISTINCT o_totalprice, max(o_orderdate) OVER (ORDER BY o_totalprice DESC) AS latest FROM orders WHERE o_orderstatus = 'F')
+    SELECT l_orderkey, l_linenumber FROM (SELECT * FROM lineitem WHERE l_quantity > 30) l
+    ASOF JOIN steps s ON l.l_extendedprice * 5 <= s.o_totalprice WHERE l_shipdate < latest
+    """,
+)
+def exists_two_ranges_no_key(spark, folder):
+    lines = where(table(spark, folder, "lineitem"), leaf("l_quantity", ">", 30)).withColumn("five", F.col("l_extendedprice") * 5)
+    finished = where(table(spark, folder, "orders"), leaf("o_orderstatus", "=", "F"))
+    kept = exists(lines, finished, "sub.five <= main.o_totalprice AND sub.l_shipdate < main.o_orderdate")
+    return view(kept, ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "exists_not_contains",
+    """
+    SELECT doc_id FROM documents sub WHERE text IS NOT NULL AND EXISTS (
+      SELECT 1 FROM nation main WHERE NOT contains(lower(sub.text), lower(substr(main.n_name, 1, 2))))
+    """,
+)
+def exists_not_contains(spark, folder):
+    nation = table(spark, folder, "nation").select(F.substring("n_name", 1, 2).alias("start"))
+    return view(exists(table(spark, folder, "documents"), nation, tree=both(_link("text", "not_contains", "start"))), ["doc_id"])
+
+
+@query(
+    "text_needles_indexed",
+    """
+    WITH needles AS (SELECT DISTINCT lower(substr(text, 40, 30)) AS needle FROM documents WHERE length(text) > 100),
+         texts AS (SELECT doc_id, lower(text) AS t FROM documents)
+    SELECT doc_id FROM texts WHERE EXISTS (SELECT 1 FROM needles WHERE contains(substr(t, 80), needle))
+    """,
+)
+def text_needles_indexed(spark, folder):
+    """Documents that repeat, later on, some document's passage: more needles than may be broadcast."""
+    documents = table(spark, folder, "documents")
+    needles = documents.where(F.length("text") > 100).select(F.substring("text", 40, 30).alias("needle"))
+    texts = documents.select("doc_id", F.substring("text", 80, 2**30).alias("value"))
+    found = text_matches(texts.select("value").distinct(), needles, "contains", broadcast_bytes=0)
+    return texts.join(found, "value", "left_semi").select("doc_id")
+
+
+@query(
+    "exists_other_links",
+    """
+    SELECT c_custkey, 'not' AS link FROM customer sub WHERE EXISTS (SELECT 1 FROM supplier main WHERE main.s_suppkey < 3 AND sub.c_nationkey <> main.s_nationkey)
+    UNION ALL
+    SELECT c_custkey, 'least' AS link FROM customer sub WHERE EXISTS (SELECT 1 FROM supplier main WHERE sub.c_acctbal <= main.s_acctbal AND main.s_suppkey < 5)
+    UNION ALL
+    SELECT c_custkey, 'null' AS link FROM (SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM customer) WHERE seg IS NULL
+    UNION ALL
+    SELECT c_custkey, 'empty' AS link FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN c_name END AS name FROM customer) WHERE name IS NULL OR name = ''
+    """,
+)
+def exists_other_links(spark, folder):
+    customer, supplier = table(spark, folder, "customer"), table(spark, folder, "supplier")
+    segments = customer.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("seg"))
+    names = customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "").when(F.col("c_custkey") % 3 == 1, F.col("c_name")).alias("name"))
+    found = [
+        ("not", exists(customer, supplier.where("s_suppkey < 3"), tree=both(_link("c_nationkey", "!=", "s_nationkey")))),
+        ("least", exists(customer, supplier.where("s_suppkey < 5"), tree=both(_link("c_acctbal", "<=", "s_acctbal")))),
+        ("null", exists(segments, supplier, tree=both(_link("seg", "is_null"), _link("", "always_true")))),
+        ("empty", exists(names, supplier, tree=both(_link("name", "is_empty"), either(_link("", "always_false"), _link("", "always_true"))))),
+    ]
+    out = [rows.select("c_custkey", F.lit(link).alias("link")) for link, rows in found]
+    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
+
+
 @query("exists_no_condition", "SELECT r_regionkey, r_name FROM region WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1000)")
 def exists_no_condition(spark, folder):
     return exists(table(spark, folder, "region"), where(table(spark, folder, "orders"), leaf("o_totalprice", ">", 1000)))

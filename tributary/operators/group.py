@@ -1,7 +1,7 @@
 """Group and aggregate.
 
 Every metric here is merged from partial results before and after the shuffle, so a key holding a
-third of the rows is no heavier than another. The exact median is computed in two passes for the same
+third of the rows is no heavier than another. Exact medians take two passes for the same
 reason, instead of collecting a group's values; the way is the same for every size of input. NaN counts as no value.
 """
 
@@ -16,13 +16,15 @@ from pyspark.sql import types as T
 
 from tributary.functions import values as V
 from tributary.functions.names import col, known_fields
-from tributary.functions.predicates import all_of, condition, filled, resolve
+from tributary.functions.predicates import all_of, any_of, condition, filled, resolve
 from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
 from tributary.operators.view import Sort, sort_columns
 
 # Rank error of the first pass is n / ACCURACY; the second pass looks at twice that on both sides.
 ACCURACY = 20_000
+#: Cells between the bounds of a median.
+CELLS = 256
 MEDIANS = ("median", "quantile")
 ORDERED = ("first", "last")
 
@@ -114,12 +116,10 @@ def _aggregate(
             plain.append(METRICS[func](_value(rows, field)).alias(alias))
         else:
             raise ValueError(f"unknown aggregate function '{func}'")
-    out = rows.groupBy(*[col(k) for k in keys]).agg(*plain) if plain else rows.select(*[col(k) for k in keys]).distinct()
-    if not plain and not keys:
-        out = rows.sparkSession.range(1).select()
-    for field, alias in medians:
-        out = _with(out, median(rows, keys, field, alias, null_keys), keys, [alias], null_keys)
-    return out.select(*[col(k) for k in keys], *[col(alias) for _, _, alias in wanted])
+    if not medians:
+        out = rows.groupBy(*[col(k) for k in keys]).agg(*plain)
+        return out.select(*[col(k) for k in keys], *[col(alias) for _, _, alias in wanted])
+    return _with_medians(rows, keys, plain, medians, null_keys).select(*[col(k) for k in keys], *[col(alias) for _, _, alias in wanted])
 
 
 def _with(out: DataFrame, more: DataFrame, keys: Sequence[str], aliases: Sequence[str], null_keys: bool) -> DataFrame:
@@ -153,46 +153,96 @@ def _edge(rows: DataFrame, field: str, func: str, order_by: Sequence[Sort]) -> C
 def median(
     rows: DataFrame, keys: Sequence[str], field: str, alias: str, null_keys: bool = False, accuracy: int = ACCURACY
 ) -> DataFrame:
-    """Exact median per key, one row per key, without gathering a key's values.
+    """Exact median per key, one row per key that has values; without keys one row."""
+    out = _with_medians(rows, keys, [], [(field, alias)], null_keys, accuracy)
+    return (out.where(col(alias).isNotNull()) if keys else out).select(*[col(k) for k in keys], col(alias))
 
-    A mergeable quantile sketch gives a value surely below and one surely above the median. Then
-    equal values are counted together, everything below the lower bound as one number, and only the
-    few distinct values between the bounds are ranked.
+
+def _with_medians(
+    rows: DataFrame, keys: Sequence[str], plain: Sequence[Column], medians: Sequence[tuple[str, str]], null_keys: bool, accuracy: int = ACCURACY
+) -> DataFrame:
+    """The aggregates ``plain`` and exact medians ``(field, alias)`` per key, without gathering a key's values.
+
+    One pass makes the aggregates and, with a mergeable quantile sketch for each field, a value surely below and one surely above each
+    median. In a second pass equal values are counted together, everything below the lower bound as one number. What lies between the bounds is cut into
+    CELLS cells of equal width; sums of the cells, that many for each key, show which one or two hold the middle ranks, and only their
+    distinct values are ranked. Fields of one type share the second pass.
     """
     names = [f"__k{i}" for i in range(len(keys))]
-    x = F.col("__x")
-    data = rows.select(*[col(k).alias(n) for k, n in zip(keys, names)], _value(rows, field).alias("__x")).where(x.isNotNull())
+    fields = list(dict.fromkeys(f for f, _ in medians))
     margin = 2.0 / accuracy
-    near_x = x.cast("double")  # keeps the order, which is all that the bounds need; the sketch itself works on doubles
-    bounds = data.groupBy(*names).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(near_x, [0.5 - margin, 0.5 + margin], accuracy).alias("__b"),
+    sketches = []
+    for i, field in enumerate(fields):
+        x = _value(rows, field)
+        sketches.append(F.count(x).alias(f"__n{i}"))
+        # Doubles keep the order, which is all that the bounds need; the sketch itself works on them.
+        sketches.append(F.percentile_approx(x.cast("double"), [0.5 - margin, 0.5 + margin], accuracy).alias(f"__b{i}"))
+    out = rows.groupBy(*[col(k).alias(n) for k, n in zip(keys, names)]).agg(*plain, *sketches)
+    by_type: dict[str, list[int]] = {}
+    for i, field in enumerate(fields):
+        by_type.setdefault(V.field_type(rows.schema, field).simpleString(), []).append(i)
+    result = out
+    for own in by_type.values():
+        found = _middles(rows, keys, names, fields, own, out, null_keys)
+        result = _with(result, found, names, [f"__m{i}" for i in own], null_keys)
+    return result.select(
+        *[F.col(n).alias(k) for n, k in zip(names, keys)],
+        *[col(c) for c in result.columns if not c.startswith("__")],
+        *[F.col(f"__m{fields.index(field)}").alias(alias) for field, alias in medians],
     )
+
+
+def _middles(rows: DataFrame, keys, names, fields, own: Sequence[int], bounds: DataFrame, null_keys: bool) -> DataFrame:
+    """(keys, __m0, ...): the medians of the fields ``own``, all of one type."""
+    data_type = V.field_type(rows.schema, fields[own[0]])
+    values = [F.struct(F.lit(i).alias("f"), _value(rows, fields[i]).alias("v")) for i in own]
+    data = rows.select(*[col(k).alias(n) for k, n in zip(keys, names)], F.explode(F.array(*values)).alias("__of"))
+    data = data.select(*names, F.col("__of.f").alias("__f"), F.col("__of.v").alias("__x")).where("__x IS NOT NULL")
+    ends = [F.struct(F.lit(i).alias("f"), F.col(f"__n{i}").alias("n"), F.col(f"__b{i}").alias("b")) for i in own]
+    sent = bounds.select(*names, F.create_map(*[part for i, end in zip(own, ends) for part in (F.lit(i), end)]).alias("__ends"))
     if names:
         pairs = [(n, n) for n in names]
         if fits_broadcast(data):
-            met = bounds.alias("t1").join(data.alias("t2"), skew.key_test(pairs, "t1", "t2", null_keys))
+            met = sent.alias("t1").join(data.alias("t2"), skew.key_test(pairs, "t1", "t2", null_keys))
         else:
-            met = skew.left_outer(bounds, data, pairs, null_keys)  # every key has rows
-        near = met.select(*[F.col(f"t1.{n}").alias(n) for n in names], "t2.__x", "t1.__n", "t1.__b")
+            met = skew.left_outer(sent, data, pairs, null_keys)  # every key has rows
+        near = met.select(*[F.col(f"t1.{n}").alias(n) for n in names], "t2.__f", "t2.__x", F.element_at("t1.__ends", F.col("t2.__f")).alias("__e"))
+        near = near.where("__x IS NOT NULL")
     else:
-        near = data.crossJoin(F.broadcast(bounds))  # one row
-    slot = F.when(near_x >= F.col("__b")[0], x).alias("__v")
-    counted = near.where(near_x <= F.col("__b")[1]).groupBy(*names, "__n", slot).agg(F.count(F.lit(1)).alias("__c"))
-    upto = Window.partitionBy(*names).orderBy(F.col("__v").asc_nulls_first())
-    upto = upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("__r", F.sum("__c").over(upto))
-    low, high = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("__r") >= rank) & (F.col("__r") - F.col("__c") < rank)
-
-    middle = ranked.where(holds(low) | holds(high)).groupBy(*names)
-    if isinstance(V.field_type(rows.schema, field), T.DecimalType):
-        value = ((F.min("__v") + F.max("__v")) / 2).cast("double")
-    else:  # halves first: the sum of two large values may overflow
-        value = F.min("__v").cast("double") / 2 + F.max("__v").cast("double") / 2
-    return middle.agg(value.alias(alias)).select(*[F.col(n).alias(k) for k, n in zip(keys, names)], col(alias))
+        near = data.crossJoin(F.broadcast(sent)).select("__f", "__x", F.element_at("__ends", F.col("__f")).alias("__e"))  # one row
+    low, high = F.element_at("__e.b", 1), F.element_at("__e.b", 2)
+    near_x = F.col("__x").cast("double")
+    inside = near_x >= low
+    cell = F.least(F.floor((near_x - low) / F.when(high > low, high - low) * CELLS), F.lit(CELLS - 1))
+    near = near.where(near_x <= high).select(
+        *names, "__f", F.col("__e.n").alias("__n"), F.when(inside, F.coalesce(cell, F.lit(0))).otherwise(-1).cast("int").alias("__cell"), F.when(inside, F.col("__x")).alias("__v")
+    )
+    at = [*names, "__f", "__n"]
+    counted = near.groupBy(*at, "__cell", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    middle = [F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)]
+
+    def holding(df: DataFrame, upto: Column) -> DataFrame:
+        """Rows whose running count ``__r`` reaches a middle rank that the row before doesn't."""
+        ranked = df.withColumn("__r", upto)
+        return ranked.where(any_of((F.col("__r") >= m) & (F.col("__r") - F.col("__c") < m) for m in middle))
+
+    running = (Window.unboundedPreceding, Window.currentRow)
+    cells = counted.groupBy(*at, "__cell").agg(F.sum("__c").alias("__c"))
+    cells = holding(cells, F.sum("__c").over(Window.partitionBy(*at).orderBy("__cell").rowsBetween(*running)))
+    cells = cells.select(*[F.col(c).alias(f"{c}_of") for c in (*at, "__cell")], (F.col("__r") - F.col("__c")).alias("__before"))
+    same = all_of(F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*at, "__cell"))
+    few = counted.join(cells, same).select(*counted.columns, "__before")
+    upto = F.col("__before") + F.sum("__c").over(Window.partitionBy(*at, "__cell").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(*running))
+    found = holding(few, upto).groupBy(*names)
+    out = []
+    for i in own:
+        least, most = (pick(F.when(F.col("__f") == i, F.col("__v"))) for pick in (F.min, F.max))
+        if isinstance(data_type, T.DecimalType):
+            value = ((least + most) / 2).cast("double")
+        else:  # halves first: the sum of two large values may overflow
+            value = least.cast("double") / 2 + most.cast("double") / 2
+        out.append(value.alias(f"__m{i}"))
+    return found.agg(*out)
 
 
 def _having(out: DataFrame, having: Sequence[Mapping[str, Any]], variables: Mapping[str, Any], on_missing: str):
