@@ -136,7 +136,9 @@ def test_detail(spark, monkeypatch):
         assert len({(r.x, r.part) for r in rows}) == len(rows) and len([r for r in rows if r.x == 1]) > 1
         assert sorted((r.x, d.id) for r in rows for d in r.details) == sorted((s[1], s[0]) for s in subs)
         assert [(r.part, r.m, r.details) for r in rows if r.x == 3] == [(0, "three", [])]
+        again = nested_detail(mdf, sdf.repartition(7), ["x"], "main.x = sub.a", rows_per_part=6).collect()
+        assert sorted(map(repr, again)) == sorted(map(repr, rows))
     with pytest.raises(ValueError):
         match_counts(mdf, sdf, "main.x > sub.a")
-    above = nested_detail(mdf, sdf, ["x"], "main.x > sub.a AND main.x != 3").collect()
+    above = nested_detail(mdf, sdf, ["x"], "main.x > sub.a AND main.x != 3", rows_per_part=100).collect()
     assert sorted((r.x, r.match_count, len(r.details)) for r in above) == [(1, 0, 0), (2, 23, 23), (3, 0, 0)]

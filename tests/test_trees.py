@@ -188,7 +188,7 @@ def test_null_safe_joins(tables):
 def test_reading_trees(tmp_path):
     tree = read_tree(json.dumps(shop_tree()))
     assert tree.kind == "root" and [n.id for n in tree.path("by_customer")] == ["root", "setup", "recent", "finished", "by_customer"]
-    raw = {"id": "a", "name": "A", "type": "operation", "commands": [{"config": {"field": "x"}}, {"id": "c", "type": "sort", "order": "7"}, 5], "children": [{"id": "no name"}, 3]}
+    raw = {"id": "a", "name": "A", "type": "operation", "commands": [{"config": {"field": "x"}}, {"id": "c", "type": "sort", "order": "7"}, {}], "children": None}
     wrapped = read_tree(raw)
     assert wrapped.kind == "root" and wrapped.children[0].kind == "process"
     commands = wrapped.children[0].commands
@@ -202,6 +202,38 @@ def test_reading_trees(tmp_path):
     assert read_tree_file(str(path)) == wrapped
 
 
-def test_a_step_without_a_name_is_refused():
-    with pytest.raises(ValueError):
-        read_tree({"id": "r", "name": "all", "operationType": "root", "children": [{"id": "a", "children": []}]})
+@pytest.mark.parametrize(
+    ("child", "says"),
+    [
+        ({"id": "a", "children": []}, "without name"),
+        ({"id": "a"}, "without name"),
+        ({"name": "b"}, "without id"),
+        ({"id": "a", "name": " "}, "without name"),
+        ({"id": "a", "name": "b", "type": "note", "children": [{"id": "c", "name": "d"}]}, "unknown type 'note'"),
+        ({"id": "a", "name": "b", "commands": {"type": "filter"}}, "'commands' is no list"),
+        ({"id": "a", "name": "b", "commands": [5]}, "not a command"),
+        (3, "not a step"),
+    ],
+)
+def test_what_is_no_step_is_refused(child, says):
+    for tree in ({"id": "r", "name": "all", "operationType": "root", "children": [child]}, [child], {"operations": [child]}):
+        with pytest.raises(ValueError, match=says):
+            read_tree(tree)
+
+
+def test_an_output_table_is_written_once(spark, tmp_path):
+    tables = Workspace(spark, str(tmp_path))
+    tables.save("t", spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "k long, v long"))
+    grouped = node("g", cmd("c", "group", 1, dataSource="t", groupByFields=["k"], aggregations=[{"func": "sum", "field": "v", "alias": "total"}], outputTableName="totals"))
+    shown = Plan(read_tree(grouped), tables)
+    writes = []
+    save, tables.save = tables.save, lambda *a: writes.append(a[0]) or save(*a)
+    for _ in range(2):
+        assert sorted(map(tuple, shown.result("g").collect())) == [(1, 5), (2, 4)]
+    shown.step_counts("g").collect()
+    assert writes == ["totals"]
+    save("t", spark.createDataFrame([(7, 7)], "k long, v long"))
+    assert [tuple(r) for r in shown.result("g").collect()] == [(7, 7)] == [tuple(r) for r in tables.table("totals").collect()]
+    assert writes == ["totals"] * 2
+    save("totals", spark.createDataFrame([(0, 0)], "k long, total long"))
+    assert [tuple(r) for r in shown.result("g").collect()] == [(7, 7)]

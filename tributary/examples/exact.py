@@ -123,10 +123,12 @@ def raw_sql_quoted(spark, folder):
     return tables.sql('SELECT "order", "line-item" FROM "order-items" WHERE "line-item" > 2 AND l_quantity < 10')
 
 
-@query("overlap_single", "SELECT 'a' AS branch_a, 'b' AS branch_b, 0::BIGINT AS shared_rows FROM nation WHERE n_nationkey < 0")
+@query("overlap_single", "SELECT count(*) AS branch_rows, 0::BIGINT AS pairs FROM orders WHERE o_totalprice > 100000")
 def overlap_single(spark, folder):
-    """Fewer than two branches share nothing: no rows."""
-    return overlap(spark, [("only", table(spark, folder, "nation"))])
+    """Fewer than two branches share nothing: no pairs, however many rows the branch has."""
+    only = table(spark, folder, "orders").where("o_totalprice > 100000")
+    pairs = overlap(spark, [("only", only)])
+    return only.agg(F.count(F.lit(1)).alias("branch_rows")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs")))
 
 
 @query("preview_orders", "SELECT 50::BIGINT AS shown, 50::BIGINT AS known")

@@ -430,11 +430,30 @@ def nested_detail_query(spark, folder):
         [{"outputField": "l_quantity", "expression": "int(l_quantity)"}],
     )
     orders = view(table(spark, folder, "orders"), ["o_orderkey"])
-    nested = nested_detail(orders, lines, ["o_orderkey"], "main.o_orderkey = sub.l_orderkey")
+    nested = nested_detail(orders, lines, ["o_orderkey"], "main.o_orderkey = sub.l_orderkey", rows_per_part=10_000)
     piece = F.transform("details", lambda d: F.concat_ws(":", d["l_linenumber"], d["l_quantity"]))
     return nested.select("o_orderkey", "match_count", F.col("part").cast("int").alias("part"), F.array_join(piece, " ").alias("detail_text"))
 
 
+@query(
+    "nested_detail_parts",
+    """
+    WITH counts AS (SELECT c_custkey, count(o_orderkey) AS n, coalesce(sum(o_orderkey), 0)::BIGINT AS keys FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+    SELECT c_custkey, n AS match_count, n AS dealt, keys, true AS few_parts, greatest(1, ceil(n / 4.0))::BIGINT AS most_parts FROM counts
+    """,
+)
+def nested_detail_parts(spark, folder):
+    """Details in parts of about four: every one is in some part, and there are no more parts than allowed."""
+    orders = view(table(spark, folder, "orders"), ["o_orderkey", "o_custkey"])
+    nested = nested_detail(view(table(spark, folder, "customer"), ["c_custkey"]), orders, ["c_custkey"], "main.c_custkey = sub.o_custkey", rows_per_part=4)
+    parts = nested.groupBy("c_custkey", "match_count").agg(
+        F.sum(F.size("details")).alias("dealt"),
+        F.sum(F.aggregate("details", F.lit(0).cast("long"), lambda x, d: x + d["o_orderkey"])).alias("keys"),
+        (F.max("part") < F.greatest(F.lit(1), F.ceil(F.col("match_count") / 4))).alias("few_parts"),
+    )
+    return parts.withColumn("most_parts", F.greatest(F.lit(1).cast("long"), F.ceil(F.col("match_count") / 4)))
+
+
 @query(
     "detail_match_counts",
     """

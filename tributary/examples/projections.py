@@ -1,9 +1,9 @@
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tributary import UserFunction, Workspace, distinct_values, page, sort, transform, view, where
 from tributary.examples.registry import leaf, query, table
+from tributary.operators.ordered import Ordered
 
 
 @query("view_select_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
@@ -40,16 +40,25 @@ def view_topk_multisort(spark, folder):
     """
     SELECT o_orderkey, price, row_number() OVER (ORDER BY price DESC NULLS LAST, o_orderkey) AS position
     FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_totalprice END AS price FROM orders)
-    ORDER BY position LIMIT 40
     """,
 )
 def sort_nulls_last(spark, folder):
     price = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_totalprice")).alias("price")
     orders = table(spark, folder, "orders").select("o_orderkey", price)
-    top = view(orders, sorts=[("price", False), ("o_orderkey", True)], limit=40)
-    # Forty rows only: the numbering makes their order visible to an order-blind comparison.
-    order = Window.orderBy(F.col("price").desc_nulls_last(), "o_orderkey")
-    return sort(top, "price", False).withColumn("position", F.row_number().over(order).cast("long"))
+    return Ordered(orders, [("price", False), "o_orderkey"]).positions()
+
+
+@query(
+    "page_deep",
+    """
+    SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber
+    LIMIT 40 OFFSET 40 * (SELECT (count(*) * 3 // 4) // 40 FROM lineitem)
+    """,
+)
+def page_deep(spark, folder):
+    lines = view(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber", "l_shipdate"])
+    ordered = Ordered(lines, [("l_shipdate", False), "l_orderkey", "l_linenumber"])
+    return ordered.page(ordered.size * 3 // 4 // 40 + 1, 40)
 
 
 @query("sort_whole_table", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST")

@@ -1,3 +1,7 @@
+from functools import reduce
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary import Workspace, cast_fields, clean_nonfinite, read_csv, write_csv
@@ -52,6 +56,59 @@ def read_csv_roundtrip(spark, folder):
     return read_csv(spark, path)
 
 
+@query(
+    "read_csv_headers",
+    """
+    SELECT s_suppkey AS key, s_name AS name, s_acctbal AS balance, NULL::VARCHAR AS note FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT s_suppkey, s_name, s_acctbal, 'late' FROM supplier WHERE s_suppkey % 2 = 1
+    """,
+)
+def read_csv_headers(spark, folder):
+    """A folder of files whose columns stand in another order, one of them in some files only."""
+    suppliers = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    path = shared_folder(spark, "csv-headers")
+    write_csv(suppliers.where("key % 2 = 0"), f"{path}/a")
+    write_csv(suppliers.where("key % 2 = 1").select("balance", F.lit("late").alias("note"), "key", "name"), f"{path}/b")
+    return read_csv(spark, [f"{path}/a", f"{path}/b"])
+
+
+@query(
+    "sql_refused",
+    """
+    SELECT 'select' AS statement, (SELECT count(*) FROM orders WHERE o_totalprice > 1000) AS row_count
+    UNION ALL SELECT 'with', (SELECT count(DISTINCT o_custkey) FROM orders)
+    UNION ALL SELECT 'window', (SELECT count(*) FROM orders)
+    UNION ALL SELECT unnest(['no select list', 'open bracket', 'unknown column', 'unknown table', 'not grouped', 'two statements', 'misspelt', 'no query']), NULL
+    """,
+)
+def sql_refused(spark, folder):
+    """How many rows statements over a table have that are accepted; those that are refused have none."""
+    tables = Workspace(spark)
+    tables.attach("orders", table(spark, folder, "orders"))
+    statements = {
+        "select": "SELECT o_orderkey FROM orders WHERE o_totalprice > 1000",
+        "with": "WITH t AS (SELECT DISTINCT o_custkey FROM orders) SELECT * FROM t ORDER BY o_custkey",
+        "window": "SELECT row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders",
+        "no select list": "SELECT FROM orders WHERE o_totalprice > 10",
+        "open bracket": "SELECT (o_orderkey FROM orders",
+        "unknown column": "SELECT price FROM orders",
+        "unknown table": "SELECT 1 FROM no_such_table",
+        "not grouped": "SELECT o_custkey, o_orderkey, count(*) FROM orders GROUP BY o_custkey",
+        "two statements": "SELECT 1 FROM orders; SELECT 2 FROM orders",
+        "misspelt": "SELEC o_orderkey FROM orders",
+        "no query": "DROP VIEW orders",
+    }
+
+    def counted(name: str, text: str):
+        try:
+            found = tables.sql(text).agg(F.count(F.lit(1)).alias("row_count"))
+        except PySparkException:
+            return spark.range(1).select(F.lit(name).alias("statement"), F.lit(None).cast("long").alias("row_count"))
+        return found.select(F.lit(name).alias("statement"), "row_count")
+
+    return reduce(DataFrame.unionAll, [counted(*x) for x in statements.items()])
+
+
 @query(
     "cast_formats",
     """

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tributary.functions import values as V
 from tributary.functions.links import MAIN, SUB, Link, term_column
@@ -16,8 +17,6 @@ from tributary.functions.sizing import fits_broadcast
 from tributary.operators import skew
 from tributary.operators.exists import link_terms
 
-ROWS_PER_PART = 10_000
-
 
 def _terms(main, sub, on, tree, sub_names, main_names) -> list:
     return link_terms(sub, main, on, tree, sub_names, main_names)
@@ -67,13 +66,14 @@ def nested_detail(
     tree: Mapping[str, Any] | None = None,
     sub_names: Sequence[str] = (),
     main_names: Sequence[str] = (),
-    rows_per_part: int = ROWS_PER_PART,
+    *,
+    rows_per_part: int,
 ) -> DataFrame:
     """Main rows with their detail rows nested: ``main.*, match_count, part, details``.
 
     ``main_key`` identifies a main row. A main row has one output row, part 0, unless it has more
-    than ``rows_per_part`` detail rows; then those are dealt out over as many parts as needed, so that
-    no task builds an unbounded array. Equal detail rows are dealt by the map task that read them.
+    than ``rows_per_part`` detail rows, which is the caller's to say; then those are dealt out by a hash over ``ceil(match_count / rows_per_part)``
+    parts, so that no task builds an unbounded array. Equal detail rows are numbered and go to parts by turns. Every run deals the same.
     Main rows without detail have ``match_count`` 0 and an empty array. With links other than
     equalities the pairs are formed twice, once to count them.
     """
@@ -89,7 +89,7 @@ def nested_detail(
         counted = counted.select(*[col(c, "a") for c in main.columns], F.coalesce("match_count", F.lit(0)).alias("match_count"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("match_count") / rows_per_part)).alias("__parts")
     numbered = counted.select("*", parts)
-    located = sub.select("*", F.lit(True).alias("__match"), F.spark_partition_id().alias("__at"))
+    located = _numbered_copies(sub).withColumn("__match", F.lit(True))
     keys = [(t.main_field, t.field) for t in terms] if equal else []
     if equal and not fits_broadcast(sub) and _same_kinds(main, sub, keys):
         left, right, pairs = "t1", "t2", skew.left_outer(numbered, located, keys)
@@ -99,7 +99,7 @@ def nested_detail(
     detail = F.struct(*[col(c, right).alias(c) for c in sub.columns])
     dealt = pairs.select(
         *[col(c, left) for c in counted.columns],
-        F.coalesce(F.pmod(F.xxhash64(detail, F.col("__at")), F.col("__parts")), F.lit(0)).alias("part"),
+        F.coalesce(F.pmod(F.pmod(F.xxhash64(detail), F.col("__parts")) + F.col("__at"), F.col("__parts")), F.lit(0)).alias("part"),
         F.when(F.col("__match"), detail).alias("__detail"),
     )
     others = [F.first(col(c)).alias(c) for c in counted.columns if c not in main_key]
@@ -109,6 +109,14 @@ def nested_detail(
     return nested.select(*[col(c) for c in main.columns], "match_count", "part", "details")
 
 
+def _numbered_copies(sub: DataFrame) -> DataFrame:
+    """``sub`` with a number from 0 among rows that are equal, as ``__at``. Maps can't be compared: rows that hold one are all number 0."""
+    if any(isinstance(f.dataType, T.MapType) for f in sub.schema):
+        return sub.withColumn("__at", F.lit(0).cast("long"))
+    counted = sub.groupBy(*[col(c) for c in sub.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    return counted.select(*[col(c) for c in sub.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)).alias("__at"))
+
+
 def _same_kinds(main: DataFrame, sub: DataFrame, keys: skew.Keys) -> bool:
     return all(
         V.kind(V.field_type(main.schema, m)) == V.kind(V.field_type(sub.schema, s)) for m, s in keys

@@ -70,9 +70,10 @@ def join(
         wide = bindings.attach(left)
     if not keys and not isinstance(on, Column):
         found = band.find_band(left.schema, right.schema, terms, how != "right") if not _tiny(left, right) else None
+        if not (found and found.lows and found.highs):  # bounded at one end only, a row meets a good part of all
+            _check_product(left, right, how, product)
         if found:
             return _banded(left, wide, right, terms, rest, found, how, suffix)
-        _check_product(left, right, how, product)
 
     plain = len(keys) == len(terms) and not any(_needs_cast(left, right, k) for k in keys)
     padded = {"left": [right], "right": [left], "full": [left, right]}.get(how, [])

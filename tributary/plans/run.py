@@ -62,6 +62,7 @@ class Plan:
     def __post_init__(self):
         self.sources = Sources.of(self.tree)
         self._kept: list[DataFrame] = []
+        self._outputs: dict[str, tuple[DataFrame, DataFrame]] = {}
 
     # -- results ---------------------------------------------------------------------------------
 
@@ -160,6 +161,15 @@ class Plan:
     def __exit__(self, *_) -> None:
         self.release()
 
+    def _output_table(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a table of the workspace. It is written again only if its plan, which names the versions of the tables it reads, is another,
+        or if somebody has replaced the table."""
+        before, saved = self._outputs.get(name, (None, None))
+        if before is None or not before.sameSemantics(df) or not self.workspace.table(name).sameSemantics(saved):
+            saved = self.workspace.save(name, df)
+            self._outputs[name] = (df, saved)
+        return saved
+
     def overlap(self, parent_id: str, persist: bool = False) -> DataFrame:
         """Shared distinct rows of each pair of enabled children."""
         return overlap(self.workspace.spark, self.branches(parent_id, persist))
@@ -289,6 +299,6 @@ class Plan:
         state.order = [{"field": k} for k in keys if k in state.df.columns]
         state.reusable = False
         if c.get("outputTableName"):
-            state.df = self.workspace.save(c["outputTableName"], state.df)
+            state.df = self._output_table(c["outputTableName"], state.df)
 
     _do_aggregate = _do_group

@@ -11,6 +11,8 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+#: Entries that only a step has.
+STEP_ENTRIES = {"children", "commands", "operationType"}
 NODE_KINDS = ("setup", "dataset", "process", "root")
 
 
@@ -52,17 +54,17 @@ class Node:
 
 def read_tree(source: str | Mapping[str, Any] | list) -> Node:
     """A tree from JSON text or parsed JSON: a root node, an export with a ``tree`` or ``operations``
-    entry, a bare list of nodes, or a single node, which is put below a root."""
+    entry, a bare list of nodes, or a single node, which is put below a root. What isn't a step is refused: nothing is left out."""
     payload = json.loads(source) if isinstance(source, str) else source
-    candidate = payload.get("tree", payload) if isinstance(payload, Mapping) else payload
-    if isinstance(candidate, list):
-        return _root(candidate)
-    node = _node(candidate)
-    if node is None:
-        operations = payload.get("operations") if isinstance(payload, Mapping) else None
-        if not isinstance(operations, list):
-            raise ValueError("no step tree found")
-        return _root(operations)
+    if isinstance(payload, Mapping) and "tree" in payload:
+        payload = payload["tree"]
+    if isinstance(payload, Mapping) and isinstance(payload.get("operations"), list) and not STEP_ENTRIES & set(payload):
+        payload = payload["operations"]
+    if isinstance(payload, list):
+        return _root(payload)
+    if not isinstance(payload, Mapping) or not {"id", "name", *STEP_ENTRIES} & set(payload):
+        raise ValueError("no step tree found")
+    node = _node(payload)
     return node if node.kind == "root" else Node("root", "Project", "root", children=(node,))
 
 
@@ -72,35 +74,43 @@ def read_tree_file(path: str) -> Node:
 
 
 def _root(items: list) -> Node:
-    return Node("root", "Project", "root", children=tuple(n for n in map(_node, items) if n))
+    return Node("root", "Project", "root", children=tuple(map(_node, items)))
 
 
 def _text(value: Any) -> str | None:
     return value if isinstance(value, str) and value.strip() else None
 
 
-def _node(raw: Any) -> Node | None:
-    if not isinstance(raw, Mapping) or raw.get("type", "operation") != "operation":
-        return None
+def _listed(raw: Mapping[str, Any], entry: str) -> list:
+    """The list under ``entry``; nothing there is an empty one."""
+    value = raw.get(entry)
+    if value is not None and not isinstance(value, list):
+        raise ValueError(f"step '{raw['id']}': '{entry}' is no list")
+    return value or []
+
+
+def _node(raw: Any) -> Node:
+    shown = json.dumps(raw, default=str)[:200]
+    if not isinstance(raw, Mapping):
+        raise ValueError(f"not a step: {shown}")
+    if raw.get("type", "operation") != "operation":
+        raise ValueError(f"a step of unknown type '{raw['type']}': {shown}")
     missing = [k for k in ("id", "name") if not _text(raw.get(k))]
-    if missing and {"children", "commands", "operationType"} & set(raw):
-        raise ValueError(f"a step without {' and '.join(missing)}: {json.dumps(raw, default=str)[:200]}")
     if missing:
-        return None
-    children = raw.get("children")
-    commands = raw.get("commands")
+        raise ValueError(f"a step without {' and '.join(missing)}: {shown}")
     return Node(
         id=raw["id"],
         name=raw["name"],
         kind=raw.get("operationType") if raw.get("operationType") in NODE_KINDS else "process",
         enabled=raw.get("enabled") is not False,
-        commands=tuple(_command(c, i, raw["id"]) for i, c in enumerate(commands if isinstance(commands, list) else [])),
-        children=tuple(n for n in map(_node, children if isinstance(children, list) else []) if n),
+        commands=tuple(_command(c, i, raw["id"]) for i, c in enumerate(_listed(raw, "commands"))),
+        children=tuple(map(_node, _listed(raw, "children"))),
     )
 
 
 def _command(raw: Any, index: int, node_id: str) -> Command:
-    raw = raw if isinstance(raw, Mapping) else {}
+    if not isinstance(raw, Mapping):
+        raise ValueError(f"step '{node_id}': not a command: {json.dumps(raw, default=str)[:200]}")
     config = raw.get("config")
     try:
         order = float(raw["order"])

@@ -33,10 +33,16 @@ def read_csv(
     Give ``schema`` for large files: one read, no inference. Without it one extra pass decides
     between whole number, number, boolean and text for each column; dates stay text until
     ``cast_fields`` reads them. ``multiline`` allows line breaks inside quoted cells, at the price of
-    unsplittable files.
+    unsplittable files. Where several files are read, those with one header line are read together, each by its own names, and
+    united by name; a column that a file lacks is null there.
     """
     options = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline}
-    text = clean_columns(spark.read.options(**options, inferSchema=False).csv(path))
+    reader = spark.read.options(**options, inferSchema=False)
+    groups = _by_header(spark, path)
+    parts = [clean_columns(reader.csv(files)) for files in groups] if len(groups) > 1 else [clean_columns(reader.csv(path))]
+    text = parts[0]
+    for part in parts[1:]:
+        text = text.unionByName(part, allowMissingColumns=True)
     text = text.select(*[_without_tokens(col(c), null_tokens).alias(c) for c in text.columns])
     if schema is not None:
         wanted = T.DataType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -45,6 +51,29 @@ def read_csv(
     return text.select(*[_read_as(col(c), found[c]).alias(c) for c in text.columns])
 
 
+def _by_header(spark: SparkSession, path: str | Sequence[str]) -> list[list[str]]:
+    """The files of a path, those with the same first line together, in the order of their names. The executors read the beginnings of the
+    files; the driver sees a line for each file."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if len(paths) == 1 and not _is_folder(spark, paths[0]):
+        return [paths]
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for file, header in sorted(first.collect()):
+        groups.setdefault(header.strip().lstrip("\ufeff"), []).append(file)
+    return list(groups.values()) or [paths]
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path may stand for several files."""
+    if any(c in path for c in "*?[{"):
+        return True
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return found.exists(where) and found.getFileStatus(where).isDirectory()
+
+
 def _without_tokens(c: Column, tokens: Sequence[str]) -> Column:
     return F.when(~c.isin(list(tokens)), c) if tokens else c
 
