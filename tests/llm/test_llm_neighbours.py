@@ -3,10 +3,11 @@
 import collections
 
 import numpy as np
+import pytest
 from llm_cases import FOLDER
 from pyspark.sql import functions as F
 
-from tributary.llm.graph_index import Graph, search
+from tributary.llm.graph_index import Graph, distances, search
 
 
 def exact(ids, vectors, query, k=10):
@@ -60,3 +61,23 @@ def test_a_graph_prunes_what_lies_behind(spark):
     assert (graph.edges >= 0).sum(axis=1).max() <= 4
     near, _ = graph.search(line.astype(np.float32) / line.max().astype(np.float32), 8)
     assert (near[:, 0] == np.arange(59)).mean() > 0.9
+
+
+@pytest.mark.parametrize(("clusters", "spread"), [(2, 0.01), (2, 0.5), (4, 0.01), (8, 0.1), (40, 0.3)])
+def test_recall_on_clusters(spark, clusters, spread):
+    rng = np.random.default_rng(clusters)
+    centres = rng.normal(size=(clusters, 64))
+    vectors = centres[rng.integers(clusters, size=4096)] + spread * rng.normal(size=(4096, 64))
+    ids = np.arange(4096)
+    table = spark.createDataFrame(list(zip(ids.tolist(), vectors.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    found = collections.defaultdict(set)
+    for r in search(table, table.where("vec_id % 64 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = sum(len({i for i, _ in exact(ids, vectors, q)} & found[q]) for q in ids[::64].tolist())
+    assert hits / (10 * len(ids[::64])) >= 0.95
+
+
+def test_distances_beyond_the_square_root_of_the_largest_number():
+    x = np.array([[1e200, 0.0], [3.0, 4.0], [1.5e308, 1.0]])
+    assert distances(x, np.zeros(2)).tolist() == [1e200, 5.0, 1.5e308]
+    assert distances(x, np.array([-1e200, 0.0]))[0] == 2e200

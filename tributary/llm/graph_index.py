@@ -16,6 +16,8 @@ from tributary.llm.text import cut
 SHARD_ROWS, DEGREE, BEAM, ALPHA = 4096, 40, 96, 1.2
 #: Nearest so far that a query's search holds.
 QUERY_BEAM = 192
+#: Spread-out vectors from which searches start, and how many of them a search starts from.
+ENTRIES, STARTS = 256, 8
 #: Vectors of a beam that are expanded in one step, and searches that run side by side.
 EXPANDED, TOGETHER = 4, 256
 ROW = "shard long, dim int, query_id long, vec binary, ids array<long>"
@@ -32,29 +34,51 @@ class Graph:
         self.degree, self.beam, self.alpha = degree, beam, alpha
         n = len(vectors)
         self.edges = np.full((n, degree), -1, np.int64)
-        mean = self.x.mean(axis=0)
-        self.entry = int(np.argmin(self.square - 2 * self.x @ mean))
-        order = np.random.default_rng(5).permutation(n)
-        order = np.concatenate(([self.entry], order[order != self.entry]))
-        done = 1
-        while done < n:
-            new = order[done : done + min(done, TOGETHER)]
+        rng = np.random.default_rng(5)
+        self.entries = self.spread_out(min(n, ENTRIES), rng)
+        # Entries know the others; all else is found from them.
+        others = np.broadcast_to(self.entries, (len(self.entries), len(self.entries)))
+        self.edges[self.entries] = self.prune(self.entries, others)
+        order = rng.permutation(n)
+        order = order[~np.isin(order, self.entries)]
+        done = 0
+        while done < len(order):
+            new = order[done : done + min(len(self.entries) + done, TOGETHER)]
             self.insert(new)
             done += len(new)
 
+    def spread_out(self, count: int, rng: np.random.Generator) -> np.ndarray:
+        """Vectors picked one by one, with chances that grow with the squared distance to those picked before, so that clusters far from all others have one."""
+        picked = [int(rng.integers(len(self.x)))]
+        least = np.full(len(self.x), np.inf)
+        while len(picked) < count:
+            difference = (self.x - self.x[picked[-1]]).astype(np.float64)
+            least = np.minimum(least, np.einsum("nd,nd->n", difference, difference))
+            least[picked] = 0
+            total = least.cumsum()
+            if not total[-1] > 0:  # all others are as good as equal to one picked
+                break
+            picked.append(min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(self.x) - 1))
+        return np.unique(picked)
+
     def near(self, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Squared distances between each query and its row of ``ids``; infinite for ids that are -1."""
-        found = self.square[ids] - 2 * np.einsum("mkd,md->mk", self.x[ids], queries) + np.einsum("md,md->m", queries, queries)[:, None]
-        return np.where(ids < 0, np.inf, np.maximum(found, 0))
+        difference = self.x[ids] - queries[:, None]
+        return np.where(ids < 0, np.inf, np.einsum("mkd,mkd->mk", difference, difference))
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy beam search: ids and squared distances of the nearest vectors found for each query, nearest first."""
+        """Greedy beam search from the entries nearest to each query: ids and squared distances of the nearest vectors found, nearest first."""
         m, n = len(queries), len(self.x)
         seen = np.zeros((m, n + 1), bool)  # the last column stands for no vector
         ids, dist, open_ = np.full((m, beam), -1), np.full((m, beam), np.inf), np.zeros((m, beam), bool)
-        ids[:, 0], open_[:, 0] = self.entry, True
-        dist[:, 0] = self.near(queries, ids[:, :1])[:, 0]
-        seen[:, self.entry] = seen[:, n] = True
+        starts = min(STARTS, beam, len(self.entries))
+        far = self.square[self.entries] - 2 * queries @ self.x[self.entries].T
+        first = self.entries[np.argpartition(far, starts - 1, axis=1)[:, :starts]]
+        length = self.near(queries, first)
+        order = np.argsort(length, axis=1, kind="stable")
+        ids[:, :starts], dist[:, :starts], open_[:, :starts] = np.take_along_axis(first, order, 1), np.take_along_axis(length, order, 1), True
+        seen[np.arange(m)[:, None], first] = True
+        seen[:, n] = True
         active = np.arange(m)
         while len(active):
             rank = np.where(open_[active], np.arange(beam), beam)
@@ -91,8 +115,8 @@ class Graph:
             order = np.argsort(dist, axis=1, kind="stable")
             ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
             alive = np.isfinite(dist)
-            x = self.x[ids]
-            each = self.square[ids]
+            x = self.x[ids] - self.x[own][:, None]
+            each = np.einsum("mkd,mkd->mk", x, x)
             apart = np.maximum(each[:, :, None] + each[:, None, :] - 2 * x @ x.transpose(0, 2, 1), 0)
             rows = np.arange(len(own))
             for k in range(self.degree):
@@ -123,6 +147,18 @@ class Graph:
         self.edges[targets[many]] = self.prune(targets[many], both[many])
 
 
+def distances(x: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, also where squares overflow."""
+    with np.errstate(over="ignore"):
+        difference = x - vector
+        found = np.sqrt((difference**2).sum(axis=1))
+        large = np.isinf(found)
+        if large.any():
+            most = np.abs(x[large] / 2 - vector / 2).max(axis=1)
+            found[large] = 2 * most * np.sqrt((((x[large] / 2 - vector / 2) / most[:, None]) ** 2).sum(axis=1))
+    return found
+
+
 def smallest(ids: list[np.ndarray], count: int) -> list[int]:
     return np.unique(np.concatenate(ids))[:count].tolist()
 
@@ -176,7 +212,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int
         found, _ = graph.search(scaled, max(beam, k + 1))
         for (query_id, _), vector, near in zip(asked, q, found):
             near = near[near >= 0]
-            exact = np.sqrt(((x[near] - vector) ** 2).sum(axis=1))
+            exact = distances(x[near], vector)
             rows = sorted((d, i) for d, node in zip(exact.tolist(), near.tolist()) for i in ids[node] if i != query_id)[:k]
             out += [(query_id, i, d) for d, i in rows]
         a, b, c = zip(*out) if out else ((), (), ())
