@@ -1,5 +1,10 @@
 """Step trees: the same tree run to several nodes and in several states."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from tributary import Plan, Workspace, read_tree, set_enabled
 from tributary.examples.registry import both, either, leaf, query, table
 
@@ -176,3 +181,38 @@ def step_counts(spark, folder):
 )
 def tree_overlap(spark, folder):
     return _plan(spark, folder).overlap("recent")
+
+
+@query(
+    "tree_forms",
+    """
+    SELECT form, o_orderstatus, count(*) AS orders FROM orders, (SELECT unnest(['export', 'list', 'operations', 'single', 'root']) AS form)
+    WHERE o_totalprice > 200000 GROUP BY ALL
+    """,
+)
+def tree_forms(spark, folder):
+    """One step read from each form a tree file may have; its commands have no ids."""
+    step = {
+        "id": "n", "name": "status", "type": "operation", "commands": [
+            {"type": "filter", "config": {"dataSource": "orders", "field": "o_totalprice", "operator": ">", "value": 200000}},
+            {"type": "group", "order": "7", "config": {"groupByFields": ["o_orderstatus"], "aggregations": [{"field": "*", "func": "count", "alias": "orders"}]}},
+        ],
+    }
+    root = {"id": "r", "name": "all", "operationType": "root", "children": [step]}
+    forms = {"export": {"version": 1, "tree": root}, "list": [step], "operations": {"operations": [step]}, "single": step, "root": root}
+    tables = Workspace(spark)
+    tables.attach("orders", table(spark, folder, "orders"))
+    found = [Plan(read_tree(form), tables).result("n").select(F.lit(name).alias("form"), "o_orderstatus", "orders") for name, form in forms.items()]
+    return reduce(DataFrame.unionAll, found)
+
+
+@query("tree_saved_once", "SELECT o_orderstatus, max(o_custkey) AS max_o_custkey, 1::BIGINT AS versions FROM orders GROUP BY o_orderstatus")
+def tree_saved_once(spark, folder):
+    """Three results that have a step with an output table write it once."""
+    plan = _plan(spark, folder)
+    plan.result("averages")
+    plan.step_counts("averages")
+    plan.result("averages")
+    files = spark.read.parquet(f"{plan.workspace.root}/status_max/*").select(F.regexp_extract(F.col("_metadata.file_path"), "([0-9a-f]{32})/[^/]*$", 1).alias("version"))
+    versions = files.agg(F.count_distinct("version").alias("versions"))
+    return plan.workspace.table("status_max").crossJoin(F.broadcast(versions))
