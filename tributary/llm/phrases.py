@@ -2,33 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
+import gc
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.grams import drop_folder, signed
-from tributary.llm.suffix_tree import STEP, marked, marks_of
-from tributary.llm.text import LOWER, binary, coded, cut, hashes, mixed, raw, slices, small_batches
+from tributary.llm.suffix_tree import STEP
+from tributary.llm.text import LOWER, binary, coded, cut, give_back, hashes, mixed, raw, slices, small_batches
 from tributary.sources.folders import shared_folder
 
 BREAKS = np.zeros(256, bool)
 BREAKS[list(b".,;:!?\n\x0b\x0c\r")] = True
 OUTSIDE = BREAKS.copy()
 OUTSIDE[list(b" \t")] = True
-#: Text behind one row of a relation, distinct keys a task holds before it sends them on, and rows it sends at once.
-RELATION_BYTES, HELD, SENT = 4 << 20, 2 << 20, 200_000
-#: A relation's row has the occurrences of one slice of one language in the order of their places: ``pos`` (32-bit), ``codes`` (32-bit places in the lists of
-#: 64-bit numbers ``keys``, and, from two words on, of their first and last part).
-WORDS = "lang string, words array<string>, pos binary, codes binary, keys binary"
+#: Text behind one row of a relation, distinct keys a task holds before it sends them on, rows it sends at once, and keys in a range that is counted together.
+RELATION_BYTES, HELD, SENT, RANGE = 8 << 20, 1 << 19, 100_000, 1 << 20
+#: Marks take so many bits for each key, and 2 ** MOST_BITS at most.
+BITS_PER_KEY, MOST_BITS = 32, 27
+#: A relation's row has the occurrences of one slice of one language in the order of their places: ``pos`` holds the steps from place to place, ``codes`` the
+#: occurrences' places in the lists ``words`` or ``keys``, 64-bit numbers, which from two words on have the keys of their first and last part beside them.
+WORDS = "lang string, words array<string>, pos binary, codes binary"
 GRAMS = "lang string, pos binary, codes binary, keys binary, first binary, last binary"
 
 
+def marks_of(keys: DataFrame) -> np.ndarray:
+    """A bit set for each of ``keys`` (key), and by chance for others: more of them where keys are so many that the table has its full size."""
+    bits = min(MOST_BITS, max(10, (BITS_PER_KEY * keys.count()).bit_length())) - 6
+    set_bits = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
+    found = set_bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << bits, np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> np.uint64(65 - len(marks).bit_length())).astype(np.int64)
+    return (marks[at] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+
+
 def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Places and codes of the lower-cased words, and the distinct words. Words beside each other in a piece have consecutive places, others don't."""
     offsets, data = raw(texts)
@@ -45,12 +64,32 @@ def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return np.arange(len(at)) + np.cumsum(np.diff(piece, prepend=0) > 0), codes, values
 
 
-def packed(*arrays: np.ndarray) -> list[pa.Array]:
-    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+def binary_of(x: np.ndarray) -> pa.Array:
+    return pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+
+
+def packed(pos: np.ndarray, codes: np.ndarray) -> list[pa.Array]:
+    """Places as steps, in as few bytes as hold them, and codes with all lowest bytes first: both for the file's compression."""
+    steps = np.diff(pos, prepend=0)
+    return [binary_of(steps.astype(np.min_scalar_type(int(steps.max(initial=0))))), binary_of(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)]
+
 
+def rows_of_relation(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lang, places, codes, keys) of each row."""
+    for i, lang in enumerate(batch.column("lang").to_pylist()):
+        codes = np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(4, -1).T
+        codes = np.ascontiguousarray(codes).view("<u4").ravel().astype(np.int64)
+        steps = batch.column("pos")[i].as_py()
+        pos = np.cumsum(np.frombuffer(steps, f"u{max(1, len(steps) // max(1, len(codes)))}"), dtype=np.int64)
+        if "keys" in batch.schema.names:
+            keys = np.frombuffer(batch.column("keys")[i].as_py(), np.uint64)
+        else:
+            keys = word_keys(lang, batch.column("words")[i].values)
+        yield lang, pos, codes, keys
 
-def unpacked(batch: pa.RecordBatch, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in batch.column(name)]
+
+def word_keys(lang: str, words: pa.Array) -> np.ndarray:
+    return mixed(hashes(words) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1)))
 
 
 def word_relation(docs: DataFrame) -> DataFrame:
@@ -60,28 +99,103 @@ def word_relation(docs: DataFrame) -> DataFrame:
                 for lang in part.column("lang").unique().to_pylist():
                     own = part.filter(pc.equal(part.column("lang"), lang))
                     pos, codes, values = occurrences(own.column("text"))
-                    keys = mixed(hashes(values) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1)))
-                    words = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(pa.string()))
-                    rest = packed(pos.astype(np.int32), codes.astype(np.int32), keys)
-                    yield pa.record_batch([pa.array([lang]), words, *rest], ["lang", "words", "pos", "codes", "keys"])
+                    # Frequent words first.
+                    order = np.argsort(-np.bincount(codes, minlength=len(values)), kind="stable")
+                    place = np.empty(len(order), np.int64)
+                    place[order] = np.arange(len(order))
+                    words = values.cast(pa.string()).take(pa.array(order))
+                    words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+                    yield pa.record_batch([pa.array([lang]), words, *packed(pos, place[codes])], ["lang", "words", "pos", "codes"])
 
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").mapInArrow(work, WORDS)
 
 
-def word_counts(relation: DataFrame) -> DataFrame:
-    """(lang, key, word, n) of all words."""
+def counted(relation: DataFrame, kind: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], least: int, bits: int) -> DataFrame:
+    """(lang, key, n) of the keys that occur ``least`` times or more among those that ``kind`` makes of a row's (pos, codes, keys).
+
+    A task adds up what it has and sends one row for each range of keys, 2 ** ``bits`` of them: sorted keys and counts, packed. Who gets a range adds up again.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            for lang, *row in rows_of_relation(batch):
+                found = kind(*row)
+                for columns in tally.put(*found, lang):
+                    yield from each(columns)
+            give_back()
+        for columns in tally.rest():
+            yield from each(columns)
+
+    def each(found: tuple[str, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        lang, *columns = found
+        yield ranges(lang, columns, bits, ["n"])
+
+    def merged(columns: list[np.ndarray]) -> list[np.ndarray]:
+        keys, index = np.unique(columns[0], return_inverse=True)
+        n = np.bincount(index, columns[1], len(keys)).astype(np.int64)
+        return [keys[n >= least], n[n >= least]]
+
+    sent = relation.select("lang", "pos", "codes", "keys" if "keys" in relation.columns else "words").mapInArrow(work, "lang string, bucket long, keys binary, n binary")
+    return dealt(sent, merged, ["n"])
+
+
+def ranges(lang: str, columns: list[np.ndarray], bits: int, names: list[str]) -> pa.RecordBatch:
+    """A row for each range of the sorted keys ``columns[0]`` that has any, with the other columns' numbers in as few bytes as hold them."""
+    bucket = (columns[0] >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) if name == "n" else c for name, c in zip(["keys", *names], columns)]
+    blobs = [pa.array([c[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])], pa.binary()) for c in narrow]
+    return pa.record_batch([pa.array([lang] * (len(edges) - 1), pa.string()), pa.array(bucket[edges[:-1]]), *blobs], ["lang", "bucket", "keys", *names])
+
+
+def dealt(sent: DataFrame, merged: Callable[[list[np.ndarray]], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """Rows of ``ranges`` brought together by language and range, and what ``merged`` makes of each range."""
+
+    def whole(held: list[list[bytes]]) -> list[np.ndarray]:
+        keys = [np.frombuffer(k, np.uint64) for k in held[0]]
+        rest = [np.concatenate([np.frombuffer(x, f"u{len(x) // max(1, len(k))}").astype(np.uint64) for x, k in zip(column, keys)]) for column in held[1:]]
+        return [np.concatenate(keys), *rest]
+
+    def flat(lang: str, held: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+        columns = [signed(c) for c in merged(whole(held))]
+        for a in range(0, len(columns[0]), SENT):
+            some = [pa.array(c[a : a + SENT]) for c in columns]
+            yield pa.record_batch([pa.array([lang] * len(some[0]), pa.string()), *some], ["lang", "key", *names])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            for lang, bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != (lang, bucket):
+                    if held:
+                        yield from flat(here[0], held)
+                    here, held = (lang, bucket), [[] for _ in blobs]
+                for column, blob in zip(held, blobs):
+                    column.append(blob)
+        if held:
+            yield from flat(here[0], held)
+
+    partitions = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sent.repartition(partitions, "lang", "bucket").sortWithinPartitions("lang", "bucket")
+    return rows.mapInArrow(work, ", ".join(["lang string", "key long", *[f"{n} long" for n in names]]))
+
+
+def word_texts(relation: DataFrame, marks: Broadcast) -> DataFrame:
+    """(key, word) of the marked words."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in batches:
-            for lang, words, codes, keys in zip(batch.column("lang"), batch.column("words"), unpacked(batch, "codes", np.int32), unpacked(batch, "keys", np.int64)):
-                n = np.bincount(codes, minlength=len(keys))
-                for a in range(0, len(keys), SENT):
-                    these = slice(a, a + SENT)
-                    own = [pa.array([lang.as_py()] * len(keys[these]), pa.string()), pa.array(keys[these]), words.values[these], pa.array(n[these], pa.int64())]
-                    yield pa.record_batch(own, ["lang", "key", "word", "n"])
+            for lang, row in zip(batch.column("lang").to_pylist(), batch.column("words")):
+                keys = word_keys(lang, row.values)
+                at = np.flatnonzero(marked(marks.value, keys))
+                at = np.array([i for i, key in zip(at.tolist(), keys[at].tolist()) if key not in sent], np.int64)
+                if len(sent) < HELD:
+                    sent.update(keys[at].tolist())
+                yield pa.record_batch([pa.array(signed(keys[at])), row.values.take(pa.array(at))], ["key", "word"])
 
-    counts = relation.select("lang", "words", "codes", "keys").mapInArrow(work, "lang string, key long, word string, n long")
-    return counts.groupBy("lang", "key").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+    return relation.select("lang", "words").mapInArrow(work, "key long, word string").groupBy("key").agg(F.min("word").alias("word"))
 
 
 def joined(pos: np.ndarray, codes: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -94,73 +208,94 @@ def joined(pos: np.ndarray, codes: np.ndarray, keys: np.ndarray, marks: np.ndarr
 
 
 class Tally:
-    """Counts of keys, added up within a task as far as they fit."""
+    """Counts of each language's keys, added up within a task as far as they fit."""
 
     def __init__(self) -> None:
-        self.keys, self.n, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        self.waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.size = 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.waiting.append(np.unique(signed(keys), return_counts=True))
-        self.size += len(self.waiting[-1][0])
+    def put(self, keys: np.ndarray, n: np.ndarray, lang: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Counts of distinct keys."""
+        self.waiting.setdefault(lang, []).append((keys, n))
+        self.size += len(keys)
         if self.size > HELD:
-            self.settle()
-            if len(self.keys) > HELD // 2:
+            for own in self.waiting:
+                self.waiting[own] = [self.settled(own)]
+            self.size = sum(len(own[0][0]) for own in self.waiting.values())
+            if self.size > HELD // 2:
                 yield from self.rest()
 
-    def settle(self) -> None:
-        keys, index = np.unique(np.concatenate((self.keys, *[k for k, _ in self.waiting])), return_inverse=True)
-        self.n = np.bincount(index, np.concatenate((self.n, *[n for _, n in self.waiting])), len(keys)).astype(np.int64)
-        self.keys, self.waiting, self.size = keys, [], 0
-
-    def rest(self) -> Iterator[pa.RecordBatch]:
-        self.settle()
-        for a in range(0, len(self.keys), SENT):
-            yield pa.record_batch([pa.array(self.keys[a : a + SENT]), pa.array(self.n[a : a + SENT])], ["key", "n"])
+    def settled(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.waiting[lang]) == 1:
+            return self.waiting[lang][0]
+        keys, index = np.unique(np.concatenate([k for k, _ in self.waiting[lang]]), return_inverse=True)
+        return keys, np.bincount(index, np.concatenate([n for _, n in self.waiting[lang]]), len(keys)).astype(np.int64)
+
+    def rest(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        for lang in [*self.waiting]:
+            keys, n = self.settled(lang)
+            del self.waiting[lang]
+            order = np.argsort(keys)
+            if len(keys):
+                yield lang, keys[order], n[order]
         self.__init__()
 
 
-def longer_counts(relation: DataFrame, marks: np.ndarray) -> DataFrame:
-    """(key, n) of phrases one word longer than those of ``relation``, both of whose parts are marked."""
-    shared = relation.sparkSession.sparkContext.broadcast(marks)
+def words_of_row(pos: np.ndarray, codes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return keys, np.bincount(codes, minlength=len(keys))
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        for batch in batches:
-            for pos, codes, keys in zip(unpacked(batch, "pos", np.int32), unpacked(batch, "codes", np.int32), unpacked(batch, "keys", np.uint64)):
-                yield from tally.add(joined(pos, codes, keys, shared.value)[1])
-        yield from tally.rest()
 
-    return relation.select("pos", "codes", "keys").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def longer_of_row(marks: Broadcast) -> Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Phrases one word longer than a row's, both of whose parts are marked."""
+    return lambda *row: np.unique(joined(*row, marks.value)[1], return_counts=True)
 
 
-def longer_relation(relation: DataFrame, marks: np.ndarray, frequent: np.ndarray) -> DataFrame:
+def longer_relation(relation: DataFrame, marks: Broadcast, frequent: Broadcast) -> DataFrame:
     """The relation of phrases one word longer, of which those marked in ``frequent`` stay."""
-    shared = relation.sparkSession.sparkContext.broadcast((marks, frequent))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, pos, codes, keys in zip(batch.column("lang"), unpacked(batch, "pos", np.int32), unpacked(batch, "codes", np.int32), unpacked(batch, "keys", np.uint64)):
-                pos, keys, first, last = joined(pos, codes, keys, shared.value[0])
-                kept = marked(shared.value[1], keys)
+            for lang, *row in rows_of_relation(batch):
+                pos, keys, first, last = joined(*row, marks.value)
+                kept = marked(frequent.value, keys)
                 keys, at, codes = np.unique(keys[kept], return_index=True, return_inverse=True)
                 if len(keys):
-                    rest = packed(pos[kept], codes.astype(np.int32), keys, first[kept][at], last[kept][at])
-                    yield pa.record_batch([pa.array([lang.as_py()]), *rest], ["lang", "pos", "codes", "keys", "first", "last"])
+                    rest = [binary_of(x) for x in (keys, first[kept][at], last[kept][at])]
+                    yield pa.record_batch([pa.array([lang]), *packed(pos[kept], codes), *rest], ["lang", "pos", "codes", "keys", "first", "last"])
+            give_back()
+
+    return relation.select("lang", "pos", "codes", "keys" if "keys" in relation.columns else "words").mapInArrow(work, GRAMS)
 
-    return relation.select("lang", "pos", "codes", "keys").mapInArrow(work, GRAMS)
 
+def parts(relation: DataFrame, bits: int) -> DataFrame:
+    """(lang, key, first, last) of a relation's phrases: the keys of all words but the last, and of all but the first."""
 
-def parts(relation: DataFrame) -> DataFrame:
-    """(key, first, last) of a relation's phrases: the keys of all words but the last, and of all but the first."""
+    def distinct(columns: list[np.ndarray]) -> list[np.ndarray]:
+        at = np.unique(columns[0], return_index=True)[1]
+        return [c[at] for c in columns]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [np.concatenate(unpacked(batch, c, np.int64) or [np.zeros(0, np.int64)]) for c in ("keys", "first", "last")]
-            _, at = np.unique(columns[0], return_index=True)
-            yield pa.record_batch([pa.array(c[at]) for c in columns], ["key", "first", "last"])
+            rows = zip(batch.column("lang").to_pylist(), *([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("keys", "first", "last")))
+            own: dict[str, list] = {}
+            for lang, *columns in rows:
+                own.setdefault(lang, []).append(columns)
+            for lang, tables in own.items():
+                yield ranges(lang, distinct([np.concatenate(c) for c in zip(*tables)]), bits, ["first", "last"])
 
-    found = relation.select("keys", "first", "last").mapInArrow(work, "key long, first long, last long")
-    return found.groupBy("key").agg(F.min("first").alias("first"), F.min("last").alias("last"))
+    sent = relation.select("lang", "keys", "first", "last").mapInArrow(work, "lang string, bucket long, keys binary, first binary, last binary")
+    return dealt(sent, distinct, ["first", "last"]).drop("lang")
+
+
+def with_parts(frequent: DataFrame, relation: DataFrame, table: DataFrame, words: int, bits: int) -> DataFrame:
+    """(lang, key, n, words, heads, tails, inside) of the ``frequent`` phrases of ``words`` words, from ``table`` of those one word shorter: the keys of their words, the counts of
+    their first and last words, one more each time, and the keys of the shorter phrases in them."""
+    own = frequent.join(parts(relation, bits), "key")
+    head = table.select("lang", F.col("key").alias("first"), "words", F.array_append("heads", F.col("n")).alias("heads"), F.col("inside").alias("of_first"))
+    tail = table.select(F.col("key").alias("last"), F.element_at("words", -1).alias("word"), F.array_append("tails", F.col("n")).alias("tails"), F.col("inside").alias("of_last"))
+    own = own.join(head, "first").join(tail, "last")
+    both = F.array_union(F.array_union(F.array("first", "last"), "of_first"), "of_last") if words > 2 else F.array().cast("array<long>")
+    return own.select("lang", "key", "n", F.array_append("words", F.col("word")).alias("words"), "heads", "tails", both.alias("inside"))
 
 
 def exact(count: str) -> Column:
@@ -195,36 +330,49 @@ def mine_phrases(docs: DataFrame, top: int = 2000, least: int = 30, longest: int
     small_batches(spark)
     folder = shared_folder(spark, "phrases")
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
+    def stored(made: Callable[[], DataFrame], name: str) -> DataFrame:
+        df = made()
+        schema = df.schema
         df.write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    relation = stored(word_relation(docs), "words")
-    counts = stored(word_counts(relation), "counts-1")
-    table = counts.where(F.col("n") >= least)
-    marks = marks_of(table.select("key"))
-    table = table.select("lang", "key", "n", F.array("word").alias("words"), *[F.array().cast("array<long>").alias(c) for c in ("heads", "tails", "inside")])
+        # What was shuffled for it is deleted once neither Python nor the driver's JVM knows of the plan, which the second collection is told by Python's.
+        del df
+        gc.collect()
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    texts = relation = stored(lambda: word_relation(docs), "words")
+    totals = texts.groupBy("lang").agg(F.sum(F.octet_length("codes") / 4).cast("long").alias("n"))
+    tokens = totals.agg(F.sum("n")).first()[0] or 0
+    bits = max(8, (tokens // RANGE).bit_length())
+    table = stored(lambda: counted(texts, words_of_row, least, bits), "counts-1")
+    marks = spark.sparkContext.broadcast(marks_of(table.select("key")))
+    table = table.select("lang", "key", "n", F.array("key").alias("words"), *[F.array().cast("array<long>").alias(c) for c in ("heads", "tails", "inside")])
     tables = []
     for words in range(2, longest + 1):
-        frequent = stored(longer_counts(relation, marks).where(F.col("n") >= least), f"counts-{words}")
-        found = marks_of(frequent.select("key"))
-        relation, marks = stored(longer_relation(relation, marks, found), f"relation-{words}"), found
-        own = frequent.join(parts(relation), "key")
-        head = table.select("lang", F.col("key").alias("first"), "words", F.array_append("heads", F.col("n")).alias("heads"), F.col("inside").alias("of_first"))
-        tail = table.select(F.col("key").alias("last"), F.element_at("words", -1).alias("word"), F.array_append("tails", F.col("n")).alias("tails"), F.col("inside").alias("of_last"))
-        own = own.join(head, "first").join(tail, "last")
-        both = F.array_union(F.array_union(F.array("first", "last"), "of_first"), "of_last") if words > 2 else F.array().cast("array<long>")
-        table = stored(own.select("lang", "key", "n", F.array_append("words", F.col("word")).alias("words"), "heads", "tails", both.alias("inside")), f"phrases-{words}")
+        frequent = stored(partial(lambda rows, marks: counted(rows, longer_of_row(marks), least, bits).drop("lang"), relation, marks), f"counts-{words}")
+        found = spark.sparkContext.broadcast(marks_of(frequent.select("key")))
+        relation = stored(partial(longer_relation, relation, marks, found), f"relation-{words}")
+        marks.unpersist()  # it has served: results are in files
+        marks = found
+        table = stored(partial(with_parts, frequent, relation, table, words, bits), f"phrases-{words}")
         tables.append(scored(table, words))
     every = reduce(DataFrame.unionAll, tables)
     longer = every.select(F.explode("inside").alias("key"), F.col("n").alias("longer")).groupBy("key").agg(F.max("longer").alias("longer"))
     gone = F.coalesce(100 * exact("longer") >= covered * exact("n"), F.lit(False))
     kept = every.join(longer, "key", "left").where(~gone)
-    kept = kept.select("lang", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), "cut.l", "cut.r", "cut.score")
+    # Ties at the last rank stay until their words are known.
+    tied = F.rank().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("n")))
+    best = kept.withColumn("tied", tied).where(F.col("tied") <= top).select("lang", "key", "words", F.col("n").alias("a"), "cut.l", "cut.r", "cut.score")
+    kept = stored(lambda: best, "best")
+    each = kept.select("key", F.posexplode("words").alias("place", "word_key"))
+    needed = spark.sparkContext.broadcast(marks_of(each.select(F.col("word_key").alias("key")).distinct()))
+    known = word_texts(texts, needed).withColumnRenamed("key", "word_key")
+    spelled = each.join(known, "word_key").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("of"))
+    kept = kept.join(spelled.select("key", F.array_join("of.word", " ").alias("phrase")), "key")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", rank).where(F.col("rank") <= top)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    result = cut(best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
+    ranked = kept.withColumn("rank", rank).where(F.col("rank") <= top)
+    result = cut(ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
     drop_folder(spark, folder)
     return result
 
