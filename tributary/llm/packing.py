@@ -5,15 +5,19 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterable, Iterator, Mapping
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.text import IS_SPACE, LOWER, binary, coded, cut, memo, raw, slices, small_batches
-from tributary.llm.token_counts import CLOSING, LETTER, REMEMBERED, load
+from tributary.llm.grams import find
+from tributary.llm.text import IS_SPACE, LOWER, binary, coded, cut, memo, range_hashes, raw, slices, small_batches
+from tributary.llm.token_counts import CLOSING, LETTER, load
 
+#: Distinct pieces of text whose ids one Python worker remembers, and text that is encoded at once.
+REMEMBERED, ENCODED_BYTES = 1 << 20, 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, `offset` long"
 
@@ -30,10 +34,11 @@ class Encoder:
 
         held = memo(f"ids-{digest}")
         if "tokenizer" not in held:
-            held |= {"tokenizer": Tokenizer.from_str(definition), "known": {}, "pool": np.zeros(1 << 16, np.uint32), "used": 0, "cuts": cuts(json.loads(definition))}
+            held |= {"tokenizer": Tokenizer.from_str(definition), "pool": np.zeros(1 << 16, np.uint32), "used": 0, "cuts": cuts(json.loads(definition))}
+            held |= {"hashes": np.zeros(0, np.uint64), "places": np.zeros((0, 2), np.int64)}
             held["tokenizer"].no_truncation()
             held["tokenizer"].no_padding()
-        self.held, self.tokenizer, self.known = held, held["tokenizer"], held["known"]
+        self.held, self.tokenizer = held, held["tokenizer"]
 
     def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and each row's bounds."""
@@ -52,30 +57,35 @@ class Encoder:
         at, before = np.flatnonzero(begins), np.cumsum(keep)
         packed = data[keep]
         codes, values = coded(binary(np.append(before[at] - 1, len(packed)) if len(at) else np.zeros(1), packed))
-        places = self.places(values.to_pylist())
+        places = self.places(values)
         sizes = places[codes, 1] if len(codes) else np.zeros(0, np.int64)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         index = np.repeat(places[codes, 0] - ends[:-1], sizes) + np.arange(ends[-1]) if len(codes) else codes
         return self.pool[index], ends[np.searchsorted(at, offsets)]
 
-    def places(self, values: list[bytes]) -> np.ndarray:
-        """Start and size in the pool of each piece's ids. Past REMEMBERED pieces, new ones stay for one call only."""
-        found = [self.known.get(x) for x in values]
-        new = [i for i, x in enumerate(found) if x is None]
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast([values[i].decode() for i in new], add_special_tokens=False)]
-        flat = np.fromiter((x for ids in encoded for x in ids), np.uint32, sum(map(len, encoded)))
-        used = self.held["used"]
-        if used + len(flat) > len(self.held["pool"]):
-            self.held["pool"] = np.concatenate((self.held["pool"][:used], np.zeros(used + 2 * len(flat), np.uint32)))
+    def places(self, values: pa.Array) -> np.ndarray:
+        """Start and size in the pool of each distinct piece's ids. Pieces are known by their hashes, in a sorted array; past REMEMBERED, new ones stay for one call only."""
+        offsets, data = raw(values)
+        hashes = range_hashes(data, offsets[:-1], offsets[1:])
+        at, there = find(self.held["hashes"], hashes)
+        found = np.zeros((len(values), 2), np.int64)
+        found[there] = self.held["places"][at[there]]
+        new = np.flatnonzero(~there)
+        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(values.take(pa.array(new)).cast(pa.string()).to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        used, total = self.held["used"], int(sizes.sum())
+        if used + total > len(self.held["pool"]):
+            self.held["pool"] = np.concatenate((self.held["pool"][:used], np.zeros(used + 2 * total, np.uint32)))
         self.pool = self.held["pool"]
-        self.pool[used : used + len(flat)] = flat
-        for i, ids in zip(new, encoded):
-            found[i] = (used, len(ids))
-            used += len(ids)
-            if len(self.known) < REMEMBERED:
-                self.known[values[i]] = found[i]
-                self.held["used"] = used
-        return np.asarray(found, np.int64).reshape(-1, 2)
+        self.pool[used : used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        found[new] = np.column_stack((used + np.cumsum(sizes) - sizes, sizes))
+        kept = new[: max(0, REMEMBERED - len(self.held["hashes"]))]
+        if len(kept):
+            self.held["used"] = used + int(sizes[: len(kept)].sum())
+            every, places = np.concatenate((self.held["hashes"], hashes[kept])), np.concatenate((self.held["places"], found[kept]))
+            order = np.argsort(every, kind="stable")
+            self.held["hashes"], self.held["places"] = every[order], places[order]
+        return found
 
 
 def cuts(rules: dict) -> bool:
@@ -164,7 +174,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> D
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(definition, digest)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=ENCODED_BYTES):
                 ids, bounds = encoder.encode(part.column("text"))
                 ids = np.insert(ids, bounds[1:], end).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))
