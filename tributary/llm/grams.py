@@ -124,13 +124,17 @@ def trigram_counts(docs: DataFrame, vocabulary: np.ndarray, shared: np.ndarray |
     return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class HashArray:
+class HashArray(NamedTuple):
     """Values by key, as a sorted array of the keys' 64-bit hashes and an array of values beside it."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    hashes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> HashArray:
         hashes = mixed(keys)
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], np.asarray(values, np.float32)[order]
+        return cls(hashes[order], np.asarray(values, np.float32)[order])
 
     def get(self, keys: np.ndarray, otherwise: float) -> np.ndarray:
         if not len(self.hashes):
@@ -150,6 +154,14 @@ class Backoff(NamedTuple):
     weight_one: np.ndarray
     one: np.ndarray
 
+    def arrays(self) -> tuple:
+        """The model as plain arrays, which executors can read that don't have this package."""
+        return tuple(tuple(x) if isinstance(x, HashArray) else x for x in self)
+
+    @classmethod
+    def of(cls, arrays: tuple) -> Backoff:
+        return cls(*(HashArray(*x) if isinstance(x, tuple) else x for x in arrays))
+
     def log10(self, keys: np.ndarray) -> np.ndarray:
         p = self.two.get(keys & TWO, 0.0) + self.weight_one[(keys >> BITS) & ONE] * self.one[keys & ONE]
         return np.log10(self.three.get(keys, 0.0) + self.weight_two.get(keys >> BITS, 1.0) * p)
