@@ -40,3 +40,14 @@ def test_stages(spark, docs, tmp_path):
 def test_run_is_the_stages(spark):
     got = corpus_pipeline.run(spark, FOLDER)
     assert got.count() > 0 and "sequence_id" in got.columns
+
+
+def test_no_documents_and_clashing_columns(spark, docs):
+    some = docs.where("doc_id < 40 or doc_id >= 1000000 or doc_id is null").cache()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, some.limit(0), FOLDER).count() == 0
+        result = stage(spark, some, FOLDER)
+        assert result.count() > 0
+        if name != "best-fit packing":
+            assert result.columns == some.columns
+    some.unpersist()
