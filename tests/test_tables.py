@@ -1,5 +1,6 @@
 """Sources, sinks, typed columns, workspace, raw SQL, views and pages."""
 
+import datetime
 import math
 
 import pytest
@@ -212,3 +213,38 @@ def test_a_workspace_lasts(spark, tmp_path):
     assert again.sql("SELECT * FROM numbers").count() == 3
     assert len(list((tmp_path / "tables" / "numbers").iterdir())) == 2 and not (tmp_path / "tables" / "gone").exists()
     assert Workspace(spark, f"file://{tmp_path}/other").names() == []
+
+
+def test_declared_types_stay_with_a_table(spark, tmp_path):
+    root = f"file://{tmp_path}/typed"
+    first = Workspace(spark, root)
+    first.save("t", spark.createDataFrame([("1.5", "31/12/2024", "x"), ("no", "2024-12-31", None)], "n string, d string, s string"))
+    first.declare("t", {"n": "number", "d": {"type": "date", "format": "DD/MM/YYYY"}})
+    day = datetime.date(2024, 12, 31)
+    again = Workspace(spark, root)
+    assert sorted(map(tuple, again.typed("t").collect()), key=str) == [(1.5, day, "x"), (None, None, None)]
+    assert [tuple(r) for r in again.fields().collect()] == [("t", "n", "string", "number", None), ("t", "d", "string", "date", "DD/MM/YYYY"), ("t", "s", "string", None, None)]
+    for wrong in ({"zzz": "number"}, {"n": "colour"}):
+        with pytest.raises(ValueError):
+            again.declare("t", wrong)
+    with pytest.raises(ValueError):
+        again.declare("other", {"n": "number"})
+    # They belong to the name, whatever table it has; a field that is gone is left out; a new declaration replaces all.
+    again.save("t", spark.createDataFrame([("7",)], "n string"))
+    assert [tuple(r) for r in Workspace(spark, root).typed("t").collect()] == [(7.0,)]
+    again.declare("t", {})
+    assert Workspace(spark, root).typed("t").dtypes == [("n", "string")]
+    again.declare("t", {"n": "number"})
+    again.drop("t")
+    assert again.fields().count() == 0 and Workspace(spark, root).fields().count() == 0
+    plain = Workspace(spark)
+    plain.attach("t", spark.createDataFrame([("7",)], "n string"))
+    plain.declare("t", {"n": "number"})
+    assert plain.typed("t").dtypes == [("n", "double")]
+
+
+def test_sql_pages_with_totals(spark):
+    ws = Workspace(spark)
+    ws.attach("deals", spark.range(25).toDF("id"))
+    assert [tuple(r) for r in ws.sql_page("SELECT id FROM deals WHERE id > 2", 3, 10, ["id"], total="n").collect()] == [(23, 22), (24, 22)]
+    assert ws.sql_page("SELECT id FROM deals", 4, 10, ["id"], total="n").collect() == []

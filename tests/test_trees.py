@@ -237,3 +237,26 @@ def test_an_output_table_is_written_once(spark, tmp_path):
     assert writes == ["totals"] * 2
     save("totals", spark.createDataFrame([(0, 0)], "k long, total long"))
     assert [tuple(r) for r in shown.result("g").collect()] == [(7, 7)]
+
+
+def test_step_counts_of_a_filter_path_take_one_scan(spark, tables):
+    """Counts of nodes that only filter or derive come from one job; what the optimiser leaves out is counted all the same."""
+    scanned = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            scanned.add(batch.num_rows)
+            yield batch
+
+    people = spark.createDataFrame(PEOPLE, "id long, name string, team long, pay double").repartition(1).mapInArrow(seen, "id long, name string, team long, pay double")
+    tables.attach("people", people)
+    never = node("never", cmd("f3", "filter", field="id", operator="always_false", value=""))
+    paid = node("paid", cmd("f2", "filter", field="twice", operator=">", value=35), children=[never])
+    twice = node("twice", cmd("t", "transform", mappings=[{"outputField": "twice", "expression": "2 * pay", "mode": "simple", "id": "m"}]), children=[paid])
+    grouped = node("teams", cmd("g", "group", groupByFields=["team"], aggregations=[{"func": "count", "field": "*", "alias": "n"}]))
+    more = node("more", cmd("f4", "filter", field="n", operator=">", value=1))
+    p = plan(tables, node("base", cmd("f0", "filter", dataSource="people", field="id", operator="<", value=4), children=[twice, {**grouped, "children": [more]}]))
+    assert [tuple(r) for r in p.step_counts("paid").orderBy("step").collect()] == [(1, "root", 4), (2, "base", 3), (3, "twice", 3), (4, "paid", 3)]
+    assert scanned.value == len(PEOPLE)
+    assert [r.row_count for r in p.step_counts("never").orderBy("step").collect()] == [4, 3, 3, 3, 0]
+    assert [tuple(r) for r in p.step_counts("more").orderBy("step").collect()] == [(1, "root", 4), (2, "base", 3), (3, "teams", 2), (4, "more", 1)]

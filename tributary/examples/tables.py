@@ -35,6 +35,33 @@ def raw_sql_parameters(spark, folder):
     return tables.sql_page(text, 2, 20, ["o_custkey"], {"least": 350000, "status": "F"})
 
 
+@query(
+    "sql_page_with_total",
+    """
+    SELECT l_orderkey, l_linenumber, l_quantity, (SELECT count(*) FROM lineitem WHERE l_quantity > 30) AS total_rows
+    FROM lineitem WHERE l_quantity > 30 ORDER BY l_orderkey, l_linenumber LIMIT 50 OFFSET 100
+    """,
+)
+def sql_page_with_total(spark, folder):
+    tables = Workspace(spark)
+    tables.attach("lineitem", table(spark, folder, "lineitem"))
+    text = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > :least"
+    return tables.sql_page(text, 3, 50, ["l_orderkey", "l_linenumber"], {"least": 30}, total="total_rows")
+
+
+@query("declared_types", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS ordered, o_totalprice AS price, o_totalprice > 150000 AS dear FROM orders")
+def declared_types(spark, folder):
+    """Field types declared for a table of texts, read by a workspace that is opened on the same root later."""
+    root = shared_folder(spark, "declared")
+    texts = table(spark, folder, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("ordered"), F.col("o_totalprice").cast("string").alias("price"), (F.col("o_totalprice") > 150000).cast("string").alias("dear")
+    )
+    first = Workspace(spark, root)
+    first.save("orders", texts)
+    first.declare("orders", {"ordered": {"type": "date", "format": "DD/MM/YYYY"}, "price": "number", "dear": "boolean"})
+    return Workspace(spark, root).typed("orders")
+
+
 @query(
     "read_csv_roundtrip",
     """

@@ -7,12 +7,13 @@ columns stay DataFrames. A command that cannot be built fails with the step's na
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tributary.operators.exists import exists
@@ -26,6 +27,8 @@ from tributary.plans.tree import Command, Node, Sources
 from tributary.sources.workspace import Workspace
 
 STREAM = "stream"
+#: Commands that take rows one by one, or none.
+ROWWISE = {"filter", "transform", "define_variable", "multi_table"}
 
 
 class StepError(ValueError):
@@ -44,6 +47,13 @@ class State:
     variables: dict[str, Any] = field(default_factory=dict)
 
 
+def _seen(observation: Observation) -> int | None:
+    try:
+        return observation.get["rows"]
+    except Py4JJavaError:  # a metric that was not in the plan has no row
+        return None
+
+
 @dataclass
 class Plan:
     """A tree over the tables of a workspace.
@@ -116,21 +126,58 @@ class Plan:
         return exists(self.workspace.table(table), state.df, sub.get("on"), tree, names, mains)
 
     def step_counts(self, node_id: str) -> DataFrame:
-        """``(step, node_id, row_count)`` after each enabled node on the path that has a table, from one
-        job. Each count is a plan of its own, so it reads only the columns that decide it."""
-        state, counts = State(), []
+        """``(step, node_id, row_count)`` after each enabled node on the path that has a table.
+
+        Nodes that follow each other and only take rows one by one share one scan: each count is observed as the rows pass. Such a run is
+        read at once, here; a join, a group or a captured column starts another one. A node alone in its run is counted by a plan of its own, when the result is used.
+        """
+        state, runs = State(), []
         for node in self._path(node_id):
             if not node.enabled:
                 continue
+            before = replace(state, variables=dict(state.variables))
             self._node(state, node, None, ())
-            if state.df is not None:
-                count = state.df.agg(F.count(F.lit(1)).alias("row_count"))
-                step = F.lit(len(counts) + 1).alias("step")
-                counts.append(count.select(step, F.lit(node.id).alias("node_id"), "row_count"))
+            if state.df is None:
+                continue
+            here = replace(state, variables=dict(state.variables))
+            if runs and self._rowwise(node, before):
+                runs[-1].append((node, here))
+            else:
+                runs.append([(node, here)])
+        counts = []
+        for run in runs:
+            seen = self._observed(run) if len(run) > 1 else [None]
+            for (node, at), count in zip(run, seen):
+                counted = at.df.agg(F.count(F.lit(1)).alias("row_count")) if count is None else self.workspace.spark.range(1).select(F.lit(count).cast("long").alias("row_count"))
+                counts.append(counted.select(F.lit(len(counts) + 1).alias("step"), F.lit(node.id).alias("node_id"), "row_count"))
         if not counts:
             return self.workspace.spark.createDataFrame([], "step int, node_id string, row_count long")
         return reduce(DataFrame.unionAll, counts)
 
+    def _rowwise(self, node: Node, before: State) -> bool:
+        """Whether a node continues with the table before it, row by row. A condition on a captured column is a join."""
+        if before.df is None or any(isinstance(v, DataFrame) for v in before.variables.values()):
+            return False
+        for command in node.commands:
+            wanted = command.config.get("dataSource")
+            again = wanted and wanted != STREAM and not (before.reusable and before.source == self.sources.resolve(wanted))
+            if command.type not in ROWWISE or again:
+                return False
+        return True
+
+    def _observed(self, run: Sequence[tuple[Node, State]]) -> list[int | None]:
+        """Row counts after each node of a run, from one job whose only stage that counts is its last, so that a retried task counts once.
+        None for a count that the optimiser took out of the plan, as it does below a condition that never holds."""
+        count = F.count(F.lit(1)).alias("rows")
+        seen = [Observation() for _ in run]
+        state = replace(run[0][1], variables=dict(run[0][1].variables))
+        for (node, _), observation in zip(run, seen):
+            if node is not run[0][0]:
+                self._node(state, node, None, ())
+            state.df = state.df.observe(observation, count)
+        state.df.select(F.lit(1).alias("row")).write.format("noop").mode("overwrite").save()
+        return [_seen(observation) for observation in seen]
+
     def branches(self, parent_id: str, persist: bool = False) -> list[tuple[str, DataFrame]]:
         """Results of a node's enabled children. They share the parent's result; ``persist`` keeps it on
         the executors, which pays when the shared steps are costly and the result is small; ``release`` lets it go."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Mapping
@@ -11,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.casts import cast_fields
 from tributary.functions.names import quote, table_name
 from tributary.operators.view import Sort, page, preview
 from tributary.sources.folders import shared_folder
@@ -18,6 +20,9 @@ from tributary.sources.readers import read_table
 
 #: What a root knows: the folder each name stands for, null once it is dropped; the last row of a name counts.
 MANIFEST_SCHEMA = "name string, path string, version long"
+#: The field types declared for each name, as JSON; the last row of a name counts.
+TYPES_SCHEMA = "name string, types string, version long"
+FIELDS_SCHEMA = "table_name string, field string, stored string, declared string, format string"
 LOG_SCHEMA = "loaded_at timestamp, file_name string, dataset_name string, table_name string, rows long"
 
 
@@ -33,6 +38,7 @@ class Workspace:
         self._root = root.rstrip("/") if root else None
         self._lasting = root is not None
         self._tables: dict[str, DataFrame] = {}
+        self._types: dict[str, dict[str, dict[str, str]]] = self._declared()
         for row in self._versions():
             if row["path"]:
                 self.attach(row["name"], spark.read.parquet(row["path"]))
@@ -72,6 +78,45 @@ class Workspace:
             row = self.spark.createDataFrame([(name, path, time.time_ns())], MANIFEST_SCHEMA)
             row.coalesce(1).write.mode("append").parquet(self._manifest)
 
+    def _declared(self) -> dict[str, dict[str, dict[str, str]]]:
+        if not self._lasting:
+            return {}
+        system, found = self._files(f"{self.root}/_types")
+        if not system.exists(found):
+            return {}
+        rows = self.spark.read.schema(TYPES_SCHEMA).parquet(f"{self.root}/_types")
+        return {r["name"]: json.loads(r["types"]) for r in rows.groupBy("name").agg(F.max_by("types", "version").alias("types")).collect()}
+
+    def declare(self, name: str, field_types: Mapping[str, Mapping[str, str] | str]) -> None:
+        """Keep what fields of a table mean: ``{field: type}`` or ``{field: {"type":..., "format":...}}``, in place of what was declared before.
+
+        The stored table stays as it is; ``typed`` reads it so. Declarations belong to the name: they hold for whatever table it is given later, and below a
+        lasting root for workspaces opened there later. Dropping the table drops them.
+        """
+        name = table_name(name)
+        cast_fields(self.table(name), field_types)  # refuses unknown fields and types
+        self._types[name] = {f: {"type": t} if isinstance(t, str) else dict(t) for f, t in field_types.items()}
+        self._note_types(name)
+
+    def _note_types(self, name: str) -> None:
+        if self._lasting:
+            row = self.spark.createDataFrame([(name, json.dumps(self._types.get(name, {})), time.time_ns())], TYPES_SCHEMA)
+            row.coalesce(1).write.mode("append").parquet(f"{self.root}/_types")
+
+    def typed(self, name: str) -> DataFrame:
+        """A table with its fields as declared, one projection; a cell that cannot be read so is null. Declared fields that the table no longer has are left out."""
+        df, types = self.table(name), self._types.get(name, {})
+        return cast_fields(df, {f: t for f, t in types.items() if f in df.columns})
+
+    def fields(self) -> DataFrame:
+        """``(table_name, field, stored, declared, format)`` for each field of each table; without a declaration the last two are null."""
+        found = []
+        for name, df in self._tables.items():
+            for f in df.schema:
+                own = self._types.get(name, {}).get(f.name, {})
+                found.append((name, f.name, f.dataType.simpleString(), own.get("type"), own.get("format")))
+        return self.spark.createDataFrame(found, FIELDS_SCHEMA)
+
     def attach(self, name: str, df: DataFrame) -> str:
         """Make a DataFrame known under a name without writing it."""
         name = table_name(name)
@@ -139,6 +184,8 @@ class Workspace:
         if known and self._root is not None:
             self._note(name, None)
             self._delete(f"{self.root}/{name}")
+        if self._types.pop(name, None) is not None:
+            self._note_types(name)
         return known
 
     def inventory(self) -> DataFrame:
@@ -158,6 +205,7 @@ class Workspace:
         text = query.strip().rstrip(";")
         return self.spark.sql(f"SELECT * FROM (\n{text}\n)", args=dict(args) if args else None)
 
-    def sql_page(self, query: str, number: int, size: int, order_by: list[Sort], args=None) -> DataFrame:
-        """One page of a query's result; the plan ends in the page, the rest is not fetched."""
-        return page(self.sql(query, args), number, size, order_by)
+    def sql_page(self, query: str, number: int, size: int, order_by: list[Sort], args=None, total: str | None = None) -> DataFrame:
+        """One page of a query's result; the plan ends in the page, the rest is not fetched. ``total`` names a column for the
+        row count of the whole result, which is counted on its own."""
+        return page(self.sql(query, args), number, size, order_by, total)
