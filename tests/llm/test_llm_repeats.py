@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import in_order
 
@@ -51,3 +53,27 @@ def test_documents(docs, rows):
     want = in_order(by_hand(ordered))
     assert [r for r in got if r[0] is not None] == [r for r in want if r[0] is not None]
     assert len(got) == len(want) and repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_trigger_wait_until_it_is_hot(monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 5)
+    g = np.repeat(np.arange(6), [1, 5, 6, 40, 2, 1])
+    unit, n = np.arange(len(g)), np.where(np.arange(len(g)) == len(g) - 1, 2, 1)
+    want = [(int(u), int(x), bool(n[g == x].sum() > 5)) for u, x in zip(unit, g) if n[g == x].sum() > 1]
+    for size in (1, 3, 7, 100):
+        rows = pa.table({"g": g, "unit": unit, "n": n}).to_batches(max_chunksize=size)
+        got = [tuple(r.values()) for b in repeats.repeated(rows) for r in b.to_pylist()]
+        assert got == want
+
+
+def test_frequent_windows_do_not_wait(monkeypatch):
+    """Of one window in many groups all rows but the first are repeats, however they are cut into batches; settled rows all are."""
+    kind = np.repeat([repeats.WINDOWS, repeats.SETTLED], [12, 5]).astype(np.int32)
+    key = np.array([1] * 9 + [2] * 1 + [3] * 2 + [7, 7, 8, 9, 9])
+    place = np.arange(len(key))
+    columns = {"kind": kind, "k": key, **{x: place for x in ("first_id", "uid", "crc", "pos")}, "amount": np.ones(len(key), np.int64)}
+    rows = pa.table({**columns, "phrase": pa.array([b""] * len(key)), "unit": place})
+    want = [*range(1, 9), 11, *range(12, 17)]
+    for size in (1, 2, 5, 100):
+        got = [r["uid"] for b in repeats.repeats(rows.to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        assert sorted(got) == want

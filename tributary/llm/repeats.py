@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.grams import signed
+from tributary.llm.grams import drop_folder, signed
 from tributary.llm.text import BASE, BYTE_CODES, binary, cut, give_back, mixed, powers, range_hashes, raw, small_batches
+from tributary.sources.folders import shared_folder
 
 WINDOW, GRAM = 100, 32
 #: Text in a group, about; a group is worked on at once.
@@ -74,13 +75,17 @@ def triggers(texts: pa.Table) -> pa.Table:
 
 
 def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, g, hot) for triggers that occur twice or more in the corpus, from rows (g, unit, n) sorted by g."""
+    """(unit, g, hot) for triggers that occur twice or more in the corpus, from rows (g, unit, n) sorted by g. Rows of one trigger wait
+    until they are known to be hot, HOT of them at most."""
     held: list[tuple[np.ndarray, ...]] = []
+    hot = None  # the last trigger whose rows don't wait any more
 
     def told(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         g, unit, n = (np.concatenate(x) for x in zip(*rows))
         start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         total = np.repeat(np.add.reduceat(n, start), np.diff(np.append(start, len(g))))
+        if hot is not None:
+            total = np.where(g == hot, HOT + 1, total)
         twice = total > 1
         return pa.record_batch([pa.array(unit[twice]), pa.array(g[twice]), pa.array(total[twice] > HOT)], ["unit", "g", "hot"])
 
@@ -88,11 +93,15 @@ def repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         rows = tuple(c.to_numpy() for c in batch.columns)
-        split = int(np.searchsorted(rows[0], rows[0][-1]))  # the last trigger may go on
+        last = rows[0][-1]
+        split = int(np.searchsorted(rows[0], last))  # the last trigger may go on
         if split:
             yield told([*held, tuple(x[:split] for x in rows)])
             held = []
         held.append(tuple(x[split:] for x in rows))
+        if last == hot or sum(int(n[g == last].sum()) for g, _, n in held) > HOT:
+            yield told(held)
+            held, hot = [], last
     if held:
         yield told(held)
 
@@ -123,7 +132,8 @@ def phrases(texts: pa.Table, known: pa.Table) -> pa.Table:
         new = np.zeros(len(a), bool)
         new[np.unique(content, return_index=True)[1]] = True
         kinds.append(np.where(new, kind, SETTLED))
-        keys.append(np.where(new, content if kind == WINDOWS else key, content))
+        # What is settled meets nobody: its rows go anywhere.
+        keys.append(np.where(new, content if kind == WINDOWS else key, mixed(content ^ mixed(a))))
         begins.append(a)
         ends.append(b)
     kind, key, a, b = (np.concatenate(x) for x in (kinds, keys, begins, ends))
@@ -139,13 +149,16 @@ def phrases(texts: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, uid, crc, start, amount): runs of repeated windows, from rows ROW sorted by kind, k and corpus order."""
+    """(unit, uid, crc, start, amount): runs of repeated windows, from rows ROW sorted by kind, k and corpus order. The phrases of one trigger
+    wait for each other, HOT of them at most; other rows need the one before them only."""
+    before = (PHRASES, 0)
 
     def told(rows: pa.Table) -> pa.RecordBatch:
         kind, key = rows.column("kind").to_numpy(), rows.column("k").to_numpy()
         pos, amount = rows.column("pos").to_numpy(), rows.column("amount").to_numpy()
         whole = kind == SETTLED
         whole[1:] |= (kind[1:] == WINDOWS) & (kind[:-1] == WINDOWS) & (key[1:] == key[:-1])
+        whole[0] |= kind[0] == WINDOWS and before == (WINDOWS, key[0])
         source, start, number = [np.flatnonzero(whole)], [pos[whole]], [amount[whole]]
         some = np.flatnonzero(kind == PHRASES)
         if len(some):
@@ -176,12 +189,15 @@ def repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 4000):
             part = batch.slice(at, 4000)
             kind, key = part.column("kind").to_numpy(), part.column("k").to_numpy()
-            goes_on = (kind == kind[-1]) & (key == key[-1])
-            split = int(np.argmax(goes_on))
-            if split or (held and (held[-1].column("kind")[-1].as_py(), held[-1].column("k")[-1].as_py()) != (kind[0], key[0])):
+            goes_on = (kind == PHRASES) & (kind[-1] == PHRASES) & (key == key[-1])
+            split = int(np.argmax(goes_on)) if goes_on[-1] else len(kind)
+            if split or (held and held[-1].column("k")[-1].as_py() != key[0]):
                 yield told(pa.Table.from_batches([*held, part.slice(0, split)]))
                 held = []
-            held.append(part.slice(split))
+            if split:
+                before = (kind[split - 1], key[split - 1])
+            if split < len(kind):
+                held.append(part.slice(split))
     if held:
         yield told(pa.Table.from_batches(held))
 
@@ -213,7 +229,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte goes if a string of WINDOW bytes that covers it also starts earlier: in a row with a smaller id, null ids last, or earlier in the same text. Rows with one
     id are ordered by a hash of their texts. Of rows with one text the first stands for all; in the others everything goes, if they have
     WINDOW bytes. Strings are compared by 64-bit hashes beside their trigger's. Distinct texts are written once, as a table bucketed by groups in the
-    warehouse, which all executors must share; it is dropped at the end. A trigger or window, however frequent,
+    shared folder; it is dropped at the end. A trigger or window, however frequent,
     is one row for each group. Other columns are not read; an empty table gives none.
     """
     spark = docs.sparkSession
@@ -227,7 +243,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("unit", F.pmod("uid", F.lit(units)))
     texts = rows.groupBy("unit", "uid", "crc").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first_id"), F.first("text").alias("text"))
     name = f"tributary_texts_{uuid.uuid4().hex}"
-    texts.write.bucketBy(buckets, "unit").option("compression", "zstd").saveAsTable(name)
+    folder = shared_folder(spark, "texts")
+    texts.write.bucketBy(buckets, "unit").option("compression", "zstd").option("path", f"{folder}/{name}").saveAsTable(name)
     try:
         table = spark.table(name)
         occurring = table.groupBy("unit").applyInArrow(triggers, "g long, unit long, n long")
@@ -238,6 +255,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         firsts = cut(table.select("uid", "crc", "first_id"))
     finally:
         spark.sql(f"DROP TABLE {name}")
+        drop_folder(spark, folder)
     every = rows.groupBy("uid", "crc", "doc_id").agg(F.count("*").alias("copies"))
     every = every.join(left.join(firsts, ["uid", "crc"]), ["uid", "crc"]).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     copy = ((F.col("nth") > 1) | (F.coalesce("doc_id", F.lit(LAST)) != F.col("first_id"))) & (F.col("n_bytes") >= WINDOW)
