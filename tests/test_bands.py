@@ -155,3 +155,28 @@ def test_hot_key_is_linear(spark):
         if u < best:
             want.add((x, u))
     assert got == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_times_without_a_zone(spark, how):
+    """Times that New York skips or has twice, and some before 1970."""
+    days = [dt.datetime(1969, 12, 31, 23), dt.datetime(2024, 3, 10, 1, 30), dt.datetime(2024, 11, 3, 0, 45)]
+    times = [d + dt.timedelta(minutes=20 * i, microseconds=i) for d in days for i in range(9)] + [None]
+    left = [(i, t) for i, t in enumerate(times)]
+    right = [(i, t and t + dt.timedelta(microseconds=i % 3 - 1), t and t + dt.timedelta(hours=1)) for i, t in enumerate(times)]
+    l = spark.createDataFrame(left, "id long, x timestamp_ntz")
+    r = spark.createDataFrame(right, "rid long, lo timestamp_ntz, hi timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = join(l, r, "x >= lo AND x < hi", how)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(repr(tuple(x)) for x in got.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    pairs = [(a, b) for a in left for b in right if None not in (a[1], b[1]) and b[1] <= a[1] < b[2]]
+    want = [(*a, *b) for a, b in pairs]
+    want += [(*a, None, None, None) for a in left if how in ("left", "full") and a not in [p for p, _ in pairs]]
+    want += [(None, None, *b) for b in right if how in ("right", "full") and b not in [p for _, p in pairs]]
+    assert rows == sorted(map(repr, want))

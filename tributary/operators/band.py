@@ -73,6 +73,10 @@ def on_axis(value: Column, data_type: T.DataType) -> Column | None:
         return value.cast("double")
     if isinstance(data_type, T.TimestampType):
         return F.unix_micros(value).cast("double")
+    if isinstance(data_type, T.TimestampNTZType):
+        # Read off the clock: as an instant it would follow the session's time zone, whose hours may be skipped or come twice.
+        clock = F.hour(value) * 3600 + F.minute(value) * 60 + F.extract(F.lit("SECOND"), value)
+        return F.unix_date(value.cast("date")).cast("double") * 86400 + clock.cast("double")
     return F.unix_date(value).cast("double") if kind == "date" else None
 
 
