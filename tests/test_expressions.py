@@ -166,3 +166,17 @@ print("done")
 """
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert "done" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("exponent", [2, 3, 5, 6, 31, 62, 63, 64])
+def test_whole_powers_to_the_edge_of_a_long(spark, exponent):
+    """Exact up to the last number whose power is a long; what is beyond is told by its size and never multiplied."""
+    roots = [round((2**63) ** (1 / exponent)) + d for d in range(-3, 4)]
+    values = sorted({0, 1, 2, 2**62, 2**63 - 1, *roots})
+    values = [None, *values, *[-v for v in values], -(2**63)]
+    df = transform(spark.createDataFrame([(v,) for v in values], "n long"), [{"outputField": "p", "expression": f"n ** {exponent}"}])
+    want = [None if v is None or not -(2**63) <= v**exponent < 2**63 else v**exponent for v in values]
+    assert [r.p for r in df.collect()] == want
+    fitting = [v for v in range(3 + max(w for w in roots)) if v**exponent < 2**63] if exponent > 5 else None
+    if fitting:
+        assert f"<= {fitting[-1]})" in df._jdf.queryExecution().optimizedPlan().toString()

@@ -242,15 +242,33 @@ class _Reader:
 
 
 def _whole_power(a: Column, exponent: int) -> Column:
-    """Exact, null beyond a long."""
-    out, factor = F.lit(1).cast("long"), a.cast("long")
-    while exponent:
-        if exponent % 2:
+    """Exact, null beyond a long. Numbers whose power is beyond are told by their size: an overflow in each row would cost an exception in each."""
+    base = a.cast("long")
+    out, factor, left = F.lit(1).cast("long"), base, exponent
+    while left:
+        if left % 2:
             out = F.try_multiply(out, factor)
-        exponent //= 2
-        if exponent:
+        left //= 2
+        if left:
             factor = F.try_multiply(factor, factor)
-    return F.when(a.isNotNull(), out)
+    if exponent < 2:
+        return F.when(a.isNotNull(), out)
+    least, most = _roots(exponent)
+    return F.when(base.between(F.lit(least).cast("long"), F.lit(most).cast("long")), out)
+
+
+def _roots(exponent: int) -> tuple[int, int]:
+    """The least and the largest whole number whose power is a long."""
+    lowest, highest = V.INT64
+
+    def largest(limit: int) -> int:
+        low, high = 1, 1 << 32
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if middle**exponent <= limit else (low, middle)
+        return low
+
+    return -largest(highest if exponent % 2 == 0 else -lowest), largest(highest)
 
 
 def _modulo(a: Column, b: Column) -> Column:
