@@ -180,3 +180,17 @@ def test_times_without_a_zone(spark, how):
     want += [(*a, None, None, None) for a in left if how in ("left", "full") and a not in [p for p, _ in pairs]]
     want += [(None, None, *b) for b in right if how in ("right", "full") and b not in [p for _, p in pairs]]
     assert rows == sorted(map(repr, want))
+
+
+def test_copied_side_is_never_broadcast(spark):
+    """Spark's estimate of a side that is copied to its cells knows nothing of the copies: 40 rows, each over 500 cells."""
+    points = spark.range(1500).select((F.col("id") % 500).cast("double").alias("x"))
+    spans = spark.range(40).select((F.col("id") - 20).cast("double").alias("lo"), (F.col("id") + 490).cast("double").alias("hi"))
+    for how in ("inner", "left", "right", "full"):
+        got = join(points, spans, "x >= lo AND x <= hi", how)
+        counted = got.agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("lo").alias("lo"))
+        pairs = [(x, i - 20) for x in range(500) for i in range(40) if i - 20 <= x <= i + 490]
+        alone = [x for x in range(500) if not any(i - 20 <= x <= i + 490 for i in range(40))] if how in ("left", "full") else []
+        assert tuple(counted.first()) == (3 * len(pairs) + 3 * len(alone), 3 * (sum(x for x, _ in pairs) + sum(alone)), 3 * sum(lo for _, lo in pairs))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin Inner" not in plan

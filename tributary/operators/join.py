@@ -282,6 +282,8 @@ def _right_only(left: DataFrame, right: DataFrame, terms, shared: Sequence[str],
 
 #: A side of so many bytes is compared with every row of the other sooner than an axis is made.
 TINY = 32 << 10
+#: A side of so many bytes for each core is read by many tasks, whatever else is done to it.
+SPREAD_BYTES = 64 << 20
 
 
 def _tiny(left: DataFrame, right: DataFrame) -> bool:
@@ -292,13 +294,25 @@ def _tiny(left: DataFrame, right: DataFrame) -> bool:
 def _banded(
     left: DataFrame, wide: DataFrame, right: DataFrame, terms, rest: Column | None, found: band.Band, how: str, suffix: str
 ) -> DataFrame:
-    """A join by ranges. The side that stands in one cell may be padded by the join itself; of the other, the rows without a partner are added."""
+    """A join by ranges. The side that stands in one cell may be padded by the join itself; of the other, the rows without a partner are added.
+
+    Spark's estimate for the copied side knows nothing of its copies, nor of the pairs they lead to. So that side is never broadcast, and the other only beside
+    one that is read by many tasks; else both are merged by cells, where a cell's points are compared in a row.
+    """
     points, of_points = (LEFT, "left") if found.of_left else (RIGHT, "right")
     cells = F.col(f"{LEFT}.{band.CELL}") == F.col(f"{RIGHT}.{band.CELL}")
     test = cells & _all(left, right, terms, rest, False)
     lcells, rcells = band.in_cells(wide, right, found)
-    kept = of_points if how in (of_points, "full") else "inner"
-    out = lcells.alias(LEFT).join(rcells.alias(RIGHT), test, kept).select(*_output(left, right, [], how, suffix))
+    many = SPREAD_BYTES * left.sparkSession.sparkContext.defaultParallelism
+    hint = "broadcast" if fits_broadcast(left if found.of_left else right) and known_large(right if found.of_left else left, many) else "merge"
+    lcells, rcells = (lcells.hint(hint), rcells) if found.of_left else (lcells, rcells.hint(hint))
+    if how in (of_points, "full"):
+        out = lcells.alias(LEFT).join(rcells.alias(RIGHT), test, of_points)
+    elif found.of_left:
+        out = rcells.alias(RIGHT).join(lcells.alias(LEFT), test)  # a merge holds a cell's rows of the second side
+    else:
+        out = lcells.alias(LEFT).join(rcells.alias(RIGHT), test)
+    out = out.select(*_output(left, right, [], how, suffix))
     if how not in ("inner", of_points):
         # A row of the other side may stand in several cells: it is alone if none of its values has a partner in any.
         side, data, cut, others = (RIGHT, right, rcells, lcells) if found.of_left else (LEFT, wide, lcells, rcells)
