@@ -194,3 +194,13 @@ def test_copied_side_is_never_broadcast(spark):
         assert tuple(counted.first()) == (3 * len(pairs) + 3 * len(alone), 3 * (sum(x for x, _ in pairs) + sum(alone)), 3 * sum(lo for _, lo in pairs))
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "Generate" in plan and "SortMergeJoin" in plan and "BroadcastHashJoin Inner" not in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("on", ["x >= lo AND x < hi", "lo > x AND lo <= u"])
+def test_points_broadcast_beside_a_large_side(spark, how, on, monkeypatch):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: True)
+    monkeypatch.setattr(joins, "known_large", lambda df, least: True)
+    left, right, l, r = sides(spark, 6)
+    between = (lambda a, b: holds(a[1], ">=", b[1]) and holds(a[1], "<", b[2])) if on.startswith("x") else (lambda a, b: holds(b[1], ">", a[1]) and holds(b[1], "<=", a[2]))
+    assert sorted(repr(tuple(x)) for x in join(l, r, on, how).collect()) == paired(left, right, how, between)

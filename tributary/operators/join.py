@@ -303,8 +303,9 @@ def _banded(
     cells = F.col(f"{LEFT}.{band.CELL}") == F.col(f"{RIGHT}.{band.CELL}")
     test = cells & _all(left, right, terms, rest, False)
     lcells, rcells = band.in_cells(wide, right, found)
-    many = SPREAD_BYTES * left.sparkSession.sparkContext.defaultParallelism
-    hint = "broadcast" if fits_broadcast(left if found.of_left else right) and known_large(right if found.of_left else left, many) else "merge"
+    own, copied = (left, right) if found.of_left else (right, left)
+    aside = fits_broadcast(own) and known_large(copied, SPREAD_BYTES * left.sparkSession.sparkContext.defaultParallelism)
+    hint = "broadcast" if aside else "merge"
     lcells, rcells = (lcells.hint(hint), rcells) if found.of_left else (lcells, rcells.hint(hint))
     if how in (of_points, "full"):
         out = lcells.alias(LEFT).join(rcells.alias(RIGHT), test, of_points)
