@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.grams import find
-from tributary.llm.text import IS_SPACE, LOWER, binary, coded, cut, memo, range_hashes, raw, slices, small_batches
+from tributary.llm.text import IS_SPACE, LOWER, binary, coded, cut, leaving_nothing, memo, range_hashes, raw, slices, small_batches
 from tributary.llm.token_counts import CLOSING, LETTER, load
 
-#: Distinct pieces of text whose ids one Python worker remembers, and text that is encoded at once.
-REMEMBERED, ENCODED_BYTES = 1 << 20, 4 << 20
+#: Distinct pieces of text whose ids one Python worker remembers, text that is encoded at once, and pieces the library is given at once, whose
+#: results take some hundred times the memory of their ids.
+REMEMBERED, ENCODED_BYTES, GIVEN = 1 << 20, 1 << 20, 1 << 12
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, `offset` long"
 
@@ -71,13 +72,17 @@ class Encoder:
         found = np.zeros((len(values), 2), np.int64)
         found[there] = self.held["places"][at[there]]
         new = np.flatnonzero(~there)
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(values.take(pa.array(new)).cast(pa.string()).to_pylist(), add_special_tokens=False)]
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        sizes, ids = np.zeros(len(new), np.int64), [np.zeros(0, np.uint32)]
+        for a in range(0, len(new), GIVEN):
+            some = values.take(pa.array(new[a : a + GIVEN])).cast(pa.string()).to_pylist()
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes[a : a + GIVEN] = [*map(len, encoded)]
+            ids.append(np.fromiter(chain.from_iterable(encoded), np.uint32))
         used, total = self.held["used"], int(sizes.sum())
         if used + total > len(self.held["pool"]):
             self.held["pool"] = np.concatenate((self.held["pool"][:used], np.zeros(used + 2 * total, np.uint32)))
         self.pool = self.held["pool"]
-        self.pool[used : used + total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total)
+        self.pool[used : used + total] = np.concatenate(ids)
         found[new] = np.column_stack((used + np.cumsum(sizes) - sizes, sizes))
         kept = new[: max(0, REMEMBERED - len(self.held["hashes"]))]
         if len(kept):
@@ -188,7 +193,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int) -> D
                 columns = [part.column("doc_id").cast(pa.int64()).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 yield pa.record_batch(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(leaving_nothing(encode), PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1) -> DataFrame:

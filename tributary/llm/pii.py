@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tributary.llm import crf
 from tributary.llm.crf import KINDS, MARKS, PLAIN, SPOKEN
-from tributary.llm.text import IS_SPACE, LOWER, memo, range_hashes, raw, slices, small_batches, word_starts
+from tributary.llm.text import IS_SPACE, LOWER, leaving_nothing, memo, range_hashes, raw, slices, small_batches, word_starts
 
 Span = tuple[int, int]
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -188,7 +188,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 digest = pa.array([hashlib.sha256(listed(b).encode()).hexdigest() for b in base])
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), *columns, digest, pa.array([listed(b) for b in both])], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(work, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(leaving_nothing(work), SCHEMA)
 
 
 def masked(docs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def masked(docs: DataFrame) -> DataFrame:
                 done += len(part)
                 yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    found = docs.mapInArrow(work, docs.schema)
+    found = docs.mapInArrow(leaving_nothing(work), docs.schema)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.components import components
-from tributary.llm.text import IS_SPACE, LOWER, cut, raw, slices, small_batches, word_starts
+from tributary.llm.text import IS_SPACE, LOWER, cut, leaving_nothing, raw, slices, small_batches, word_starts
 
 SEED, SHINGLE, HALF = 42, 3, 32
 LOW = (1 << HALF) - 1
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for part in slices(batch, limit=2 << 20):
                 yield pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(simhashes(part.column("text")).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(leaving_nothing(work), "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, large_bucket: int = LARGE_BUCKET) -> DataFrame:
