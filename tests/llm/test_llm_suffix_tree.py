@@ -2,9 +2,12 @@
 
 import collections
 import math
+import pathlib
+import shutil
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tributary.llm import suffix_tree
@@ -82,3 +85,35 @@ def test_real_but_rare_contexts_are_kept(spark):
     pair = [f"{t} quaint ferret" if i < 3 else t for i, t in enumerate(noise)]
     tree, _, _ = suffix_tree.fit(spark.createDataFrame([(t,) for t in pair], "text string"))
     assert (tree.states.weight_one < 0.3).sum() >= 1
+
+
+def test_scores_are_those_of_all_contexts_if_few_go_on(spark, monkeypatch):
+    """Long contexts among words that occur once go on without the other symbols."""
+    split = []
+    monkeypatch.setattr(suffix_tree, "rest_of", lambda *args, made=suffix_tree.rest_of: split.append(1) or made(*args))
+    noise = [(2000 + i, " ".join(f"n{i}-{j}" for j in range(4000))) for i in range(60)]
+    # Words that occur once where texts are learnt from, and once more elsewhere.
+    learnt, out = ([i for i in range(3000, 3200) if (zlib.crc32(str(i).encode()) % 7 == 2) == held][:20] for held in (False, True))
+    noise += [(i, f"a of the once{j} b of the two") for ids in (learnt, out) for j, i in enumerate(ids)]
+    texts = [*texts_with_long_contexts(), *noise]
+    want, lengths = by_hand(texts)
+    assert max(lengths) >= 3
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert split and got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_pairs_are_stored_packed(spark, monkeypatch):
+    """Files have few rows at any time, though nearly all of 200,000 pairs of words are distinct."""
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join(f"w{x}" for x in rng.integers(0, 20_000, 2000))) for i in range(100)]
+    rows = []
+
+    def drop(spark, folder):
+        folder = pathlib.Path(folder)
+        whole = next(p for p in (folder, *folder.parents) if p.name.startswith("suffix-tree-"))
+        rows.append(sum(pq.read_metadata(f).num_rows for f in whole.rglob("*.parquet") if f.is_file()))
+        shutil.rmtree(folder, ignore_errors=True)
+
+    monkeypatch.setattr(suffix_tree, "drop_folder", drop)
+    assert suffix_tree.score(spark.createDataFrame(texts, "doc_id long, text string")).count() == 100
+    assert max(rows) < 2000

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import math
-from collections.abc import Iterable, Iterator
-from functools import reduce
+import time
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,11 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm.grams import FIRST_WORD, drop_folder, find, frequent, signed, word_counts
-from tributary.llm.text import HashedWords, cut, hashed_words, mixed, raw, rows_of, slices, small_batches, sums
+from tributary.llm.text import HashedWords, cut, give_back, hashed_words, mixed, raw, slices, small_batches, sums
 from tributary.sources.folders import shared_folder
 
-#: Counts and probabilities of words, contexts and entries of this share are sent to every executor, 1 / LOOKUP_SHARE of each at most; rarer
-#: ones are joined. The results are the same with any share.
+#: ``weight_one`` has the words of this share, 1 / LOOKUP_SHARE at most. Scores are the same with any share.
 LOOKUP_SHARE = 1e-6
 #: A context may be a state if it occurs so often, whatever the size of the corpus.
 LEAST = 2
@@ -26,25 +26,34 @@ DISCOUNT = 0.75
 #: Stand for a text's end as a symbol, and for what is before it in a context.
 END, BEFORE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Marks are 2 ** MARK_BITS numbers of 64 bits.
-MARK_BITS = 21
-ROW = "id long, key long, doc struct<doc_id: long, held_out: boolean, tokens: long, known: long, base: double, score: double>"
+#: Text behind one row of the relation, and text for which there is a range of keys.
+RELATION_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
+#: Text for which deleting what was shuffled is worth a wait.
+WAITED = 64 << 20
+#: Flags of a context.
+STATE, GROWN = 1, 2
+#: A row has the symbols of one slice of the texts, as places in the list of its distinct ones, and all answers so far. ``start`` is for rows that have
+#: only what levels from some one on need. ``symbols``, ``tokens`` and ``texts`` count all symbols, those to learn from, and texts to learn from;
+#: ``told`` adds up to what the last answers tell about the corpus.
+RELATION = (
+    "slice long, docs array<long>, held array<boolean>, bounds binary, words binary, codes binary, got array<binary>, start array<binary>,"
+    " symbols long, tokens long, texts long, told double"
+)
+MESSAGE = "slice long, bucket long, columns array<binary>"
+#: Rows of the relation, and what they ask next, are written together, by kind.
+BOTH = f"{RELATION}, bucket long, columns array<binary>, kind int"
 
 
 class States(NamedTuple):
-    """What is sent to every executor of the states: the keys, sorted, and values of frequent ones and their entries, marks of all others, and
-    the longest context's length. ``weight_one``: what a frequent word, from FIRST_WORD on, as a context leaves for the root; 1 if it is no state."""
+    """``weight_one``: what a frequent word, from FIRST_WORD on, as a context leaves for the root; 1 if it is no state. ``depth``: the longest context's length."""
 
-    keys: np.ndarray
-    values: np.ndarray
-    marks: np.ndarray
     depth: int
     weight_one: np.ndarray
 
 
 class Tree(NamedTuple):
     """``values`` (key, v) has every state and entry. A word's log10 probability after a text is the root's, and the values of all states that the
-    text ends with and of their entries for the word: so a text's rows can be joined and summed in any order."""
+    text ends with and of their entries for the word."""
 
     states: States
     values: DataFrame
@@ -55,134 +64,468 @@ class Tree(NamedTuple):
     distinct: int
 
 
-def symbols(low: HashedWords) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words and each text's end, their places in the text, and the texts' bounds."""
-    current = np.insert(low.hashes, low.bounds[1:], END)
-    bounds = low.bounds + np.arange(len(low.bounds))
-    return current, np.arange(len(current)) - np.repeat(bounds[:-1], np.diff(bounds)), bounds
+def symbols(low: HashedWords) -> tuple[np.ndarray, np.ndarray]:
+    """The words and each text's end, and the texts' bounds."""
+    return np.insert(low.hashes, low.bounds[1:], END), low.bounds + np.arange(len(low.bounds))
 
 
-def longer(current: np.ndarray, places: np.ndarray, at: np.ndarray, context: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the symbols ``at``, those with a context of ``depth``, that context, and the next shorter one. What stands before a text is its first symbol."""
-    there = places[at] >= depth - 1
-    at, context = at[there], context[there]
-    before = np.where(places[at] >= depth, current[np.maximum(at - depth, 0)], BEFORE)
-    return at, mixed(context * STEP + before), context
+def longer(current: np.ndarray, places: np.ndarray, at: np.ndarray, context: np.ndarray, depth: int) -> np.ndarray:
+    """The contexts of ``depth`` of the symbols ``at``, which are at ``places`` in their texts. What stands before a text is its first symbol."""
+    before = current[np.maximum(at - depth, 0)]
+    before[places < depth] = BEFORE
+    return mixed(context * STEP + before)
 
 
-def marks_of(keys: DataFrame) -> np.ndarray:
-    """A bit set for each of ``keys`` (key), and by chance for others: more of them the more keys there are, but never a key without."""
-    bits = keys.select(F.shiftrightunsigned("key", 64 - MARK_BITS).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit"))
-    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
-    out = np.zeros(1 << MARK_BITS, np.uint64)
-    out[found.column("at").to_numpy()] = found.column("bit").to_numpy().view(np.uint64)
-    return out
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them, the lowest bytes first for compression, behind their type and number; others by their places among the
+    distinct ones, which are few."""
+    if x.dtype.kind == "f":
+        values, places = np.unique(x, return_inverse=True)
+        return b"<f8" + len(values).to_bytes(8, "little") + values.tobytes() + packed(places)
+    x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return x.dtype.str.encode() + len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def marked(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return (marks[(keys >> np.uint64(64 - MARK_BITS)).astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) != 0
+def unpacked(data: bytes) -> np.ndarray:
+    dtype, size = np.dtype(data[:3].decode()), int.from_bytes(data[3:11], "little")
+    if dtype.kind == "f":
+        return np.frombuffer(data, dtype, size, 11)[unpacked(data[11 + 8 * size :])]
+    planes = np.frombuffer(pa.decompress(memoryview(data)[11:], size * dtype.itemsize, "zstd"), np.uint8).reshape(dtype.itemsize, size)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(-1)
 
 
-def context_counts(train: DataFrame, depth: int, marks: np.ndarray | None) -> DataFrame:
-    """(context, parent, symbol, n): how often each symbol follows each context of ``depth`` whose next shorter one, the parent, is marked."""
-    shared = train.sparkSession.sparkContext.broadcast(marks)
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of ``keys``, where each distinct one begins in it, and each key's place among the distinct ones."""
+    order = np.argsort(keys)
+    new = np.diff(keys[order], prepend=np.uint64(0)) != 0
+    new[:1] = True
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), place
+
+
+def relation_of(texts: DataFrame, bits: int) -> DataFrame:
+    """The relation of ``texts`` (doc_id, text, held_out), and what it asks first."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
-                current, places, _ = symbols(hashed_words(*raw(part.column("text")), lower=True))
-                at, context = np.arange(len(current)), np.zeros(len(current), np.uint64)
-                for k in range(1, depth + 1):
-                    if k == depth and shared.value is not None:
-                        ours = marked(shared.value, context)
-                        at, context = at[ours], context[ours]
-                    at, context, parent = longer(current, places, at, context, k)
-                _, first, n = np.unique(context ^ current[at], return_index=True, return_counts=True)
-                columns = [pa.array(signed(x[first])) for x in (context, parent, current[at])]
-                yield pa.record_batch([*columns, pa.array(n.astype(np.int64))], ["context", "parent", "symbol", "n"])
-
-    counts = train.select("text").mapInArrow(work, "context long, parent long, symbol long, n long")
-    return counts.groupBy("context", "parent", "symbol").agg(F.sum("n").alias("n"))
-
-
-def tested(counts: DataFrame, shorter: DataFrame, tokens: int) -> DataFrame:
-    """(context, parent, total, symbols, state, expand) of contexts that are states or may have longer ones.
-
-    ``shorter`` (parent, symbol, p): probabilities after the next shorter contexts. A context is a state if it occurs LEAST times and the gain in
-    log likelihood over the shorter one is more than half the logarithm of the number of tokens for each of its symbols. A longer context's gain
-    can exceed that for a symbol only if n * log(total / n) does here, since neither n nor total - n is larger there; ``expand`` is a bound of that by
-    the largest n, so that no context is missed.
+            for part in slices(batch, limit=RELATION_BYTES):
+                current, bounds = symbols(hashed_words(*raw(part.column("text")), lower=True))
+                words, codes, n = np.unique(current, return_inverse=True, return_counts=True)
+                # Frequent words first.
+                order = np.argsort(-n, kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                held = part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                row = {
+                    "slice": number, "docs": part.column("doc_id").cast(pa.int64()).to_pylist(), "held": held.tolist(), "bounds": packed(bounds), "words": packed(words[order]),
+                    "codes": packed(place[codes]), "got": [], "start": [], "symbols": len(codes), "tokens": int(np.diff(bounds)[~held].sum()), "texts": int((~held).sum()), "told": 0.0,
+                }
+                number += 1
+                yield both(row, messages(Slice(row, 0, 0), bits))
+
+    return texts.select("doc_id", "text", "held_out").mapInArrow(work, BOTH)
+
+
+def rows_as(schema: str, rows: list[dict]) -> pa.RecordBatch:
+    types = {
+        "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(),
+        "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<binary>": pa.list_(pa.binary()),
+    }
+    fields = [field.split() for field in schema.split(",")]
+    return pa.record_batch([pa.array([row.get(name) for row in rows], types[kind]) for name, kind in fields], [name for name, _ in fields])
+
+
+def both(row: dict, asked: list[dict]) -> pa.RecordBatch:
+    return rows_as(BOTH, [{**row, "kind": 0}, *[{**x, "kind": 1} for x in asked]])
+
+
+def messages(own: Slice, bits: int) -> list[dict]:
+    """What a slice asks for: its distinct keys, sorted, by ranges of keys, and the merged columns beside them."""
+    keys, columns = own.asks()
+    if not len(keys):
+        return []
+    order, first, _ = grouped(keys)
+    keys, columns = keys[order][first], [getattr(np, f).reduceat(x[order], first) for f, x in zip(MERGED[own.wants], columns)]
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    return [{"slice": own.row["slice"], "bucket": int(bucket[a]), "columns": [packed(x[a:b]) for x in (keys, *columns)]} for a, b in zip(edges[:-1], edges[1:])]
+
+
+class Level(NamedTuple):
+    """The contexts of one length at the symbols ``at`` that can occur LEAST times. ``n``: how often the symbol follows its context; ``above``: how often
+    the next shorter one, which occurs ``over`` times. ``total``, ``distinct`` and ``flags`` are the context's, where it is a state or may have longer ones."""
+
+    at: np.ndarray
+    context: np.ndarray
+    above: np.ndarray
+    over: np.ndarray
+    asked: np.ndarray
+    n: np.ndarray | None = None
+    total: np.ndarray | None = None
+    distinct: np.ndarray | None = None
+    flags: np.ndarray | None = None
+
+
+class Slice:
+    """One row of the relation, brought by its answers as far as they reach. ``wants`` is what it asks next: how often its "words" occur, the "counts" or
+    the "sums" of its last level, or, after ``depth`` levels, which contexts are "states" because longer ones are."""
+
+    def __init__(self, row: dict, tokens: int, depth: int) -> None:
+        self.row, self.depth = row, depth
+        self.words, self.codes = unpacked(row["words"]).astype(np.uint64), unpacked(row["codes"]).astype(np.int64)
+        self.current = self.words[self.codes]
+        self.levels: list[Level] = []
+        self.wants, self.level = "words", 0
+        if row["start"]:
+            at, self.context, self.over, self.bound, self.places, held, level = (unpacked(x) for x in row["start"])
+            self.at, self.over, self.bound, self.places = (x.astype(np.int64) for x in (at, self.over, self.bound, self.places))
+            self.context, self.held, self.level = self.context.astype(np.uint64), held.astype(bool), int(level[0])
+            self.grow()
+        else:
+            self.bounds = unpacked(row["bounds"]).astype(np.int64)
+            lengths = np.diff(self.bounds)
+            self.held = np.repeat(np.asarray(row["held"], bool), lengths)
+            self.places = np.arange(len(self.codes)) - np.repeat(self.bounds[:-1], lengths)
+            self.at, self.context, self.over = np.arange(len(self.codes)), np.zeros(len(self.codes), np.uint64), np.full(len(self.codes), tokens)
+        got = [*row["got"]]
+        while got:
+            told = TOLD[self.wants]
+            self.tell([unpacked(x) for x in got[:told]])
+            got = got[told:]
+
+    def tell(self, columns: list[np.ndarray]) -> None:
+        """Takes the answers to what it wants."""
+        columns = [x.astype(np.int64) for x in columns]
+        if self.wants == "words":
+            self.count = columns[0][self.codes]
+            # No context can be followed by a symbol more often than a shorter one; and one occurs as often as its last word follows the words before it.
+            self.bound = self.count.copy()
+            self.grow()
+        elif self.wants == "counts":
+            level = self.levels[-1]
+            n = np.zeros(len(level.at), np.int64)
+            n[level.asked] = columns[0]
+            self.bound[level.at] = n
+            self.levels[-1] = level._replace(n=n)
+            self.wants = "sums"
+        elif self.wants == "sums":
+            if self.level == 1:
+                columns = [x[self.first_contexts()[1]] for x in columns]
+            level = self.levels[-1] = self.levels[-1]._replace(total=columns[0], distinct=columns[1] >> 2, flags=columns[1] & 3)
+            grown = level.flags & GROWN != 0
+            self.at, self.context, self.over = level.at[grown], level.context[grown], level.total[grown]
+            if self.level < self.depth:
+                self.grow()
+            else:
+                self.wants = "states"
+        else:
+            start = 0
+            for level, some in zip(self.levels, self.open()):
+                level.flags[some] |= columns[0][start : start + len(some)]
+                start += len(some)
+
+    def grow(self) -> None:
+        """Goes on to the contexts one longer."""
+        self.level, self.wants = self.level + 1, "counts"
+        places = self.places[self.at]
+        there = (places >= self.level - 1) & ((places == 0) | (self.bound[self.at - 1] >= LEAST))
+        at, over = self.at[there], self.over[there]
+        context = longer(self.current, places[there], at, self.context[there], self.level)
+        # What is not learnt from asks only for what can occur; all else is counted, since others may ask for what occurs once.
+        above = self.bound[at]
+        self.levels.append(Level(at, context, above, over, ~self.held[at] | (above > 0)))
+
+    def first_contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The contexts of one word, and which each symbol of the first level has."""
+        at = self.levels[0].at
+        every = mixed(np.append(self.words, BEFORE))
+        return every, np.where(self.places[at] == 0, len(self.words), self.codes[at - 1])
+
+    def open(self) -> list[np.ndarray]:
+        """Of each level's symbols those whose contexts are no states, but may have longer ones that are."""
+        return [np.flatnonzero(level.flags == GROWN) for level in self.levels]
+
+    def asks(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys to ask for, and a column for each of MERGED."""
+        if self.wants == "words":
+            return self.words, [np.bincount(self.codes[~self.held], minlength=len(self.words))]
+        if self.wants == "states":
+            deepest = np.zeros(len(self.codes), np.int64)
+            for k, level in enumerate(self.levels, 1):
+                deepest[level.at[level.flags & STATE != 0]] = k
+            found = [(level.context[o], deepest[level.at[o]] > k) for k, (level, o) in enumerate(zip(self.levels, self.open()), 1)]
+            return np.concatenate([np.zeros(0, np.uint64), *[x for x, _ in found]]), [np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]]).astype(np.int64)]
+        level = self.levels[-1]
+        train = ~self.held[level.at]
+        if self.wants == "counts":
+            return (level.context ^ self.current[level.at])[level.asked], [train[level.asked].astype(np.int64)]
+        n = np.where(train, level.n, 1)
+        gain = np.where(train, np.log(n) - np.log(np.maximum(level.above, 1)), 0.0)
+        columns = [train.astype(np.int64), np.where(train, n, 0), np.where(train, 1 / n, 0.0), gain, np.where(train, level.over, 0)]
+        if self.level > 1:
+            return level.context, columns
+        every, which = self.first_contexts()
+        most, over = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
+        np.maximum.at(most, which, columns[1])
+        over[which[train]] = level.over[train]
+        total, distinct, gain = (np.bincount(which, x, len(every)) for x in (columns[0], columns[2], columns[3]))
+        return every, [total.astype(np.int64), most, distinct, gain, over]
+
+    def rest(self) -> dict:
+        """A row with only the symbols that the levels from this one on look at, whose answers go on from here."""
+        kept = np.zeros(len(self.codes) + 1, np.int64)
+        for start, change in ((np.maximum(self.at - self.depth, 0), 1), (self.at + 1, -1)):
+            np.add.at(kept, start, change)
+        kept = np.flatnonzero(np.cumsum(kept[:-1]))
+        used, codes = np.unique(self.codes[kept], return_inverse=True)
+        known = self.level - 1
+        start = [np.searchsorted(kept, self.at), self.context, self.over, self.bound[kept], self.places[kept], self.held[kept].astype(np.int64), np.array([known])]
+        row = {**self.row, "docs": [], "held": [], "bounds": packed(np.zeros(0, np.int64)), "words": packed(self.words[used]), "codes": packed(codes)}
+        return {**row, "got": [], "start": [packed(x) for x in start]}
+
+    def probabilities(self, size: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Each symbol's probability at the root, and with all states that its text so far ends with; and what the next shorter context gives, level by level."""
+        root = (self.count + 1) / size
+        p, shorter = root.copy(), []
+        for level in self.levels:
+            shorter.append(p[level.at])
+            state = np.flatnonzero(level.flags & STATE)
+            at, n, total = level.at[state], level.n[state], level.total[state]
+            p[at] = np.maximum(n - DISCOUNT, 0) / total + DISCOUNT * level.distinct[state] / total * p[at]
+        return root, p, shorter
+
+
+#: How columns of one key are merged, by what is wanted, and how many columns answers have.
+MERGED = {"words": ["add"], "counts": ["add"], "sums": ["add", "maximum", "add", "add", "maximum"], "states": ["maximum"]}
+TOLD = {"words": 1, "counts": 1, "sums": 2, "states": 1}
+
+
+def row_of(batch: pa.RecordBatch | pa.Table, i: int) -> dict:
+    return {name: batch.column(name)[i].as_py() for name in (field.split()[0] for field in RELATION.split(","))}
+
+
+def answers(wants: str, columns: list[np.ndarray], cost: float) -> list[np.ndarray]:
+    """What is told of each key: its count, whether it is a state by a longer one, or its total, distinct symbols and flags.
+
+    A context is a state if it occurs LEAST times and the gain in log likelihood over the shorter one is more than half the logarithm of the number
+    of tokens for each of its symbols. A longer context's gain can exceed that for a symbol only if n * log(total / n) does here, since neither n nor
+    total - n is larger there; GROWN is a bound of that by the largest n, so that no context is missed.
+    """
+    if wants != "sums":
+        return columns
+    total, most, distinct, gain, over = columns
+    found = total >= LEAST
+    distinct = np.round(distinct).astype(np.int64)
+    some = np.maximum(total, 1)
+    logs = gain + total * np.log(np.maximum(over, 1)) - total * np.log(some)
+    other = np.minimum(total - most, total / math.e)
+    bound = np.maximum(most * np.log(some / np.maximum(most, 1)), np.where(other > 0, other * np.log(some / np.where(other > 0, other, 1)), 0.0))
+    flags = np.where(found & (logs > distinct * cost), STATE, 0) + np.where(found & (bound > cost), GROWN, 0)
+    return [np.where(flags > 0, total, 0), np.where(flags > 0, distinct * 4 + flags, 0)]
+
+
+def answered(asked: DataFrame, wants: str, tokens: int) -> DataFrame:
+    """The answers to ``asked`` (slice, bucket, columns), in its form and order.
+
+    Who gets a range of keys adds up what the slices have, and answers each. Neither a frequent word nor a frequent context is more than one key of a slice.
     """
     cost = math.log(max(2, tokens)) / 2
-    n, total, most = F.col("n"), F.col("total"), F.col("most")
-    sums_of = counts.join(shorter, ["parent", "symbol"]).groupBy("context", "parent").agg(
-        F.sum("n").alias("total"), F.count("*").alias("symbols"), F.max("n").alias("most"), F.sum(n * F.log(n / F.col("p"))).alias("logs"),
-    ).where(total >= LEAST)
-    other = F.least(total - most, total / math.e)
-    bound = F.greatest(most * F.log(total / most), F.when(other > 0, other * F.log(total / other)).otherwise(0.0))
-    found = sums_of.select("context", "parent", "total", "symbols", (F.col("logs") - total * F.log(total) > F.col("symbols") * cost).alias("state"), (bound > cost).alias("expand"))
-    return found.where(F.col("state") | F.col("expand"))
+    merged = [getattr(np, f) for f in MERGED[wants]]
+
+    def answer(asking: pa.Table) -> pa.Table:
+        parts = [[unpacked(x) for x in columns] for columns in asking.column("columns").to_pylist()]
+        keys, *columns = (np.concatenate(x) for x in zip(*parts))
+        order, first, place = grouped(keys.astype(np.uint64))
+        columns = [f.reduceat((x if x.dtype.kind == "f" else x.astype(np.int64))[order], first) for f, x in zip(merged, columns)]
+        found = [x[place] for x in answers(wants, columns, cost)]
+        edges = np.cumsum([0, *[len(x[0]) for x in parts]])
+        out = [[packed(x[a:b]) for x in found] for a, b in zip(edges[:-1], edges[1:])]
+        return pa.table([asking.column("slice"), asking.column("bucket"), pa.array(out, pa.list_(pa.binary()))], ["slice", "bucket", "columns"])
+
+    partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.select("slice", "bucket", "columns").repartition(partitions, "bucket").groupBy("bucket").applyInArrow(answer, MESSAGE)
+
+
+def told(relation: DataFrame, replies: DataFrame, work: Callable[[Slice, list[np.ndarray]], pa.RecordBatch], schema: str, tokens: int, depth: int) -> DataFrame:
+    """What ``work`` makes of each slice and the answers to what it wants."""
+
+    def take(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Slice(row_of(left, 0), tokens, depth)
+        place = grouped(own.asks()[0])[2]
+        got = right.sort_by("bucket").column("columns").to_pylist()
+        out = work(own, [np.concatenate([unpacked(x[i]).astype(np.int64) for x in got])[place] if got else np.zeros(0, np.int64) for i in range(TOLD[own.wants])])
+        give_back()
+        return pa.Table.from_batches([out])
+
+    partitions = int(relation.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [df.repartition(partitions, "slice").groupBy("slice") for df in (relation, replies)]
+    return sides[0].cogroup(sides[1]).applyInArrow(take, schema)
+
+
+def advanced(relation: DataFrame, replies: DataFrame, tokens: int, depth: int, bits: int) -> DataFrame:
+    """``relation`` with answers, and what it asks next."""
+
+    def work(own: Slice, new: list[np.ndarray]) -> pa.RecordBatch:
+        row = own.row
+        row["got"] = [*row["got"], *[packed(x) for x in new]]
+        # The number of distinct words, to which each occurrence adds its part, or of symbols whose contexts may have longer ones.
+        if own.wants == "words":
+            row["told"] = float((own.asks()[1][0] / np.maximum(new[0], 1)).sum())
+            own.tell(new)
+        else:
+            grown = own.wants == "sums"
+            own.tell(new)
+            row["told"] = float(np.count_nonzero(own.levels[-1 - (own.wants == "counts")].flags & GROWN)) if grown else 0.0
+        return both(row, messages(own, bits) if own.wants != "states" else [])
+
+    return told(relation, replies, work, BOTH, tokens, depth)
+
+
+class Learnt(NamedTuple):
+    """A relation with all answers but the last, these, and the folder of both."""
+
+    relation: DataFrame
+    replies: DataFrame
+    folder: str
+    depth: int
+    texts: int
+    tokens: int
+    distinct: int
 
+    def read(self, work: Callable[[Slice], pa.RecordBatch], schema: str) -> DataFrame:
+        """What ``work`` makes of each slice, all of whose states are known."""
 
-def fit(train: DataFrame) -> tuple[Tree, DataFrame, str]:
-    """The tree learnt from all of ``train`` (text), the table (key, last, n) of its words' counts, and the folder that holds both.
+        def last(own: Slice, new: list[np.ndarray]) -> pa.RecordBatch:
+            own.tell(new)
+            return work(own)
+
+        return told(self.relation, self.replies, last, schema, self.tokens, self.depth)
+
+
+def learnt(texts: DataFrame) -> Learnt:
+    """What there is to know of ``texts`` (doc_id, text, held_out) for their scores, learnt from those not held out.
 
     Contexts are counted length by length, as long as some may be states, and up to half the natural logarithm of the number of tokens.
     """
-    spark = train.sparkSession
+    spark = texts.sparkSession
+    small_batches(spark)
     folder = shared_folder(spark, "suffix-tree")
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    words = stored(word_counts(train), "words")
-    texts = train.count()
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens, distinct = int(tokens + texts), int(distinct + (texts > 0))
-    often = max(1, LOOKUP_SHARE * tokens)
-    lookup, counts = frequent(words, often)
-
-    end = spark.range(1).select(F.lit(int(signed(np.array([END]))[0])).alias("symbol"), F.lit(texts).cast("long").alias("n"))
-    single = words.groupBy(F.col("key").alias("symbol")).agg(F.sum("n").alias("n")).unionAll(end.where("n > 0"))
-    root = single.select(F.lit(0).cast("long").alias("parent"), "symbol", "n")
-    shorter = root.select("parent", "symbol", (F.col("n") / max(1, tokens)).alias("p"))
-    levels, marks = [], None
-    for depth in range(1, max(2, int(math.log(max(1, tokens)) / 2)) + 1):
-        pairs = stored(context_counts(train, depth, marks), f"pairs-{depth}")
-        found = stored(tested(pairs, shorter, tokens), f"contexts-{depth}")
-        levels.append((pairs, found))
-        grown = found.where("expand")
-        if grown.isEmpty():
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    before, first = "slices", None
+
+    def stored(made: Callable[[], DataFrame], name: str) -> DataFrame:
+        df = made()
+        schema = df.schema
+        writer = df.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").option("compression", "zstd")
+        (writer.partitionBy("kind") if "kind" in df.columns else writer).parquet(f"{folder}/{name}")
+        # What was shuffled for it is deleted once neither Python nor the driver's JVM knows of the plan; Python tells the JVM once a second.
+        del df, writer, made
+        gc.collect()
+        if first is None and size >= WAITED:
+            time.sleep(1.5)
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    def parts(name: str) -> tuple[DataFrame, DataFrame]:
+        every = spark.read.schema(BOTH).parquet(f"{folder}/{name}")
+        return every.where("kind = 0").select(*[field.split()[0] for field in RELATION.split(",")]), every.where("kind = 1").select("slice", "bucket", "columns")
+
+    bits = max(3, (size // RANGE_BYTES).bit_length())
+    stored(lambda: relation_of(texts, bits), "slices")
+    relation, asking = parts("slices")
+    every, tokens, numbers = (int(x) for x in relation.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("symbols", "tokens", "texts")]).first())
+    depth = max(2, int(math.log(max(1, tokens)) / 2))
+
+    def step(wants: str, name: str) -> float:
+        nonlocal relation, asking, before
+        replies = stored(lambda: answered(asking, wants, tokens), f"{name}-replies")
+        drop_folder(spark, f"{folder}/{before}/kind=1")
+        stored(lambda: advanced(relation, replies, tokens, depth, bits), name)
+        if before:
+            drop_folder(spark, f"{folder}/{before}")
+        drop_folder(spark, f"{folder}/{name}-replies")
+        before = name
+        relation, asking = parts(name)
+        return relation.agg(F.coalesce(F.sum("told"), F.lit(0.0))).first()[0]
+
+    distinct = round(step("words", "words"))
+    for k in range(1, depth + 1):
+        step("counts", f"counts-{k}")
+        grown = step("sums", f"sums-{k}")
+        if not grown:
             break
-        marks = marks_of(grown.select(F.col("context").alias("key")))
-        shorter = pairs.join(grown.select("context", "total"), "context").select(F.col("context").alias("parent"), "symbol", (F.col("n") / F.col("total")).alias("p"))
-
-    # A state's shorter contexts are states as well.
-    chosen, states = None, []
-    for level, (_, found) in reversed([*enumerate(levels, 1)]):
-        own = found.where("state") if chosen is None else found.join(chosen, "context", "left").where(F.col("state") | F.col("under"))
-        own = stored(own.select("context", "parent", "total", (DISCOUNT * F.col("symbols") / F.col("total")).alias("left")), f"states-{level}")
-        chosen = own.select(F.col("parent").alias("context"), F.lit(True).alias("under")).distinct()
-        states.insert(0, own)
-    above, values = root.select("parent", "symbol", ((F.col("n") + 1) / (tokens + distinct + 1)).alias("q")), []
-    for level, ((pairs, _), own) in enumerate(zip(levels, states), 1):
-        both = pairs.join(own.drop("parent"), "context").join(above, ["parent", "symbol"])
-        p = (F.col("n") - DISCOUNT) / F.col("total") + F.col("left") * F.col("q")
-        entries = stored(both.select("context", "symbol", "n", p.alias("p"), (F.log10(p / F.col("q")) - F.log10("left")).alias("v")), f"entries-{level}")
-        above = entries.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("q"))
-        values += [own.select(F.col("context").alias("key"), F.col("total").alias("n"), F.log10("left").alias("v"))]
-        values += [entries.select(F.col("context").bitwiseXOR(F.col("symbol")).alias("key"), "n", "v")]
-    every = reduce(DataFrame.unionAll, values)
-    held = every.where(F.col("n") >= often * len(levels)).select("key", "v").toArrow()
+        if first is None and k < depth and 2 * grown * (depth + 1) <= every:
+            # Few symbols are left: they go on without the others.
+            first, before = relation, ""
+            relation = stored(lambda: rest_of(first, tokens, depth), "rest")
+    depth = k  # the levels that have answers
+    if first is not None:
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        more = relation.select("slice", F.col("got").alias("more")).repartition(partitions, "slice")
+        whole = first.repartition(partitions, "slice").join(more, "slice", "left").withColumn("got", F.concat("got", F.coalesce("more", F.array().cast("array<binary>"))))
+        relation = whole.select(*first.columns)
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield rows_as(MESSAGE, messages(Slice(row_of(batch, i), tokens, depth), bits))
+            give_back()
+
+    replies = stored(lambda: answered(relation.mapInArrow(ask, MESSAGE), "states", tokens), "states-replies")
+    return Learnt(relation, replies, folder, depth, numbers, tokens, int(distinct))
+
+
+def rest_of(relation: DataFrame, tokens: int, depth: int) -> DataFrame:
+    """The rows with only what longer contexts than those known need."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                yield rows_as(RELATION, [Slice(row_of(batch, i), tokens, depth).rest()])
+            give_back()
+
+    return relation.mapInArrow(work, RELATION)
+
+
+def fit(train: DataFrame) -> tuple[Tree, DataFrame, str]:
+    """The tree learnt from all of ``train`` (text), the table (key, last, n) of its words' counts, and the folder that holds what the tree is read from."""
+    spark = train.sparkSession
+    every = train.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out"))
+    known = learnt(every)
+    folder, tokens, distinct = known.folder, known.tokens, known.distinct
+    path = f"{folder}/word-counts"
+    word_counts(train).write.parquet(path)
+    words = spark.read.parquet(path)
+    lookup, counts = frequent(words, max(1, LOOKUP_SHARE * tokens))
+    size = tokens + distinct + 1
+
+    def work(own: Slice) -> pa.RecordBatch:
+        found = []
+        for k, (level, q) in enumerate(zip(own.levels, own.probabilities(size)[2]), 1):
+            s = np.flatnonzero(level.flags & STATE)
+            left = DISCOUNT * level.distinct[s] / level.total[s]
+            p = (level.n[s] - DISCOUNT) / level.total[s] + left * q[s]
+            keys = np.concatenate((level.context[s], level.context[s] ^ own.current[level.at[s]]))
+            v = np.concatenate((np.log10(left), np.log10(p / q[s]) - np.log10(left)))
+            keys, first = np.unique(keys, return_index=True)
+            found.append((signed(keys), v[first], np.where(first < len(s), k, 0)))
+        return pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], ["key", "v", "depth"])
+
+    values = known.read(work, "key long, v double, depth long").groupBy("key").agg(F.max("v").alias("v"), F.max("depth").alias("depth"))
+    own = values.where("depth = 1").select("key", "v")
+    often = spark.createDataFrame(pa.table([pa.array(signed(mixed(lookup)))], ["key"]))
+    held = own.join(often, "key").toArrow()
     keys = held.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    keys, own = keys[order], held.column("v").to_numpy()[order]
-    rest = every.where(F.col("n") < often * len(levels)).select("key", "v")
-    at, there = find(keys, mixed(lookup))
-    weights = np.where(there, 10 ** own[at], 1.0) if len(keys) else np.ones(len(lookup))
-    sent = States(keys, own, marks_of(rest), len(levels), np.concatenate((np.ones(FIRST_WORD), weights)))
-    return Tree(sent, rest, lookup, counts, texts, tokens, distinct), words, folder
+    at, there = find(keys[order], mixed(lookup))
+    weights = np.where(there, 10 ** held.column("v").to_numpy()[order][at], 1.0) if len(keys) else np.ones(len(lookup))
+    sent = States(known.depth, np.concatenate((np.ones(FIRST_WORD), weights)))
+    return Tree(sent, values.select("key", "v"), lookup, counts, known.texts, tokens, distinct), words, folder
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 7, part: int = 2):
@@ -195,73 +538,21 @@ def score(docs: DataFrame) -> DataFrame:
 
     Tokens are the lower-cased words and one end; null texts are empty. Learnt from the rows that are not held out. The root gives a token
     (count + 1) / (tokens + distinct tokens + 1), which base_score sums. score takes the longest suffix of the text so far that is a state; each state
-    has its discounted shares, and leaves the rest to the next shorter one. Words and contexts are known by 64-bit hashes; the executors hold what is
-    frequent, and the rest of a text's words, states and entries are joined to theirs. Rows that repeat an id or a text keep their rows; other columns
-    are not read; an empty table gives none.
+    has its discounted shares, and leaves the rest to the next shorter one. Words and contexts are known by 64-bit hashes; texts learn the counts and
+    states of theirs from the ranges of hashes that have them, so no executor holds the tree. Rows that repeat an id or a text keep their rows; other
+    columns are not read; an empty table gives none.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out())
-    tree, words, folder = fit(texts.where(~F.col("held_out")))
-    shared = spark.sparkContext.broadcast((*tree.states[:4], tree.lookup, tree.counts))
-    size = tree.tokens + tree.distinct + 1
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, values, marks, depth, lookup, counts = shared.value
-        # Numbers that a retried task gives again, as its rows are the same.
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for part in slices(batch):
-                low = hashed_words(*raw(part.column("text")), lower=True)
-                current, places, bounds = symbols(low)
-                row, gain, missing = rows_of(bounds), np.zeros(len(part)), []
-
-                def look(at: np.ndarray, keys: np.ndarray) -> np.ndarray:
-                    # Adds what is held and notes what may have to be joined; whether it is either.
-                    place, there = find(held, keys)
-                    if len(held):
-                        gain[:] += np.bincount(row[at[there]], values[place[there]], len(part))
-                    maybe = ~there & marked(marks, keys)
-                    missing.append((row[at[maybe]], keys[maybe]))
-                    return there | maybe
-
-                at, context = np.arange(len(current)), np.zeros(len(current), np.uint64)
-                for k in range(1, depth + 1):
-                    at, context, _ = longer(current, places, at, context, k)
-                    ours = look(at, context)
-                    at, context = at[ours], context[ours]
-                    look(at, context ^ current[at])
-                place, there = find(lookup, low.hashes)
-                base = np.where(there, np.log10((counts[place] if len(counts) else 0) + 1), 0.0)
-                lengths = np.diff(low.bounds)
-                missing.append((rows_of(low.bounds)[~there], low.hashes[~there]))
-                yield emit(part, number, missing, lengths, sums(there.astype(np.int64), low.bounds), sums(base, low.bounds) - lengths * math.log10(size), gain)
-                number += len(part)
-
-    def emit(part, number, missing, lengths, known, base, gain) -> pa.RecordBatch:
-        # A row for each text, and one for each of its words, states and entries that aren't here.
-        id_of = number + np.arange(len(part))
-        row = np.concatenate([x for x, _ in missing])
-        ids = np.concatenate((id_of, id_of[row]))
-        keys = np.concatenate((signed(mixed(id_of)), *[signed(x) for _, x in missing]))
-        own = [part.column("doc_id").cast(pa.int64()), part.column("held_out"), pa.array(lengths, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(base + gain)]
-        doc = pa.StructArray.from_arrays([pa.concat_arrays([x, pa.nulls(len(row), x.type)]) for x in own], ["doc_id", "held_out", "tokens", "known", "base", "score"])
-        return pa.record_batch([pa.array(ids), pa.array(keys), doc], ["id", "key", "doc"])
-
-    rows = texts.mapInArrow(work, ROW)
-    rare = words.where(F.col("n") < max(1, LOOKUP_SHARE * tree.tokens)).select("key", F.col("n").alias("c"), F.lit(None).cast("double").alias("v"))
-    rare = rare.unionAll(tree.values.select("key", F.lit(None).cast("long").alias("c"), "v"))
-    joined = rows.join(rare, "key", "left").withColumn("own", F.col("doc.tokens").isNotNull())
-    c, v = F.when(~F.col("own"), F.col("c")), F.when(~F.col("own"), F.col("v"))
-    summed = joined.groupBy("id").agg(
-        *[F.max(f"doc.{x}").alias(x) for x in ("doc_id", "held_out", "tokens", "known", "base", "score")],
-        F.count(c).alias("more"), F.coalesce(F.sum(F.log10(c + 1)), F.lit(0.0)).alias("logs"), F.coalesce(F.sum(v), F.lit(0.0)).alias("gain"),
-    )
-    end_base = math.log10((tree.texts + 1) / size)
-    base = F.col("base") + F.col("logs") + end_base
-    result = cut(summed.select(
-        "doc_id", "held_out", (F.col("tokens") + 1).alias("n_tokens"), (F.col("known") + F.col("more") + int(tree.texts > 0)).alias("n_known"),
-        F.lit(tree.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.col("logs") + F.col("gain") + end_base).alias("score"),
-    ))
-    drop_folder(spark, folder)
+    known = learnt(texts)
+    size = known.tokens + known.distinct + 1
+
+    def work(own: Slice) -> pa.RecordBatch:
+        root, p, _ = own.probabilities(size)
+        columns = [np.diff(own.bounds), sums((own.count > 0).astype(np.int64), own.bounds), sums(np.log10(root), own.bounds), sums(np.log10(p), own.bounds)]
+        ids = [pa.array(own.row["docs"], pa.int64()), pa.array(own.row["held"], pa.bool_())]
+        return pa.record_batch([*ids, *[pa.array(x) for x in columns]], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = known.read(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    result = cut(rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score"))
+    drop_folder(docs.sparkSession, known.folder)
     return result
