@@ -420,9 +420,14 @@ def learnt(texts: DataFrame) -> Learnt:
     def stored(made: Callable[[], DataFrame], name: str) -> DataFrame:
         df = made()
         schema = df.schema
+        # Each is computed once, so Spark may delete what it shuffled at its end.
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        had = spark.conf.get(clean, None)
+        spark.conf.set(clean, "true")
         writer = df.write.option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").option("compression", "zstd")
         (writer.partitionBy("kind") if "kind" in df.columns else writer).parquet(f"{folder}/{name}")
-        # What was shuffled for it is deleted once neither Python nor the driver's JVM knows of the plan; Python tells the JVM once a second.
+        spark.conf.unset(clean) if had is None else spark.conf.set(clean, had)
+        # What was shuffled for it otherwise is deleted once neither Python nor the driver's JVM knows of the plan; Python tells the JVM once a second.
         del df, writer, made
         gc.collect()
         if first is None and size >= WAITED:
