@@ -117,3 +117,45 @@ def test_pairs_are_stored_packed(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "drop_folder", drop)
     assert suffix_tree.score(spark.createDataFrame(texts, "doc_id long, text string")).count() == 100
     assert max(rows) < 2000
+
+
+@pytest.mark.parametrize("replayed, few", [(1, 8), (2, 10**9), (9, 8)])
+def test_scores_are_those_of_all_contexts_if_frequent_ones_are_dealt_over_ranges(spark, monkeypatch, replayed, few):
+    """Frequent contexts have several keys, ranges are worked on in pieces, and what is known is written after any length."""
+    for name, value in (("OFTEN", 20), ("OFTEN_SHARE", 0), ("SPLIT", 3), ("PAIRS", 500), ("REPLAYED", replayed), ("FEW", few), ("RELATION_BYTES", 3000)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    texts = texts_with_long_contexts()
+    want, _ = by_hand(texts)
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_slices_are_not_shuffled_again(spark, monkeypatch):
+    """Each length's answers come to the slices, which stay in their buckets and are written once."""
+    plans = []
+
+    def kept(relation, *args, made=suffix_tree.told, **named):
+        df = made(relation, *args, **named)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(suffix_tree, "told", kept)
+    texts = texts_with_long_contexts()
+    assert suffix_tree.score(spark.createDataFrame(texts, "doc_id long, text string")).count() == len(texts)
+    assert len(plans) > 3 and all(plan.count("Exchange") <= 1 for plan in plans)
+
+
+@pytest.mark.parametrize("bits", [3, 40])
+def test_pairs_are_grouped_with_or_without_their_order(bits):
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 50, 1000) << bits for _ in range(2))
+    first, place, of_a, of_b = suffix_tree.paired(a >> bits, b)
+    assert (of_a[place] == a >> bits).all() and (of_b[place] == b).all() and (place[first] == np.arange(len(first))).all()
+    assert len(first) == len(set(zip(a.tolist(), b.tolist())))
+    assert all(len(x) == 0 for x in suffix_tree.paired(a[:0], b[:0]))
+
+
+def test_numbers_come_back_from_packing():
+    columns = [np.arange(300), np.zeros(0, np.int64), np.array([0.5, -1.25]), np.array([True, False]), np.array([2**63, 1], np.uint64)]
+    back = suffix_tree.unpacked(suffix_tree.packed(*columns))
+    assert len(back) == len(columns) and all((x == y).all() and len(x) == len(y) for x, y in zip(columns, back))

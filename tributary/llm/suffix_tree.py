@@ -28,7 +28,9 @@ DISCOUNT = 0.75
 END, BEFORE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Text behind one row of the relation, and text for which there is a range of keys.
-RELATION_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+RELATION_BYTES, RANGE_BYTES = 6 << 20, 32 << 20
+#: Symbols go on to longer contexts by themselves once no more than the FEWth part is left.
+FEW = 8
 #: Pairs that are put in order at once, by who gets a range.
 PAIRS = 1 << 19
 #: The contexts of so many lengths are worked out from their answers at each later length; then what is known is written beside the slices.
@@ -46,6 +48,8 @@ RELATION = (
     "slice long, docs array<long>, held array<boolean>, bounds binary, words binary, codes binary, known array<binary>, start array<binary>,"
     " symbols long, tokens long, texts long"
 )
+#: What is known of a slice, beside the row of its symbols.
+KNOWN = "slice long, known array<binary>"
 MESSAGE = "slice long, bucket long, columns binary"
 #: ``about`` adds up to what the answers tell about the corpus.
 REPLY = f"{MESSAGE}, about double, level long"
@@ -432,12 +436,12 @@ class Slice:
             states = states[len(x) :]
 
     def whole(self) -> pa.RecordBatch:
-        """A row with all that is known."""
+        """All that is known."""
         known, none = [packed(self.counts, self.ids)], np.zeros(0, np.int64)
         for k, level in enumerate(self.levels):
             places = (np.diff(level.at, prepend=0), level.which) if k else (none, none)
             known.append(packed(*places, *level[2:]))
-        return rows_as(RELATION, [{**self.row, "known": known}])
+        return rows_as(KNOWN, [{"slice": self.row["slice"], "known": known}])
 
     def rest(self) -> pa.RecordBatch:
         """A row with only the symbols that longer contexts look at, whose answers go on from here."""
@@ -666,11 +670,12 @@ def learnt(texts: DataFrame) -> Learnt:
         if not grown:
             break
         if k == REPLAYED and k < corpus.depth and part is relation:
-            part = stored(lambda: told(relation, replies(known), k, Slice.whole, RELATION, corpus), "known", bucketed=True)
-            for name in ("slices", *known):
+            more = stored(lambda: told(relation, replies(known), k, Slice.whole, KNOWN, corpus), "known", bucketed=True)
+            for name in known:
                 drop_folder(spark, f"{folder}/{name}")
+            part = relation.drop("known").join(more.hint("merge"), "slice").select(*relation.columns)
             relation, known, names = part, [], []
-        if part is relation and k < corpus.depth and 2 * grown * (corpus.depth + 1) <= tokens:
+        if part is relation and k < corpus.depth and FEW * grown <= tokens:
             # Few symbols are left: they go on without the others.
             part, names = stored(lambda: rest_of(relation, taken(known), k, corpus), "rest", bucketed=True), []
     corpus = corpus._replace(depth=k).ranged(size / 16)  # the levels that have answers; contexts to ask about are few
